@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, url_filter
+from . import content_sort, line_rules, url_filter
 from .runtime import table
 
 
@@ -14,9 +14,11 @@ def op2_url_filter(spark, sf_dir):
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op6_content_sort": content_sort.op6_content_sort,
+    "op8_line_rules": line_rules.op8_line_rules,
 }
 
 ORACLES = {
     "op2_url_filter": url_filter.oracle(),
     "op6_content_sort": content_sort.ORACLE,
+    "op8_line_rules": line_rules.ORACLE,
 }
