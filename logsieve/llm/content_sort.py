@@ -60,22 +60,22 @@ def sort_content(
     keyed = docs.withColumn("__h", F.xxhash64(F.lower(text)))
     hot = _hot_hashes(keyed, n, docs.count())
     salt = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    keyed = keyed.withColumns(
-        {
-            "__p": F.substring(F.lower(text), 1, KEY_CHARS),
-            "__s": F.when(F.col("__h").isin(hot), salt).otherwise(F.lit(-1)) if hot else F.lit(-1),
-        }
-    )
+    keyed = keyed.withColumn("__p", F.substring(F.lower(text), 1, KEY_CHARS))
+    keys = ["__p", "__h"]
+    if hot:
+        keyed = keyed.withColumn("__s", F.when(F.col("__h").isin(hot), salt).otherwise(F.lit(-1)))
+        keys.append("__s")
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    ranged = keyed.repartitionByRange(n, "__p", "__h", "__s").withColumn("__norm", norm)
-    run = Window.partitionBy("__p", "__h", "__s", "__norm")
-    order = F.col(id_col).desc() if keep == "largest" else F.col(id_col).asc_nulls_last()
+    ranged = keyed.repartitionByRange(n, *keys).withColumn("__norm", norm)
+    # The range exchange already clusters these keys, so the window adds a sort but no exchange.
+    order = F.col(id_col).desc_nulls_last() if keep == "largest" else F.col(id_col).asc_nulls_last()
+    run = Window.partitionBy(*keys, "__norm").orderBy(order)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sorted_rows = ranged.select(
         *docs.columns,
-        "__s",
-        best(id_col).over(run).alias("keep_id"),
-        F.count(F.lit(1)).over(run).alias("group_size"),
-        F.row_number().over(run.orderBy(order)).alias("__rn"),
+        best(id_col).over(whole).alias("keep_id"),
+        F.count(F.lit(1)).over(whole).alias("group_size"),
+        F.row_number().over(run).alias("__rn"),
         F.sha2("__norm", 256).alias("text_sha256"),
     )
     if hot:
