@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, line_rules, url_filter
+from . import content_sort, line_rules, packing, url_filter
 from .runtime import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op6_content_sort": content_sort.op6_content_sort,
     "op8_line_rules": line_rules.op8_line_rules,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
