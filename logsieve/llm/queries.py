@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, line_rules, packing, url_filter
+from . import content_sort, line_rules, near_dup, packing, url_filter
 from .runtime import table
 
 
@@ -12,6 +12,7 @@ def op2_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_chosen_path": near_dup.op1_chosen_path,
     "op2_url_filter": op2_url_filter,
     "op6_content_sort": content_sort.op6_content_sort,
     "op8_line_rules": line_rules.op8_line_rules,
