@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, line_rules, near_dup, packing, secret_scan, url_filter
+from . import content_sort, line_rules, near_dup, packing, quality_rank, secret_scan, url_filter
 from .runtime import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_chosen_path": near_dup.op1_chosen_path,
     "op2_url_filter": op2_url_filter,
     "op6_content_sort": content_sort.op6_content_sort,
+    "op4_bradley_terry": quality_rank.op4_bradley_terry,
     "op7_randomness_battery": secret_scan.op7_randomness_battery,
     "op8_line_rules": line_rules.op8_line_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
