@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, line_rules, near_dup, packing, quality_rank, secret_scan, url_filter
+from . import content_sort, html_extract, line_rules, near_dup, packing, quality_rank, secret_scan, url_filter
 from .runtime import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_bradley_terry": quality_rank.op4_bradley_terry,
     "op7_randomness_battery": secret_scan.op7_randomness_battery,
     "op8_line_rules": line_rules.op8_line_rules,
+    "op9_dom_trees": html_extract.op9_dom_trees,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
