@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, html_extract, line_rules, near_dup, packing, quality_rank, secret_scan, url_filter
+from . import content_sort, html_extract, line_rules, mixing, near_dup, packing, quality_rank, secret_scan, token_scan, url_filter
 from .runtime import table
 
 
@@ -14,7 +14,9 @@ def op2_url_filter(spark, sf_dir):
 QUERIES = {
     "op1_chosen_path": near_dup.op1_chosen_path,
     "op2_url_filter": op2_url_filter,
+    "op5_separator_scan": token_scan.op5_separator_scan,
     "op6_content_sort": content_sort.op6_content_sort,
+    "op3_temperature_mixing": mixing.op3_temperature_mixing,
     "op4_bradley_terry": quality_rank.op4_bradley_terry,
     "op7_randomness_battery": secret_scan.op7_randomness_battery,
     "op8_line_rules": line_rules.op8_line_rules,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_url_filter": url_filter.oracle(),
+    "op3_temperature_mixing": mixing.oracle(),
     "op6_content_sort": content_sort.ORACLE,
     "op8_line_rules": line_rules.ORACLE,
 }
