@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators, one module for each stage."""

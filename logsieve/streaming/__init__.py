@@ -1 +1 @@
-
+"""Incremental detection with Structured Streaming."""
