@@ -1,10 +1,458 @@
-"""Query catalogue of the log-anomaly operators."""
+"""Query catalogue of the log-anomaly operators over the driver's tables.
+
+``events`` becomes a canonical log through one adapter. Windows of six hours and incident
+limits in proportion suit its density; the library's defaults are 300 and 600 seconds.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import functools
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import BaselineConfig, DetectionConfig, IncidentConfig
+from .functions import normal, scoring
+from .operators import baselines, detect, explain, features, incidents, normalize, parse, stats, windows
+from .oracles import ORACLES
+from .sources import from_dataframe
+
+SECONDS = 21600
+INCIDENTS = IncidentConfig(max_gap_seconds=43200, window_size_seconds=SECONDS, context_window_seconds=21600)
+GAP_ONLY = IncidentConfig(
+    max_gap_seconds=43200, window_size_seconds=SECONDS, context_window_seconds=21600, require_feature_family_overlap=False
+)
+CONFIG = DetectionConfig()
+
+# --- tables ------------------------------------------------------------------------------------------------------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END"
+
+
+def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as parsed logs, with error codes and request ids."""
+    return from_dataframe(
+        table(spark, sf_dir, "events"),
+        {
+            "timestamp": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")",
+            "level": LEVEL,
+            "service": "concat('svc-', user_id % 5)",
+            "message": "concat(event_type, ' ', props)",
+            "duration_ms": "CASE WHEN value > 0 THEN CAST(floor(value) AS BIGINT) END",
+            "error_code": "CASE WHEN event_type = 'error' THEN concat('E', get_json_object(props, '$.k')) END",
+            "request_id": "concat('req-', event_id)",
+        },
+    )
+
+
+def logs(spark, sf_dir) -> DataFrame:
+    return parse.accepted(normalize.normalize_logs(event_logs(spark, sf_dir)))
+
+
+def window_counts(spark, sf_dir) -> DataFrame:
+    return windows.log_counts(logs(spark, sf_dir), SECONDS)
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return features.window_features(logs(spark, sf_dir), SECONDS)
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    return detect.with_scores(baselines.with_baselines(features.features_long(vectors(spark, sf_dir))))
+
+
+def suppressed(spark, sf_dir) -> DataFrame:
+    return detect.suppress(detect.feature_anomalies(vectors(spark, sf_dir), CONFIG))
+
+
+def events(spark, sf_dir) -> DataFrame:
+    return detect.anomaly_events(suppressed(spark, sf_dir))
+
+
+def operations(spark, sf_dir) -> DataFrame:
+    """Sign-ups stand in for operational events."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    return rows.selectExpr("concat('deploy-', user_id % 3) AS event_type", "ts AS timestamp", "concat('event ', event_id) AS description")
+
+
+def full_incidents(spark, sf_dir) -> DataFrame:
+    return incidents.build_incidents(events(spark, sf_dir), logs(spark, sf_dir), operations(spark, sf_dir), INCIDENTS)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# --- parsing -------------------------------------------------------------------------------------------------------
+
+
+def text_lines(spark, sf_dir) -> DataFrame:
+    """Events as text lines; some lack the time, the level or the message."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        f"""concat(CASE WHEN event_id % 17 = 0 THEN 'no time' ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") END, ' ',
+            CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 5 = 0 THEN lower({LEVEL}) ELSE {LEVEL} END, ' svc-', user_id % 5,
+            CASE WHEN event_id % 23 = 0 THEN '' ELSE concat(' ', event_type, ' ', props, ' (', CAST(floor(abs(value)) AS BIGINT), 'ms)') END) AS value""",
+    )
+
+
+def parse_text_roundtrip(spark, sf_dir):
+    parsed = parse.parse_text(text_lines(spark, sf_dir).withColumn("source_meta", F.struct("event_id")))
+    return parse.accepted(parsed).select(
+        F.col("source_meta.event_id").alias("event_id"), "timestamp", "level", "service", "message", "duration_ms"
+    )
+
+
+def parse_reject_counts(spark, sf_dir):
+    rows = parse.parse_text(text_lines(spark, sf_dir))
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_fields(spark, sf_dir) -> DataFrame:
+    """Events as JSON objects under three sets of names; some lack the message, some have a null level."""
+    text = f"""CASE event_id % 3
+        WHEN 0 THEN to_json(named_struct('timestamp', CAST(ts AS STRING), 'level', lower({LEVEL}), 'service', concat('svc-', user_id % 5), 'message', event_type, 'duration_ms', floor(value)))
+        WHEN 1 THEN to_json(named_struct('ts', CAST(ts AS STRING), 'level_name', {LEVEL}, 'app', concat('svc-', user_id % 5), 'msg', event_type, 'latency_ms', 'soon'))
+        ELSE concat('{{"@timestamp": "', CAST(ts AS STRING), '", "severity": null, "component": "c", ', CASE WHEN event_id % 5 = 0 THEN '"other": 1}}' ELSE concat('"text": "', event_type, '"}}') END) END"""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{text} AS value")
+    return rows.select(F.from_json("value", "map<string,string>").alias("fields"), F.struct("event_id").alias("source_meta"))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    return parse.accepted(rows).select(F.col("source_meta.event_id").alias("event_id"), "level", "service", "message", "duration_ms")
+
+
+def csv_fields(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    pairs = {
+        "timestamp": "CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(ts AS STRING) END",
+        "time": "CASE WHEN event_id % 8 = 0 THEN '' ELSE CAST(ts AS STRING) END",
+        "severity": LEVEL,
+        "app": "concat('svc-', user_id % 5)",
+        "message": "CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END",
+        "msg": "props",
+        "duration": "CASE WHEN event_id % 2 = 0 THEN '12.5' ELSE CAST(CAST(floor(value) AS BIGINT) AS STRING) END",
+    }
+    fields = F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), F.expr(v))))
+    return rows.select(fields.alias("fields"), F.struct("event_id").alias("source_meta"))
+
+
+# --- normal forms ----------------------------------------------------------------------------------------------------
+
+
+def _events_with(spark, sf_dir, expression: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{expression} AS x")
+
+
+def normalize_timestamp(spark, sf_dir):
+    form = """CASE event_id % 8
+        WHEN 0 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") WHEN 1 THEN date_format(ts, "  yyyy-MM-dd'T'HH:mm:ss")
+        WHEN 2 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') WHEN 3 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        WHEN 4 THEN CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS STRING) WHEN 5 THEN CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS STRING)
+        WHEN 6 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'") ELSE 'not a time' END"""
+    return _events_with(spark, sf_dir, form).select("event_id", normal.timestamp(F.col("x")).alias("timestamp"))
+
+
+def normalize_level(spark, sf_dir):
+    form = """CASE event_id % 7 WHEN 0 THEN ' warn ' WHEN 1 THEN 'Err' WHEN 2 THEN 'CRIT' WHEN 3 THEN 'fatal'
+              WHEN 4 THEN 'info' WHEN 5 THEN 'NOTICE' ELSE event_type END"""
+    return _events_with(spark, sf_dir, form).select("event_id", normal.level(F.col("x")).alias("level"))
+
+
+def normalize_service(spark, sf_dir):
+    form = "concat(' API.', event_type, '@#', user_id, '_x-', CASE WHEN event_id % 3 = 0 THEN repeat('Ab', 80) ELSE '' END, ' ')"
+    return _events_with(spark, sf_dir, form).select("event_id", normal.service(F.col("x")).alias("service"))
+
+
+def normalize_message_hash(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", normal.message(F.col("text")).alias("message"))
+    return rows.select("doc_id", F.char_length("message").cast("bigint").alias("length"), normal.message_hash(F.col("message")).alias("message_hash"))
+
+
+def normalize_duration(spark, sf_dir):
+    form = """CASE event_id % 6 WHEN 0 THEN CAST(value AS STRING) WHEN 1 THEN '0.5' WHEN 2 THEN '-100' WHEN 3 THEN 'soon'
+              WHEN 4 THEN ' 2000 ' ELSE NULL END"""
+    return _events_with(spark, sf_dir, form).select("event_id", normal.duration(F.col("x")).alias("duration_ms"))
+
+
+def normalize_logs_quality(spark, sf_dir):
+    rows = event_logs(spark, sf_dir)
+    number = F.expr("CAST(substring(request_id, 5) AS BIGINT)")
+    rows = rows.withColumns(
+        {
+            "timestamp": F.when(number % 11 == 0, "bad").otherwise(F.col("timestamp")),
+            "service": F.when(number % 13 == 0, "@@").otherwise(F.col("service")),
+            "message": F.when(number % 29 == 0, "  ").otherwise(F.col("message")),
+        }
+    )
+    return parse.quality_report(normalize.normalize_logs(rows))
+
+
+# --- windows and features ------------------------------------------------------------------------------------------
+
+
+def window_align(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    sizes = [
+        rows.select("event_id", F.lit(n).alias("seconds"), windows.window_start(F.col("ts"), n).alias("window_start"))
+        for n in (60, 300, 3600, 7000)
+    ]
+    return functools.reduce(DataFrame.unionByName, sizes)
+
+
+def windows_by_time(spark, sf_dir):
+    rows = windows.by_time(window_counts(spark, sf_dir))
+    text = F.transform("windows", lambda w: F.concat_ws(":", w["service"], w["log_count"].cast("string")))
+    return rows.select("window_start", F.array_join(text, ",").alias("windows"))
+
+
+def nested_window_sizes(spark, sf_dir):
+    rows = windows.nested_windows(logs(spark, sf_dir), SECONDS)
+    return rows.select("service", "window_start", F.size("logs").cast("bigint").alias("n"), F.get("logs", 0)["timestamp"].alias("first_log"))
+
+
+def _group(name: str):
+    def query(spark, sf_dir):
+        chosen = getattr(features, name)()
+        return rounded(features.window_features(logs(spark, sf_dir), SECONDS, chosen))
+
+    return query
+
+
+def feature_statistics(spark, sf_dir):
+    return rounded(stats.statistics(vectors(spark, sf_dir), "max_duration_ms"))
+
+
+def price_statistics(spark, sf_dir):
+    return rounded(stats.statistics(table(spark, sf_dir, "lineitem"), "l_extendedprice"), 2)
+
+
+def compare_to_baseline(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return stats.above_baseline(rows, "error_count", stats.statistics(rows, "error_count"), 1.5).select("service", "window_start", "error_count")
+
+
+# --- baselines and detection ---------------------------------------------------------------------------------------
+
+
+def _baseline(strategy: str):
+    def query(spark, sf_dir):
+        rows = baselines.with_baselines(features.features_long(vectors(spark, sf_dir)), BaselineConfig(strategy=strategy))
+        return rounded(rows.where("baseline IS NOT NULL").select("service", "window_start", "feature", "baseline.mean", "baseline.std", "baseline.count"))
+
+    return query
+
+
+def previous_value(spark, sf_dir):
+    rows = baselines.with_baselines(features.features_long(vectors(spark, sf_dir)), BaselineConfig(strategy="rolling"))
+    return rounded(rows.select("service", "window_start", "feature", "observed", "previous"))
+
+
+KEYS = ("service", "window_start", "feature")
+
+
+def zscore(spark, sf_dir):
+    # Scores on a floored deviation are huge; beyond 1000 only the sign is compared.
+    z = F.when(F.abs("z_score") > 1000, F.signum("z_score") * 1000.0).otherwise(F.col("z_score"))
+    return rounded(scored(spark, sf_dir).select(*KEYS, z.alias("z_score")))
+
+
+def rate_of_change(spark, sf_dir):
+    return rounded(scored(spark, sf_dir).select(*KEYS, F.least("rate_change", F.lit(1000.0)).alias("rate_change")))
+
+
+def combined_score(spark, sf_dir):
+    return rounded(scored(spark, sf_dir).select(*KEYS, "score"))
+
+
+def severity_mapping(spark, sf_dir):
+    return scored(spark, sf_dir).select(*KEYS, scoring.severity_name(F.col("severity_rank")).alias("severity"))
+
+
+def feature_anomalies(spark, sf_dir):
+    rows = detect.feature_anomalies(vectors(spark, sf_dir), CONFIG)
+    return rounded(rows.select(*KEYS, "observed", "score", scoring.severity_name(F.col("severity_rank")).alias("severity"), "direction"))
+
+
+def suppressed_anomalies(spark, sf_dir):
+    rows = suppressed(spark, sf_dir).where("suppressed")
+    return rounded(rows.select(*KEYS, "family", "score", "suppression_reason"))
+
+
+def active_anomalies(spark, sf_dir):
+    return rounded(suppressed(spark, sf_dir).where("NOT suppressed").select(*KEYS, "family", "score"))
+
+
+def anomaly_events(spark, sf_dir):
+    names = F.array_join(F.transform("anomalies", lambda a: a["feature"]), ",")
+    return rounded(events(spark, sf_dir).select("event_id", "service", "window_start", "severity", "score", names.alias("features")))
+
+
+def anomaly_rows(spark, sf_dir):
+    rows = detect.anomaly_rows(events(spark, sf_dir))
+    capped = F.greatest(F.least("deviation", F.lit(1000.0)), F.lit(-1000.0))
+    shown = rows.withColumn("deviation", capped).withColumn("class", scoring.deviation_class(F.col("deviation")))
+    return rounded(shown.select("id", "service", "timestamp", "feature", "observed", "deviation", "score", "severity", "class"))
+
+
+def top_anomalies(spark, sf_dir):
+    rows = detect.sort_rows(detect.anomaly_rows(events(spark, sf_dir))).limit(20)
+    return rows.select("id", "severity")
+
+
+# --- incidents and explanations ------------------------------------------------------------------------------------
+
+
+def _incidents(config: IncidentConfig):
+    def query(spark, sf_dir):
+        rows = incidents.incident_metrics(incidents.assign_incidents(events(spark, sf_dir), config), config)
+        return rows.select("incident_id", "service", "start_time", "end_time", "anomaly_count")
+
+    return query
+
+
+def incident_metrics(spark, sf_dir):
+    rows = incidents.incident_metrics(incidents.assign_incidents(events(spark, sf_dir), INCIDENTS), INCIDENTS)
+    n = lambda name: F.coalesce(F.try_element_at("severity_counts", F.lit(name)), F.lit(0)).cast("bigint").alias(f"n_{name}")
+    return rounded(rows.select("incident_id", "anomaly_count", "feature_count", "max_score", *map(n, ("low", "medium", "high", "critical"))))
+
+
+def incident_log_patterns(spark, sf_dir):
+    found = incidents.incident_metrics(incidents.assign_incidents(events(spark, sf_dir), INCIDENTS), INCIDENTS)
+    rows = incidents.log_patterns(found, logs(spark, sf_dir), INCIDENTS)
+    return rows.select("incident_id", "key", "count", "sample_message", F.col("place").cast("bigint").alias("place"))
+
+
+def incident_op_context(spark, sf_dir):
+    found = incidents.incident_metrics(incidents.assign_incidents(events(spark, sf_dir), INCIDENTS), INCIDENTS)
+    rows = incidents.operational_context(found, operations(spark, sf_dir), INCIDENTS)
+    return rows.select("incident_id", "event_type", "timestamp", "description", F.col("place").cast("bigint").alias("place"))
+
+
+def incident_rows(spark, sf_dir):
+    found = incidents.incident_metrics(incidents.assign_incidents(events(spark, sf_dir), INCIDENTS), INCIDENTS)
+    return incidents.incident_rows(found)
+
+
+def _allowed(name: str):
+    def query(spark, sf_dir):
+        rows = explain.with_allowed(full_incidents(spark, sf_dir))
+        return rows.select("incident_id", F.array_join(name, ";").alias(name))
+
+    return query
+
+
+def fallback_explanations(spark, sf_dir):
+    e = F.col("explanation")
+    return explain.explain(full_incidents(spark, sf_dir)).select(
+        "incident_id", e["summary"].alias("summary"), F.array_join(e["probable_causes"], ";").alias("causes"),
+        F.array_join(e["supporting_evidence"], ";").alias("evidence"), e["confidence_score"].alias("confidence"),
+        F.array_join(e["recommended_next_steps"], ";").alias("steps"), e["limitations"].alias("limitations"),
+    )
+
+
+def prompts(spark, sf_dir):
+    return explain.with_prompt(explain.with_allowed(full_incidents(spark, sf_dir))).select("incident_id", "prompt")
+
+
+def explanation_rows(spark, sf_dir):
+    rows = explain.explanation_rows(explain.explain(full_incidents(spark, sf_dir)))
+    return rows.select(
+        "incident_id", "what_happened", "likely_cause", "confidence",
+        F.array_join("suggested_actions", ";").alias("suggested_actions"), F.array_join("affected_services", ";").alias("affected_services"),
+    )
+
+
+def training_pairs(spark, sf_dir):
+    found = full_incidents(spark, sf_dir)
+    return explain.training_pairs(found, explain.explain(found))
+
+
+def documents_message_patterns(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", normal.message(F.col("text")).alias("message"))
+    rows = rows.where("message IS NOT NULL").withColumn("key", normal.message_hash(F.col("message")))
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("first_doc")).where("count > 1")
+
+
+def streaming_detect(spark, sf_dir):
+    """The same anomalies from a stream of feature vectors, state kept between triggers."""
+    from .streaming.detect import drain, stream_anomalies
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/logsieve-streams"
+    path = f"{folder.rstrip('/')}/features-{uuid.uuid4().hex}"
+    rows = vectors(spark, sf_dir)
+    rows.repartition(4, F.col("service")).sortWithinPartitions("window_start").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    found = drain(stream_anomalies(stream, CONFIG), f"stream_{uuid.uuid4().hex}", f"{path}/state")
+    return rounded(found.where("NOT suppressed").select("service", "window_start", "feature", "score"))
+
+
+QUERIES = {
+    "parse_text_roundtrip": parse_text_roundtrip,
+    "parse_json_alias": lambda s, d: _parsed(parse.parse_json(json_fields(s, d))),
+    "parse_csv_alias": lambda s, d: _parsed(parse.parse_csv(csv_fields(s, d))),
+    "parse_reject_counts": parse_reject_counts,
+    "normalize_timestamp": normalize_timestamp,
+    "normalize_level": normalize_level,
+    "normalize_service": normalize_service,
+    "normalize_message_hash": normalize_message_hash,
+    "normalize_duration": normalize_duration,
+    "normalize_logs_quality": normalize_logs_quality,
+    "window_align": window_align,
+    "window_log_counts": window_counts,
+    "window_services": lambda s, d: windows.services(window_counts(s, d)),
+    "window_time_range": lambda s, d: windows.time_range(window_counts(s, d)),
+    "window_summary": lambda s, d: windows.windows_summary(window_counts(s, d)),
+    "filter_windows_service": lambda s, d: windows.filter_service(window_counts(s, d), "svc-3"),
+    "filter_windows_time": lambda s, d: windows.filter_time(window_counts(s, d), "2024-01-05 00:00:00", "2024-01-12 12:00:00"),
+    "windows_by_time": windows_by_time,
+    "nested_window_sizes": nested_window_sizes,
+    "count_features": _group("count_features"),
+    "rate_features": _group("rate_features"),
+    "duration_features": _group("duration_features"),
+    "diversity_features": _group("diversity_features"),
+    "feature_vectors": lambda s, d: rounded(vectors(s, d)),
+    "feature_statistics": feature_statistics,
+    "price_statistics": price_statistics,
+    "compare_to_baseline": compare_to_baseline,
+    "features_long": lambda s, d: rounded(features.features_long(vectors(s, d)).select(*KEYS, "observed")),
+    "rolling_baseline": _baseline("rolling"),
+    "ewma_baseline": _baseline("ewma"),
+    "hybrid_baseline": _baseline("hybrid"),
+    "previous_value": previous_value,
+    "zscore": zscore,
+    "rate_of_change": rate_of_change,
+    "combined_score": combined_score,
+    "severity_mapping": severity_mapping,
+    "feature_anomalies": feature_anomalies,
+    "suppressed_anomalies": suppressed_anomalies,
+    "active_anomalies": active_anomalies,
+    "anomaly_events": anomaly_events,
+    "anomaly_rows": anomaly_rows,
+    "top_anomalies": top_anomalies,
+    "incidents_gap": _incidents(GAP_ONLY),
+    "incidents_overlap": _incidents(INCIDENTS),
+    "incident_metrics": incident_metrics,
+    "incident_log_patterns": incident_log_patterns,
+    "incident_op_context": incident_op_context,
+    "incident_rows": incident_rows,
+    "allowed_causes": _allowed("allowed_causes"),
+    "allowed_evidence": _allowed("allowed_evidence"),
+    "allowed_steps": _allowed("allowed_steps"),
+    "fallback_explanations": fallback_explanations,
+    "explanation_rows": explanation_rows,
+    "prompts": prompts,
+    "training_pairs": training_pairs,
+    "documents_message_patterns": documents_message_patterns,
+    "streaming_detect": streaming_detect,
+}
 
 
-def flagship(spark, sf_dir):
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["anomaly_events"](spark, sf_dir)
