@@ -10,6 +10,7 @@ from ..schemas import SEVERITIES
 
 # Fixed value: least denominator of a rate of change.
 LEAST_BASE = 1e-6
+SCORE_DIGITS = 12
 
 
 def zscore(x: Column, mean: Column, std: Column, min_std: float) -> Column:
@@ -28,7 +29,8 @@ def _part(value: Column, critical: float) -> Column:
 
 def combined_score(z: Column, rate: Column, zs: SeverityThresholds, rs: SeverityThresholds, weights: ScoringConfig) -> Column:
     total = weights.zscore_weight * _part(z, zs.critical) + weights.rate_change_weight * _part(rate, rs.critical)
-    return F.greatest(F.lit(0.0), F.least(total, F.lit(1.0)))
+    # Rounded far below any meaning, so that the order of a sum can't decide at the floor.
+    return F.round(F.greatest(F.lit(0.0), F.least(total, F.lit(1.0))), SCORE_DIGITS)
 
 
 def severity_rank(value: Column, t: SeverityThresholds) -> Column:

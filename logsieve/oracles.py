@@ -82,7 +82,7 @@ hybrid AS (SELECT *, r_mean AS mean, greatest(r_std, e_std) AS std, least(r_coun
 measured AS (SELECT *, CASE WHEN std >= 1e-6 THEN (observed - mean) / std END AS z_score,
     abs(observed - previous) / greatest(abs(previous), 1e-6) AS rate_change FROM hybrid),
 scored AS (SELECT *, {ORDINAL} AS ordinal, {FAMILY} AS family,
-    greatest(0.0, least(1.0, 0.7::DOUBLE * coalesce(least(abs(z_score) / 7.0::DOUBLE, 1.0), 0.0) + 0.3::DOUBLE * coalesce(least(abs(rate_change) / 3.0::DOUBLE, 1.0), 0.0))) AS score,
+    round(greatest(0.0, least(1.0, 0.7::DOUBLE * coalesce(least(abs(z_score) / 7.0::DOUBLE, 1.0), 0.0) + 0.3::DOUBLE * coalesce(least(abs(rate_change) / 3.0::DOUBLE, 1.0), 0.0))), 12) AS score,
     greatest({_rank("z_score", (2.5, 3.5, 5.0, 7.0))}, {_rank("rate_change", (0.75, 1.25, 2.0, 3.0))}) AS severity_rank,
     CASE WHEN observed >= mean THEN 'high' ELSE 'low' END AS direction FROM measured),
 anomalies AS (SELECT *, row_number() OVER (PARTITION BY service, window_start, family ORDER BY score DESC, ordinal) AS place

@@ -10,7 +10,7 @@ import math
 from collections import deque
 
 from ..config import DetectionConfig, SeverityThresholds
-from ..functions.scoring import LEAST_BASE
+from ..functions.scoring import LEAST_BASE, SCORE_DIGITS
 from ..schemas import FEATURES, family_of
 
 
@@ -80,7 +80,7 @@ class ServiceState:
                 weights = c.scoring
                 score = weights.zscore_weight * _part(z, c.zscore.critical)
                 score += weights.rate_change_weight * _part(rate, c.rate_change.critical)
-                score = max(0.0, min(score, 1.0))
+                score = round(max(0.0, min(score, 1.0)), SCORE_DIGITS)
                 rank = max(_rank(z, c.zscore), _rank(rate, c.rate_change))
                 if score >= weights.score_floor and rank > 0:
                     found.append(
