@@ -149,7 +149,8 @@ def fit_bradley_terry(features: np.ndarray, quality: np.ndarray, fit: Fit = Fit(
 
 
 def held_out(id_col: str):
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """Whether a row is kept from the fit; a row without an id isn't."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def _features_frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
