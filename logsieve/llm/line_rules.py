@@ -75,8 +75,10 @@ def line_fails(x: Column, rules: LineRules = LineRules()) -> Column:
     n_words = F.size(x["w"])
     symbol_noise = x["symbols"] * 100 > x["chars"] * rules.max_symbol_pct
     shouting = (x["letters"] >= rules.min_shout_letters) & (x["upper"] * 100 > x["letters"] * rules.max_upper_pct)
-    repetition = (n_words >= rules.min_repeat_words) & (
-        F.size(F.array_distinct(x["w"])) * rules.max_repeat_factor < n_words
+    # Vocabulary grows about as the root of the length, so long lines of prose pass.
+    distinct = F.size(F.array_distinct(x["w"])).cast("long")
+    repetition = (
+        (n_words >= rules.min_repeat_words) & (distinct * rules.max_repeat_factor < n_words) & (distinct * distinct < 4 * n_words)
     )
     navigation = (x["separators"] >= rules.min_separators) & (x["separators"] * 4 >= n_words)
     unpunctuated = (n_words >= rules.min_unpunctuated_words) & ~x["t"].rlike(r"[.!?…:;,。！？、]")
@@ -170,7 +172,8 @@ def _oracle_parts() -> str:
     judged AS (SELECT doc_id, i, t, chars, len(w) > 0 AS worded, chars > 0 AND (
         symbols * 100 > chars * {r.max_symbol_pct}
         OR (letters >= {r.min_shout_letters} AND upper_ * 100 > letters * {r.max_upper_pct})
-        OR (len(w) >= {r.min_repeat_words} AND len(list_distinct(w)) * {r.max_repeat_factor} < len(w))
+        OR (len(w) >= {r.min_repeat_words} AND len(list_distinct(w)) * {r.max_repeat_factor} < len(w)
+            AND len(list_distinct(w)) * len(list_distinct(w)) < 4 * len(w))
         OR (seps >= {r.min_separators} AND seps * 4 >= len(w))
         OR (len(w) >= {r.min_unpunctuated_words} AND NOT regexp_matches(t, '[.!?…:;,。！？、]'))
         OR (len(w) <= {r.max_boilerplate_words} AND regexp_matches(lower(t), '{BOILERPLATE}'))
