@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DetectionConfig
 from ..operators.features import count_features, duration_features, rate_features
-from ..operators.windows import window_start  # noqa: F401 - same alignment as the batch windows
+from ..workers import importable
 
 ANOMALY = (
     "service string, window_start timestamp_ntz, feature string, ordinal int, observed double, baseline_mean double, "
@@ -40,6 +40,8 @@ def stream_anomalies(features: DataFrame, config: DetectionConfig = DetectionCon
     """Anomalies of a stream of feature vectors; state by service, windows in order inside a trigger."""
     from .state import ServiceState
 
+    importable(features.sparkSession)
+
     columns = ANOMALY.replace(" string", "").replace(" timestamp_ntz", "").replace(" double", "").replace(" int", "")
     names = [c.strip() for c in columns.replace(" boolean", "").split(",")]
 
