@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 
 from .dom import Node, read_page
 from .gradient_trees import Forest, fit_forest
+from ..workers import importable
 from .runtime import table
 
 CONTAINER, MAIN, NOISE = range(3)
@@ -332,6 +333,7 @@ def extract_pages(
     batch: int = 128,
 ) -> DataFrame:
     """id_col, url_col, text and n_chars of every page."""
+    importable(pages.sparkSession)
     forests = train_forests(training)
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
 

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..workers import importable
 from .runtime import table
 from .tokens import blocks, encoder, tokenizer_path
 
@@ -110,6 +111,7 @@ def pack_documents(
 
     ``with_ids`` adds the piece's ids (array<int>), to write the sequences themselves.
     """
+    importable(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     id_field = docs.schema[id_col]
     long = T.LongType()

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import importable
 from .runtime import table
 from .shingles import word_hashes
 from .tokens import blocks, raw
@@ -169,6 +170,7 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit: Fit = Fit()
 ) -> Model | None:
     """The model of the labelled rows that aren't held out."""
+    importable(docs.sparkSession)
     usable = labels.where(~held_out(id_col) & F.col("quality").isin(0, 1)).select(id_col, "quality")
     n = usable.count()
     if n > fit.max_labelled:
@@ -185,6 +187,7 @@ def score_documents(
     docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """id_col, held_out, score and predicted."""
+    importable(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workers import importable
 from .runtime import durable, table
 from .tokens import blocks as text_blocks
 from .tokens import encoder, tokenizer_path
@@ -62,6 +63,7 @@ def scan_blocks(blocks: DataFrame, dtype: str = "<u2", end_id: int = END_ID) ->
 
     Rows without ``data`` pass through, if the table has ``ordinal`` and ``doc_id``.
     """
+    importable(blocks.sparkSession)
     carry = [c if c in blocks.columns else F.lit(None).cast("bigint").alias(c) for c in ("ordinal", "doc_id")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +158,7 @@ def token_shards(
 ) -> DataFrame:
     """Flat token shards of documents: rows (shard, block, data), and rows (shard, ordinal, doc_id)
     that name the documents in their order. One shard for each partition of ``docs``."""
+    importable(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     names = ["shard", "block", "data", "ordinal", "doc_id"]
 

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import importable
 from .runtime import LOWER, UPPER
 
 # Fixed values of this filter: terms that block alone.
@@ -126,6 +127,7 @@ def judge_urls(
     min_soft: int = 2,
 ) -> DataFrame:
     """Adds host, path, rule, strict_hits, soft_hits, weight and verdict (allow or block)."""
+    importable(pages.sparkSession)
     host, path = host_and_path(F.col(url_col))
     out = pages.withColumns({"host": host, "path": path})
     text, action = longest_rule(F.col("host"), F.col("path"), rules)
