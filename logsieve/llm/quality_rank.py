@@ -76,7 +76,6 @@ def text_features(texts: pa.Array) -> np.ndarray:
         out[:, j] = counts[k] / size
     out[:, 7] = np.log1p(np.diff(bounds))
     out[:, 8] = size / words
-    out[:, 11] = 0.0
     out[:, 12] = (counts[_SYMBOL] + counts[_BANG]) / words
     out[:, 13] = np.log1p(size / lines)
     out[:, 14] = per_text(b == 0x7C) / words
@@ -91,7 +90,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
             if z > a:
                 _, each = np.unique(hashes[a:z], return_counts=True)
                 out[i, 10] = np.log1p(len(each)) / np.log1p(z - a)
-                out[i, 11] = each.max() / (z - a)
+                out[i, 11] = (each.max() - 1) / (z - a)
     return out
 
 
