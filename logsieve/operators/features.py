@@ -1,7 +1,8 @@
-"""Eleven features of each service and window, in one aggregation.
+"""Eleven features of each service and window.
 
 Order statistics are exact and use counted values, so the state of a group is
-bounded by its distinct durations and is combined before the shuffle.
+bounded by its distinct durations. All features together come from one plain
+count of values; families alone (also in streams) are single aggregations.
 """
 
 from __future__ import annotations
@@ -56,9 +57,56 @@ def all_features() -> dict[str, Column]:
 
 def window_features(logs: DataFrame, seconds: int = 300, aggregates: dict[str, Column] | None = None) -> DataFrame:
     """service, window_start and the features (all, or those of ``aggregates``)."""
-    chosen = all_features() if aggregates is None else aggregates
     rows = logs.withColumn("window_start", window_start(F.col("timestamp"), seconds))
-    return rows.groupBy("service", "window_start").agg(*(c.alias(n) for n, c in chosen.items()))
+    if aggregates is None:
+        return _from_counts(_counted(rows))
+    return rows.groupBy("service", "window_start").agg(*(c.alias(n) for n, c in aggregates.items()))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows of each level and duration, each message and each error code of a window.
+
+    Plain counts: combined before the shuffle, and a hot window spreads over its values.
+    """
+    value = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    rows = rows.select("service", "window_start", "level", "duration_ms", value("message_hash"), value("error_code"))
+    keys = ["service", "window_start"]
+    sets = [[*keys, "level", "duration_ms"], [*keys, "message_hash"], [*keys, "error_code"]]
+    counted = rows.groupingSets(sets, *keys, "level", "duration_ms", "message_hash", "error_code")
+    return counted.agg(F.count(F.lit(1)).alias("n"), (F.grouping("level") == 0).alias("of_level"))
+
+
+def _from_counts(counted: DataFrame) -> DataFrame:
+    of = lambda *levels: F.coalesce(F.sum(F.when(F.col("level").isin(*levels), F.col("n"))), F.lit(0).cast("bigint"))
+    timed = F.when(F.col("duration_ms").isNotNull(), F.struct("duration_ms", "n"))
+    df = counted.groupBy("service", "window_start").agg(
+        F.sum(F.when(F.col("of_level"), F.col("n"))).alias("total_events"),
+        of("ERROR", "CRITICAL").alias("error_count"),
+        of("WARNING").alias("warning_count"),
+        of("INFO").alias("info_count"),
+        F.percentile("duration_ms", 0.5, F.col("n")).alias("median_duration_ms"),
+        F.array_sort(F.collect_list(timed)).alias("__timed"),
+        F.max("duration_ms").cast("double").alias("max_duration_ms"),
+        F.count("message_hash").alias("unique_messages"),
+        F.count("error_code").alias("unique_error_codes"),
+    )
+    values = {
+        "error_rate": F.col("error_count") / F.col("total_events"),
+        "warning_rate": F.col("warning_count") / F.col("total_events"),
+        "p95_duration_ms": _at_share(F.col("__timed"), 0.95).cast("double"),
+    }
+    return df.select("service", "window_start", *(values.get(f, F.col(f)).alias(f) for f in all_features()))
+
+
+def _at_share(timed: Column, share: float) -> Column:
+    """Value at index floor(share * n) of the n values that a sorted array of (value, count) stands for."""
+    zero = F.lit(0).cast("bigint")
+    index = F.floor(F.aggregate(timed, zero, lambda a, x: a + x["n"]) * share)
+    start = F.struct(zero.alias("seen"), F.lit(None).cast("bigint").alias("value"))
+    step = lambda a, x: F.when(a["seen"] > index, a).otherwise(
+        F.struct((a["seen"] + x["n"]).alias("seen"), x["duration_ms"].alias("value"))
+    )
+    return F.aggregate(timed, start, step)["value"]
 
 
 def features_long(features: DataFrame) -> DataFrame:
