@@ -12,12 +12,15 @@ Where work is done. Nodes that could fill a task alone (counted exactly; at most
 ``4 * partitions`` of them) take further levels as Spark jobs, all others finish
 their recursion inside the task that holds them. A node still hot at the last
 level is dealt over many tasks by a salt, different in each tree. A node that is
-large at the last level compares its documents with its most typical ones and
-in blocks of ``leaf``; those that no typical one surely holds are compared with all
-its members for their best ``leaf`` partners.
-
-Confirmation runs in two rounds: each document's best candidate, then all others
-but the pairs whose ends are already connected, which cannot change a
+large at the last level first compares its documents with its most typical ones and
+in blocks of ``leaf``. When the links so found are united, every two of its
+members that are still in different components are compared as well, in pairs
+of blocks of ``block`` rows that are dealt over the tasks; the members of the node's
+largest component are not compared with each other again. These pairs are confirmed where
+the blocks meet, so only links leave the task, never the candidates.
+
+Confirmation of the other candidates runs in two rounds: each document's best one, then all
+others but the pairs whose ends are already connected, which cannot change a
 component. Every candidate between components is confirmed on full sets before
 it is dropped. Texts travel only if a round needs them.
 
@@ -63,6 +66,8 @@ class Join:
     #: Standard deviations of the sketch by which a candidate may fall short.
     slack: float = 3.5
     hot_rows: int = 2000
+    #: Rows of one block of a node that is large at the last level.
+    block: int = 500
 
     def recall(self, level: int) -> float:
         """Chance that a pair at the threshold meets, if nodes are small at ``level``."""
@@ -78,10 +83,6 @@ class Join:
     def least_matches(self) -> int:
         return int(np.floor(self._matches(-self.slack)))
 
-    @property
-    def sure_matches(self) -> int:
-        return int(np.ceil(self._matches(2.0)))
-
 
 def sketch_documents(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, sig (of the set), paths (trees x depth values) and sketch (one byte a value)."""
@@ -165,17 +166,10 @@ def _pairs_in(rows: np.ndarray, columns: dict, join: Join, level: int, out: list
             cuts = np.flatnonzero(np.diff(value[order])) + 1
             stack += [(part, deep + 1) for part in np.split(at[order], cuts) if len(part) > 1]
         else:
-            sketch = columns["sketch"]
-            typical = _typical(at, sketch)
-            _compare(typical, at, columns, join, out)
+            # Pairs that these leave in different components are left to rest_links.
+            _compare(_typical(at, columns["sketch"]), at, columns, join, out)
             for i in range(0, len(at), join.leaf):
                 _compare(at[i : i + join.leaf], at[i : i + join.leaf], columns, join, out)
-            # Members that no typical one surely holds look for their best partners in the whole node.
-            held = np.max([(sketch[at] == sketch[t]).sum(axis=1) for t in typical], axis=0)
-            for i in at[held < join.sure_matches]:
-                match = (sketch[at] == sketch[i]).sum(axis=1)
-                best = at[np.argsort(-match, kind="stable")[: join.leaf + 1]]
-                _compare(np.array([i]), best, columns, join, out)
 
 
 def _typical(at: np.ndarray, sketch: np.ndarray, n: int = 3) -> np.ndarray:
@@ -199,6 +193,36 @@ def _compare(a: np.ndarray, b: np.ndarray, columns: dict, join: Join, out: list)
             out.append((min(u, v), max(u, v), int((sketch[j] == sketch[i]).sum())))
 
 
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of sorted batches, cut only where ``key`` changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # Keep the last node's rows until the node has ended.
+        node = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        if held and held[-1].column(key)[-1].as_py() == node[0] == node[-1]:
+            held.append(batch)
+            continue
+        tail = int(np.searchsorted(node, node[-1], side="left"))
+        yield pa.Table.from_batches([*held, batch.slice(0, tail)]).combine_chunks()
+        held = [batch.slice(tail)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _fixed(t: pa.Table, name: str, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(t.num_rows, width)
+
+
+def _found(pairs: list) -> pa.RecordBatch:
+    pairs = sorted(set(pairs))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f[i] for f in pairs], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))],
+        names=["u", "v", "score"],
+    )
+
+
 def candidate_pairs(classes: DataFrame, join: Join) -> DataFrame:
     """(u, v, score) with u < v: classes that met in a small node with similar sketches."""
     n = shuffle_partitions(classes.sparkSession)
@@ -206,49 +230,115 @@ def candidate_pairs(classes: DataFrame, join: Join) -> DataFrame:
     rows = rows.repartition(n, "node").sortWithinPartitions("node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            n_rows = t.num_rows
-            fixed = lambda name, kind, width: np.frombuffer(
-                b"".join(t[name].to_pylist()), kind
-            ).reshape(n_rows, width)
+        for t in _whole(batches, "node"):
             columns = {
                 "id": t["id"].to_numpy(),
                 "size": t["n_shingles"].to_numpy(),
-                "path": fixed("path", "<u4", join.depth),
-                "sketch": fixed("sketch", np.uint8, join.sketch),
+                "path": _fixed(t, "path", "<u4", join.depth),
+                "sketch": _fixed(t, "sketch", np.uint8, join.sketch),
             }
             node, level = t["node"].to_numpy(), t["level"].to_numpy()
             found: list = []
-            for part in np.split(np.arange(n_rows), np.flatnonzero(np.diff(node)) + 1):
+            for part in np.split(np.arange(t.num_rows), np.flatnonzero(np.diff(node)) + 1):
                 if len(part) > 1:
                     _pairs_in(part, columns, join, int(level[part[0]]), found)
-            found = sorted(set(found))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))],
-                names=["u", "v", "score"],
-            )
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Keep the last node's rows until the node has ended.
-            node = batch.column(batch.schema.get_field_index("node")).to_numpy()
-            if held and held[-1].column("node")[-1].as_py() == node[0] == node[-1]:
-                held.append(batch)
-                continue
-            tail = int(np.searchsorted(node, node[-1], side="left"))
-            yield flush([*held, batch.slice(0, tail)])
-            held = [batch.slice(tail)]
-        if held:
-            yield flush(held)
+            yield _found(found)
 
     pairs = rows.mapInArrow(work, "u bigint, v bigint, score int")
     return pairs.groupBy("u", "v").agg(F.max("score").alias("score"))
 
 
+def rest_links(classes: DataFrame, texts: DataFrame, labels: DataFrame, join: Join) -> DataFrame | None:
+    """(u, v) with u < v: links that join different components in nodes large at the last level, if there are such nodes.
+
+    A node's rows are its largest component and the others; each is dealt over blocks.
+    Every block of others meets all blocks of the node, so no two rows of
+    different components miss each other, however large the node is. Pairs that
+    also meet in an earlier tree are left to it.
+    """
+    n = shuffle_partitions(classes.sparkSession)
+    width = 4 * join.depth
+    path = F.expr(f"substring(paths, tree * {width} + 1, {width})")
+    rows = classes.select("id", "paths").join(labels.select("id", "label"), "id", "left")
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(join.trees - 1))))
+    rows = durable(rows.select("id", F.coalesce("label", "id").alias("label"), "tree", F.xxhash64("tree", path).alias("node")))
+    parts = rows.groupBy("node", "label").count()
+    nodes = parts.groupBy("node").agg(
+        F.sum("count").alias("n"),
+        F.max("count").alias("n_most"),
+        F.max_by("label", F.struct("count", "label")).alias("most"),
+    )
+    nodes = nodes.where((F.col("n") > join.leaf) & (F.col("n_most") < F.col("n")))
+    blocks = lambda c: F.ceil(c / join.block).cast("int")
+    nodes = nodes.select(
+        "node", "most", blocks(F.col("n_most")).alias("n_first"), blocks(F.col("n") - F.col("n_most")).alias("n_other")
+    )
+    first = F.col("label") == F.col("most")
+    block = F.when(first, F.pmod(F.xxhash64("id"), F.col("n_first"))).otherwise(
+        F.col("n_first") + F.pmod(F.xxhash64("id"), F.col("n_other"))
+    )
+    others = F.sequence(F.when(first, F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)
+    cells = durable(rows.join(nodes, "node").select("id", "label", "tree", "node", block.alias("block"), F.explode(others).alias("meets")))
+    if not cells.take(1):
+        return None
+    cell = F.xxhash64("node", F.least("block", "meets"), F.greatest("block", "meets"))
+    ends = cells.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    cells = cells.select("id", "label", "tree", cell.alias("cell"), "block")
+    cells = cells.join(classes.select("id", "n_shingles", "paths", "sketch"), "id").join(_within_buckets(texts, ends), "id")
+    cells = cells.repartition(n, "cell").sortWithinPartitions("cell")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches, "cell"):
+            cell = t["cell"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)]
+            links = [x for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z - a > 1 for x in _links_in(t.slice(a, z - a), join)]
+            u, v = ([x[i] for x in links] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return cells.mapInArrow(work, "u bigint, v bigint").distinct()
+
+
+def _links_in(t: pa.Table, join: Join) -> list[tuple[int, int]]:
+    """Links between components of a cell's two blocks, enough to connect all that they connect."""
+    ids, size, label, block = (t[name].to_numpy() for name in ("id", "n_shingles", "label", "block"))
+    sketch = _fixed(t, "sketch", np.uint8, join.sketch)
+    tree = t["tree"][0].as_py()
+    paths = _fixed(t, "paths", "<u4", join.trees * join.depth)[:, : tree * join.depth].reshape(len(ids), tree, join.depth)
+    low = np.flatnonzero(block == block.min())
+    above: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = next(sets_of(t["text"].slice(i, 1).combine_chunks(), join.k))
+        return sets[i]
+
+    links = []
+    for i in low if len(low) == len(ids) else np.flatnonzero(block != block.min()):
+        others = low[low > i] if len(low) == len(ids) else low
+        match = (sketch[others] == sketch[i]).sum(axis=1)
+        shorter, longer = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        good = (match >= join.least_matches) & (shorter * 100 >= longer * join.percent) & (label[others] != label[i])
+        others, match = others[good], match[good]
+        before = (paths[others] == paths[i]).all(axis=2).any(axis=1)
+        for j in others[~before][np.argsort(-match[~before], kind="stable")]:
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a == b or ids[i] == ids[j]:
+                continue
+            x, y = shingles(int(i)), shingles(int(j))
+            shared = overlap(x, y)
+            if shared and 100 * shared >= join.percent * (len(x) + len(y) - shared):
+                above[max(a, b)] = min(a, b)
+                links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return links
+
+
 def confirm(edges: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """(u, v, linked) of pairs, on the full sets of both texts."""
     a = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
@@ -351,7 +441,7 @@ def link_documents(
     best = F.max_by(F.struct("u", "v"), F.struct("score", -F.col("u"), -F.col("v")))
     left = durable(ends.groupBy("end").agg(best.alias("e")).select("e.u", "e.v").distinct().coalesce(few))
     checked = durable(confirm(left, _within_buckets(texts, left), join))
-    links = checked.where("linked")
+    links = checked.where("linked").select("u", "v")
     labels = components(links)
     # Second round: every other candidate between components.
     of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
@@ -360,6 +450,13 @@ def link_documents(
     rest = durable(rest.join(checked.select("u", "v"), ["u", "v"], "left_anti").coalesce(few))
     if rest.take(1):
         more = durable(confirm(rest, _within_buckets(texts, rest), join).where("linked"))
+        if more.take(1):
+            links = links.unionByName(more.select("u", "v"))
+            labels = components(links)
+    # What large nodes still hold apart.
+    more = rest_links(classes, texts, labels, join)
+    if more is not None:
+        more = durable(more.coalesce(few))
         if more.take(1):
             labels = components(links.unionByName(more))
     by_class = classes.select("sig", F.col("id").alias("class_id"))

@@ -119,6 +119,33 @@ def test_near_groups_and_chains(spark):
     assert sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
 
 
+def family(members, links):
+    """Texts of one family below the threshold, and ``links`` of them with a partner just above it."""
+    r = random.Random(11)
+    base, rows = prose(500, 240).split(" ")[:200], []
+    # A shared opening of 150 of 170 shingles: any two have a similarity of 0.79, planted pairs 0.858.
+    for i in range(members):
+        own = [f"{r.choice(WORDS)}{i}x{j}" for j in range(20)]
+        rows.append((i, " ".join(base[:152] + own)))
+    for i in range(0, links * 7, 7):
+        own = rows[i][1].split(" ")
+        own[159:] = [f"new{i}x{j}" for j in range(13)]
+        rows.append((10_000 + i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("hot_rows", [2000, 40])
+def test_near_family_below_threshold(spark, hot_rows):
+    """Only planted pairs link, so nothing but the whole comparison of a large node finds them."""
+    rows = family(300, 40)
+    want, _ = brute_components(rows, 3, 85)
+    assert sum(want[i] != i for i in want) == 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    join = Join(k=3, percent=85, leaf=4, depth=2, hot_rows=hot_rows, block=50)
+    got = {x.doc_id: x.component_id for x in near_dup.link_documents(df, join).collect()}
+    assert got == want
+
+
 def test_components_in_parts(spark):
     r = random.Random(3)
     edges = [(a, a + r.choice([1, 1, 7])) for a in range(300) if r.random() < 0.8]
