@@ -11,7 +11,7 @@ target recall (``recall`` gives the formula).
 Where work is done. Nodes that could fill a task alone (counted exactly; at most
 ``4 * partitions`` of them) take further levels as Spark jobs, all others finish
 their recursion inside the task that holds them. A node still hot at the last
-level is dealt over many tasks by a salt, different in each tree. A node that is
+level is dealt over tasks by a salt, different in each tree, into parts of about ``hot_rows``. A node that is
 large at the last level first compares its documents with its most typical ones and
 in blocks of ``leaf``. When the links so found are united, every two of its
 members that are still in different components are compared as well, in pairs
@@ -145,9 +145,11 @@ def _spread_hot(rows: DataFrame, join: Join, partitions: int) -> DataFrame:
         if level < join.depth:
             rows = durable(rest.withColumns({"node": _node(F.col("node"), level), "level": F.lit(level + 1)}))
         else:
-            salts = max(2, -(-hot[0]["count"] // join.hot_rows))
-            salt = F.pmod(F.xxhash64("id", "tree"), F.lit(salts))
-            rows = rest.withColumn("node", F.xxhash64("node", salt))
+            # Parts of a node meet again in rest_links.
+            salts = F.greatest(F.lit(2), F.ceil(F.col("count") / join.hot_rows))
+            rest = rest.join(F.broadcast(counts.where(F.col("node").isin(names))), "node")
+            salt = F.pmod(F.xxhash64("id", "tree"), salts)
+            rows = rest.withColumn("node", F.xxhash64("node", salt)).drop("count")
     return rows if done is None else done.unionByName(rows)
 
 

@@ -8,6 +8,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from logsieve.llm import content_sort, near_dup
 from logsieve.llm.near_dup import Join
@@ -146,6 +147,14 @@ def test_near_family_below_threshold(spark, hot_rows):
     assert got == want
 
 
+def test_salts_follow_each_node(spark):
+    rows = [(i, 1, tree, bytes(4), bytes(128), 1, tree) for tree, n in ((0, 100), (1, 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, n_shingles long, tree int, path binary, sketch binary, level int, node long")
+    got = near_dup._spread_hot(df, Join(depth=1, hot_rows=10), 4)
+    parts = {x.tree: x.parts for x in got.groupBy("tree").agg(F.countDistinct("node").alias("parts")).collect()}
+    assert got.columns == df.columns and got.count() == 120 and parts == {0: 10, 1: 2}
+
+
 def test_components_in_parts(spark):
     r = random.Random(3)
     edges = [(a, a + r.choice([1, 1, 7])) for a in range(300) if r.random() < 0.8]
