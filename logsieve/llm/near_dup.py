@@ -59,7 +59,9 @@ class Join:
 
     k: int = 5
     percent: int = 80
-    trees: int = 10
+    #: Independent trees; unless given, as many as ``target`` needs at the deepest level, ten at least.
+    trees: int | None = None
+    target: float = 0.99
     depth: int = 6
     leaf: int = 24
     sketch: int = 128
@@ -69,8 +71,19 @@ class Join:
     #: Rows of one block of a node that is large at the last level.
     block: int = 500
 
+    def __post_init__(self):
+        if self.trees is None:
+            apart = 1 - (self.percent / 100) ** self.depth
+            needed = np.ceil(np.log(1 - self.target) / np.log(apart)) if apart > 0 else 1
+            object.__setattr__(self, "trees", max(10, int(needed)))
+
     def recall(self, level: int) -> float:
-        """Chance that a pair at the threshold meets, if nodes are small at ``level``."""
+        """Chance that a pair at the threshold meets in some tree, if nodes branch to ``level``.
+
+        Nodes that are large or hot at the last level lose no pair (``rest_links``), so this
+        holds for them at ``depth``. The sketch refuses a pair at the threshold with a chance of
+        about 2e-4 (``slack``).
+        """
         return 1 - (1 - (self.percent / 100) ** level) ** self.trees
 
     def _matches(self, deviations: float) -> float:
@@ -89,8 +102,8 @@ def sketch_documents(docs: DataFrame, join: Join, id_col: str, text_col: str) ->
     schema = "id bigint, n_shingles bigint, sig binary, paths binary, sketch binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = minwise_keys(join.sketch)
         used = join.trees * join.depth
+        keys = minwise_keys(max(join.sketch, used))
         for batch in batches:
             sizes, sigs, paths, sketches = [], [], [], []
             for shingles in sets_of(batch.column(1), join.k):
@@ -99,7 +112,7 @@ def sketch_documents(docs: DataFrame, join: Join, id_col: str, text_col: str) ->
                     low = minwise(shingles, keys)
                     sigs.append(blake2b(shingles.tobytes(), digest_size=16).digest())
                     paths.append((low[:used] >> np.uint64(32)).astype("<u4").tobytes())
-                    sketches.append(((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
+                    sketches.append(((low[: join.sketch] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
                 else:
                     sigs.append(None), paths.append(None), sketches.append(None)
             yield pa.RecordBatch.from_arrays(

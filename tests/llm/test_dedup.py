@@ -172,6 +172,19 @@ def test_components_in_parts(spark):
     assert {x.id: x.label for x in got} == {x: find(x) for x in label}
 
 
+def test_trees_reach_the_target():
+    for join in (Join(), near_dup.CONTRACT, Join(percent=70), Join(target=0.999)):
+        assert all(join.recall(level) >= join.target for level in range(1, join.depth + 1))
+    assert (Join().trees, near_dup.CONTRACT.trees, Join(trees=3).trees) == (16, 10, 3)
+
+
+def test_more_trees_than_sketch(docs):
+    join = Join(trees=30)  # 180 branching values, a sketch of 128
+    got = near_dup.link_documents(docs, join).select("doc_id", "component_id")
+    want = near_dup.link_documents(docs).select("doc_id", "component_id")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_near_empty(empty):
     assert near_dup.link_documents(empty).count() == 0
     assert near_dup.drop_near_copies(empty).count() == 0
