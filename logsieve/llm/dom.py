@@ -2,8 +2,9 @@
 
 Inline elements don't make nodes (their text belongs to the block around them,
 link text is counted). Implied end tags are honoured; unknown end tags are
-ignored. Scripts, styles, templates, embedded objects and the document head
-have no text.
+ignored. Scripts, styles, templates, drawings, media and the document head
+have no text; formulas and the fallback of objects have. Hidden is what the
+``hidden`` attribute, ``aria-hidden`` or its own style says, not a class or a label.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from dataclasses import dataclass, field
 # Element groups of HTML.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr object "
+    "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "select",
+RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "select",
        "canvas", "audio", "video")
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -28,12 +31,33 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.IGNORECASE | re.DOTALL,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MAY_HIDE = re.compile("hidden|none", re.IGNORECASE)
+
+
+def is_hidden(attrs: str) -> bool:
+    """Whether an element of these attributes is not shown."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    seen = set()
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name in seen:  # the first of equal names counts
+            continue
+        seen.add(name)
+        if (name == "hidden" and value != "until-found") or (name == "aria-hidden" and value == "true"):
+            return True
+        if name == "style":
+            rules = (x.partition(":") for x in value.split(";"))
+            style = {k.strip(): v.replace("!important", "").strip() for k, _, v in rules}
+            if style.get("display") == "none" or style.get("visibility") == "hidden":
+                return True
+    return False
 
 
 @dataclass
@@ -105,7 +129,7 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         names = " ".join("".join(g) for g in _NAMES.findall(attrs)).lower() if "=" in attrs else ""
         above = nodes[parent]
         nodes.append(
-            Node(tag, names, parent, above.depth + 1, above.children, above.hidden or bool(attrs and _HIDDEN.search(attrs)))
+            Node(tag, names, parent, above.depth + 1, above.children, above.hidden or is_hidden(attrs))
         )
         above.children += 1
         stack.append(len(nodes) - 1)

@@ -155,6 +155,35 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(rows.where("false"), training=300).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("attrs", "hidden"),
+    [
+        ("style='overflow:hidden'", False), ('class="post overflow-hidden"', False), ("class=hidden-xs", False), ('aria-label="hidden gems"', False),
+        ("aria-hidden=false", False), ("data-hidden", False), ("title='display:none'", False), ("style='content-visibility: hidden'", False),
+        ("hidden", True), ("HIDDEN=''", True), ("id=a hidden class=b", True), ("aria-hidden='true'", True), ("style='color:red; Display : None !important'", True),
+        ("style=visibility:hidden", True),
+    ],
+)
+def test_html_hidden(attrs, hidden):
+    nodes, _ = read_page(f"<div {attrs}><p>text</p></div>")
+    assert [n.hidden for n in nodes] == [False, hidden, hidden]
+
+
+def test_html_raw_elements():
+    text = lambda html: "".join(t for _, t in read_page(html)[1])
+    assert text('<p>a<svg width="1"/>b<svg><text>no</text></svg>c<svg><path d=""/>no</svg>d</p><math/>e') == "abcde"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == "so x=1 holds"
+    assert text("<object data=x><p>fallback</p></object> end<script src=x />no</script>") == "fallback end"
+
+
+def test_html_wrapper_that_clips(spark):
+    words = "First sentence of the article here. And one more of them.", "Second paragraph of the text. It goes on and on.", "Third one ends it. Really so."
+    inner = "".join(f"<p>{w}</p>" for w in words)
+    page = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div style='overflow:hidden'><article class='post overflow-hidden'>{inner}</article></div></body></html>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_extract.extract_pages(rows, training=300).first().text == "\n".join(words)
+
+
 def test_html_decoding_is_consistent():
     forests = html_extract.train_forests(300)
     right = total = 0
