@@ -6,11 +6,12 @@ length to the feasible sequence with the smallest weighted norm of what would
 remain, or the largest weighted dot product of residual and demand; if none is
 feasible a new sequence opens. Every capacity holds at every step.
 
-Tokenising and packing happen in one pass over a partition, so nothing is
-shuffled: a partition holds thousands of pieces, enough for best-fit to fill all
-sequences but its last few. Only (id, piece, start, length, checksum) of the
-partition's pieces are kept in memory, never the ids. Sequence numbers carry the
-partition's number, so they are unique and a lost task is repeated alike.
+Tokenising and a first packing happen in one pass over each partition. The pieces
+of all sequences that this doesn't fill are then packed again, from all
+partitions together, in partitions of about ``REPACKED`` pieces, so the result
+doesn't depend on how the rows were dealt. Only light rows (id, piece, start,
+length, checksum; the ids only if asked for) are checkpointed and shuffled. Sequence numbers
+carry the pass and the partition's number, so they are unique.
 
 Defined results: null text counts as empty (the end id alone); repeated rows
 are packed once each; an empty table gives no rows. Columns beyond id and text
@@ -27,12 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import importable
-from .runtime import table
+from .runtime import durable, table
 from .tokens import blocks, encoder, tokenizer_path
 
+#: Pieces in one partition of the second pass.
+REPACKED = 50_000
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -124,6 +129,7 @@ def pack_documents(
             T.StructField("ids_crc32", long),
             T.StructField("sequence_id", long),
             T.StructField("offset", long),
+            T.StructField("filled", long),
         ]
         + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
     )
@@ -152,6 +158,7 @@ def pack_documents(
             return
         row, piece, start, length, crc = np.concatenate(pieces.rows, axis=1)
         where, offset = best_fit(length, cap)
+        filled = np.bincount(where, length).astype(np.int64)[where]
         where += TaskContext.get().partitionId() << 33
         ids_of = pa.chunked_array(keys).combine_chunks()
         for a in range(0, len(row), 10_000):
@@ -159,13 +166,31 @@ def pack_documents(
             columns = [
                 ids_of.take(pa.array(row[part])),
                 pa.array(piece[part].astype(np.int32)),
-                *(pa.array(x[part]) for x in (start, length, crc, where, offset)),
+                *(pa.array(x[part]) for x in (start, length, crc, where, offset, filled)),
             ]
             if with_ids:
                 columns.append(pa.array(kept[part], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return docs.select(id_col, text_col).mapInArrow(pack, schema)
+    def repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        where, offset = best_fit(rows["length"].to_numpy(), cap)
+        where += ((1 << 29) + TaskContext.get().partitionId()) << 33
+        for name, values in (("sequence_id", where), ("offset", offset)):
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values))
+        yield from rows.to_batches(10_000)
+
+    packed = durable(docs.select(id_col, text_col).mapInArrow(pack, schema))
+    full = F.col("filled") == cap.tokens
+    loose = packed.where(~full)
+    n_loose = loose.count()
+    if n_loose:
+        again = loose.repartition(-(-n_loose // REPACKED)).mapInArrow(repack, schema)
+        packed = packed.where(full).unionByName(again)
+    return packed.drop("filled")
 
 
 def op10_best_fit_packing(spark, sf_dir):

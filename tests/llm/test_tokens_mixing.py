@@ -80,6 +80,20 @@ def test_best_fit_is_tight():
     assert where.max() + 1 <= -(-lengths.sum() // 1024) * 1.02
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [(i, prose(i, 20 + i * 37 % 160)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 60):
+        got = packing.pack_documents(docs.repartition(n), with_ids=True).collect()
+        assert len(got) == len({(r.doc_id, r.piece) for r in got}) and len({r.doc_id for r in got}) == 600
+        ends: dict = {}
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0) and r.length == len(r.ids)
+            ends[r.sequence_id] = r.offset + r.length
+        least = -(-sum(r.length for r in got) // 1024)
+        assert max(ends.values()) <= 1024 and len(ends) <= least + 1
+
+
 @pytest.mark.parametrize("block_bytes", [2, 6, 64, 1 << 20])
 def test_separator_scan_of_files(spark, tmp_path, block_bytes):
     r = random.Random(9)
