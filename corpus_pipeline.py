@@ -26,7 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = line_rules.judge_lines(docs.select(*COLUMNS))
+    judged = line_rules.judge_lines(docs.select(*COLUMNS), rules=line_rules.PRODUCTION)
     # One row or none for each document: a filter on top would evaluate the rules twice.
     row = F.struct(
         "doc_id", F.col("clean_text").alias("text"), "lang", "source", F.char_length("clean_text").cast("long").alias("n_chars")

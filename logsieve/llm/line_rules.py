@@ -48,6 +48,21 @@ class LineRules:
     max_loss_pct: int = 50
     min_words: int = 10
     max_window_pct: int = 20
+    #: Lines of fewer symbols aren't noise.
+    min_symbols: int = 1
+    #: Leading heading, list and quote marks and the signs of single amounts are no symbols.
+    plain_marks: bool = False
+    #: Sentence marks of all scripts count, not only those of ``MARKS``.
+    all_scripts: bool = False
+
+
+MARKS = r"[.!?…:;,。！？、]"
+#: Other punctuation of any script (danda, Arabic and Urdu signs, ...) but signs that end or part no sentence.
+ALL_MARKS = r"""[\p{Po}&&[^#%&*@/\\'"•·]]"""
+#: Marks at the begin of a line, and signs beside a number.
+PLAIN = r"^\s*(?:(?:#{1,6}|[*>])\s+)+|\$(?=\d)|(?<=\d)\s?%"
+#: The pipeline's rules; those of the query are fixed by its SQL form.
+PRODUCTION = LineRules(min_symbols=3, plain_marks=True, all_scripts=True)
 
 
 def _count(c: Column, drop: str) -> Column:
@@ -55,7 +70,7 @@ def _count(c: Column, drop: str) -> Column:
     return F.char_length(F.regexp_replace(c, drop + "+", ""))
 
 
-def line_facts(line: Column) -> Column:
+def line_facts(line: Column, rules: LineRules = LineRules()) -> Column:
     """What the rules look at, each computed once."""
     words = words_of(line)
     return F.struct(
@@ -65,7 +80,7 @@ def line_facts(line: Column) -> Column:
         _count(line, r"[^\p{L}]").alias("letters"),
         _count(line, r"[^\p{Lu}]").alias("upper"),
         _count(line, r"[^\p{N}]").alias("digits"),
-        _count(line, r"[^#*$%&|<>]").alias("symbols"),
+        _count(F.regexp_replace(line, PLAIN, "") if rules.plain_marks else line, r"[^#*$%&|<>]").alias("symbols"),
         _count(line, "[^|»›•·]").alias("separators"),
     )
 
@@ -74,6 +89,8 @@ def line_fails(x: Column, rules: LineRules = LineRules()) -> Column:
     """Whether a line of these facts is removed; blank lines never fail."""
     n_words = F.size(x["w"])
     symbol_noise = x["symbols"] * 100 > x["chars"] * rules.max_symbol_pct
+    if rules.min_symbols > 1:
+        symbol_noise &= x["symbols"] >= rules.min_symbols
     shouting = (x["letters"] >= rules.min_shout_letters) & (x["upper"] * 100 > x["letters"] * rules.max_upper_pct)
     # Vocabulary grows about as the root of the length, so long lines of prose pass.
     distinct = F.size(F.array_distinct(x["w"])).cast("long")
@@ -81,7 +98,7 @@ def line_fails(x: Column, rules: LineRules = LineRules()) -> Column:
         (n_words >= rules.min_repeat_words) & (distinct * rules.max_repeat_factor < n_words) & (distinct * distinct < 4 * n_words)
     )
     navigation = (x["separators"] >= rules.min_separators) & (x["separators"] * 4 >= n_words)
-    unpunctuated = (n_words >= rules.min_unpunctuated_words) & ~x["t"].rlike(r"[.!?…:;,。！？、]")
+    unpunctuated = (n_words >= rules.min_unpunctuated_words) & ~x["t"].rlike(ALL_MARKS if rules.all_scripts else MARKS)
     boilerplate = (n_words <= rules.max_boilerplate_words) & F.lower(x["t"]).rlike(BOILERPLATE)
     no_text = x["letters"] + x["digits"] == 0
     return (x["chars"] > 0) & (
@@ -121,7 +138,7 @@ def judge_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
     df = docs.withColumn("__w", words_of(text)).withColumn("__l", F.split(text, "\n"))
     df = _with_repeats(df)
     worded = F.filter("__l", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumns({"__f": F.transform("__l", line_facts), "__v": worded})
+    df = df.withColumns({"__f": F.transform("__l", lambda x: line_facts(x, rules)), "__v": worded})
     judged = F.transform(
         "__f", lambda x: F.struct(x["t"].alias("t"), x["chars"].alias("chars"), line_fails(x, rules).alias("bad"))
     )

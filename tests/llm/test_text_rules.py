@@ -44,6 +44,19 @@ def test_line_facts(docs):
     assert kept[16].kept and "LOUD" not in kept[16].clean_text and kept[16].n_lines_removed == 1
 
 
+def test_production_rules_keep_clean_lines(spark):
+    word = lambda letters, n: " ".join(letters * 3 + chr(0x0915 + i) for i in range(n))
+    good = ["## Introduction", "* item", "> quoted", "R&D costs", "$5 each", "up 5 %", "* 10% off", word("क", 25) + "\u0964", word("ب", 25) + "\u06d4", "5 * 3"]
+    bad = ["$$$ win ### now ***", "#### | ****", word("a", 30), word("a", 30) + " don't"]
+    rows = [(i, x) for i, x in enumerate(good + bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_lines_removed for r in line_rules.judge_lines(df, rules=line_rules.PRODUCTION).collect()}
+    assert [got[i] for i, _ in rows] == [0] * len(good) + [1] * len(bad)
+    text = "\n".join(["# Title", *(f"* item {prose(i, 3)}" for i in range(12))])
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert line_rules.judge_lines(one, rules=line_rules.PRODUCTION).first().clean_text == text
+
+
 def test_line_rules_empty(empty):
     assert line_rules.judge_lines(empty).count() == 0
 
