@@ -1,6 +1,7 @@
 """URL filter: a weighted term vocabulary searched by Aho-Corasick, plus host/path rules.
 
-Every URL is scanned once, whatever the size of the vocabulary. A term counts
+Host and path of every URL are scanned once, whatever the size of the vocabulary; query and
+fragment aren't scanned (the SQL form fixes this). A term counts
 only between boundaries (the neighbours are no ASCII letters or digits). A URL
 is blocked by one strict term, or by ``min_soft`` distinct soft terms. List
 rules (host and path prefix) come first: the longest fitting rule decides.
