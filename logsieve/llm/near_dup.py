@@ -13,16 +13,16 @@ Where work is done. Nodes that could fill a task alone (counted exactly; at most
 their recursion inside the task that holds them. A node still hot at the last
 level is dealt over tasks by a salt, different in each tree, into parts of about ``hot_rows``. A node that is
 large at the last level first compares its documents with its most typical ones and
-in blocks of ``leaf``. When the links so found are united, every two of its
-members that are still in different components are compared as well, in pairs
-of blocks of ``block`` rows that are dealt over the tasks; the members of the node's
-largest component are not compared with each other again. These pairs are confirmed where
-the blocks meet, so only links leave the task, never the candidates.
+in blocks of ``leaf``. When the links so found are united, what such nodes still hold
+in different components is joined exactly (``rest_links``): their shingles are counted, and
+a pair either shares a rare shingle, by which it is found, or could link on frequent ones
+alone; only documents for which those suffice meet in pairs of blocks, where the
+sizes of all intersections are one matrix product. Neither way ranks or cuts.
 
-Confirmation of the other candidates runs in two rounds: each document's best one, then all
+Confirmation of the candidates runs in two rounds: each document's best one, then all
 others but the pairs whose ends are already connected, which cannot change a
-component. Every candidate between components is confirmed on full sets before
-it is dropped. Texts travel only if a round needs them.
+component (of those in large nodes only the best of each component). Every candidate of small nodes between
+components is confirmed on full sets before it is dropped. Texts travel only if a round needs them, once for each ``HUB`` edges of a document.
 
 Defined results: null and empty texts have an empty set, link with nothing and
 stay. Texts of fewer than ``k`` words are one shingle. Repeated rows get the
@@ -51,6 +51,8 @@ from .shingles import minwise, minwise_keys, overlap, sets_of
 EDGES_PER_TASK = 500_000
 #: Rows at most of the table that says which texts a round needs.
 BUCKETS = 1 << 20
+#: Edges of one document that meet one copy of its text.
+HUB = 500
 
 
 @dataclass(frozen=True)
@@ -68,8 +70,11 @@ class Join:
     #: Standard deviations of the sketch by which a candidate may fall short.
     slack: float = 3.5
     hot_rows: int = 2000
-    #: Rows of one block of a node that is large at the last level.
+    #: Rows and shingles of one block of a node that is large at the last level.
     block: int = 500
+    block_shingles: int = 500_000
+    #: Shingles of so many documents at most, among those of large nodes, are rare.
+    rare: int = 32
 
     def __post_init__(self):
         if self.trees is None:
@@ -162,18 +167,22 @@ def _spread_hot(rows: DataFrame, join: Join, partitions: int) -> DataFrame:
             salts = F.greatest(F.lit(2), F.ceil(F.col("count") / join.hot_rows))
             rest = rest.join(F.broadcast(counts.where(F.col("node").isin(names))), "node")
             salt = F.pmod(F.xxhash64("id", "tree"), salts)
-            rows = rest.withColumn("node", F.xxhash64("node", salt)).drop("count")
+            rest = rest.withColumns({"node": F.xxhash64("node", salt), "level": F.lit(join.depth + 1)})
+            rows = rest.drop("count")
     return rows if done is None else done.unionByName(rows)
 
 
-def _pairs_in(rows: np.ndarray, columns: dict, join: Join, level: int, out: list) -> None:
-    """Candidate pairs of one node, by further branching while it is large."""
+def _pairs_in(rows: np.ndarray, columns: dict, join: Join, level: int, out: list, hints: list, large: list) -> None:
+    """Candidate pairs of one node, by further branching while it is large.
+
+    ``large`` gets the nodes left large, which rest_links joins; ``hints`` a likely partner of each document in them.
+    """
     stack = [(rows, level)]
     while stack:
         at, deep = stack.pop()
-        if len(at) < 2:
+        if len(at) < 2 and deep <= join.depth:
             continue
-        if len(at) <= join.leaf:
+        if len(at) <= join.leaf and deep <= join.depth:
             _compare(at, at, columns, join, out)
         elif deep < join.depth:
             value = columns["path"][at, deep]
@@ -181,10 +190,17 @@ def _pairs_in(rows: np.ndarray, columns: dict, join: Join, level: int, out: list
             cuts = np.flatnonzero(np.diff(value[order])) + 1
             stack += [(part, deep + 1) for part in np.split(at[order], cuts) if len(part) > 1]
         else:
-            # Pairs that these leave in different components are left to rest_links.
-            _compare(_typical(at, columns["sketch"]), at, columns, join, out)
+            large.append(at)
+            likely: list = []
+            _compare(_typical(at, columns["sketch"]), at, columns, join, likely)
             for i in range(0, len(at), join.leaf):
-                _compare(at[i : i + join.leaf], at[i : i + join.leaf], columns, join, out)
+                _compare(at[i : i + join.leaf], at[i : i + join.leaf], columns, join, likely)
+            best: dict[int, tuple] = {}
+            for pair in sorted(set(likely)):
+                for x in pair[:2]:
+                    if x not in best or pair[2] > best[x][2]:
+                        best[x] = pair
+            hints += best.values()
 
 
 def _typical(at: np.ndarray, sketch: np.ndarray, n: int = 3) -> np.ndarray:
@@ -230,16 +246,21 @@ def _fixed(t: pa.Table, name: str, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(t.num_rows, width)
 
 
-def _found(pairs: list) -> pa.RecordBatch:
-    pairs = sorted(set(pairs))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([f[i] for f in pairs], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))],
-        names=["u", "v", "score"],
-    )
+def _found(pairs: list, hints: list, large: list, columns: dict) -> pa.RecordBatch:
+    """Rows (u, v, score) of pairs, with ``tree`` -1 of hints, and (u, tree, node) of documents in nodes left large."""
+    pairs = sorted(set(pairs)) + [(*p, -1, None) for p in sorted(set(hints))]
+    for at in large:
+        tree, path = int(columns["tree"][at[0]]), columns["path"][at[0]].tobytes()
+        node = int.from_bytes(blake2b(path, digest_size=8, salt=tree.to_bytes(4, "little")).digest(), "little", signed=True)
+        pairs += [(int(i), None, None, tree, node) for i in columns["id"][at]]
+    kinds = {"u": pa.int64(), "v": pa.int64(), "score": pa.int32(), "tree": pa.int32(), "node": pa.int64()}
+    rows = [(*p, None, None) if len(p) == 3 else p for p in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def candidate_pairs(classes: DataFrame, join: Join) -> DataFrame:
-    """(u, v, score) with u < v: classes that met in a small node with similar sketches."""
+    """(u, v, score) with u < v: classes that met in a small node with similar sketches; the same with ``tree`` -1:
+    likely partners in a large node; (u, tree, node): class u is in a node that is large at the last level of a tree."""
     n = shuffle_partitions(classes.sparkSession)
     rows = _spread_hot(_branches(classes, join), join, n)
     rows = rows.repartition(n, "node").sortWithinPartitions("node")
@@ -249,58 +270,109 @@ def candidate_pairs(classes: DataFrame, join: Join) -> DataFrame:
             columns = {
                 "id": t["id"].to_numpy(),
                 "size": t["n_shingles"].to_numpy(),
+                "tree": t["tree"].to_numpy(),
                 "path": _fixed(t, "path", "<u4", join.depth),
                 "sketch": _fixed(t, "sketch", np.uint8, join.sketch),
             }
             node, level = t["node"].to_numpy(), t["level"].to_numpy()
             found: list = []
+            hints: list = []
+            large: list = []
             for part in np.split(np.arange(t.num_rows), np.flatnonzero(np.diff(node)) + 1):
-                if len(part) > 1:
-                    _pairs_in(part, columns, join, int(level[part[0]]), found)
-            yield _found(found)
+                _pairs_in(part, columns, join, int(level[part[0]]), found, hints, large)
+            yield _found(found, hints, large, columns)
+
+    pairs = rows.mapInArrow(work, "u bigint, v bigint, score int, tree int, node bigint")
+    return pairs.groupBy("u", "v", "tree", "node").agg(F.max("score").alias("score"))
 
-    pairs = rows.mapInArrow(work, "u bigint, v bigint, score int")
-    return pairs.groupBy("u", "v").agg(F.max("score").alias("score"))
 
+def shingle_rows(texts: DataFrame, join: Join) -> DataFrame:
+    """(id, shingle) of (id, text): a row for each shingle of the set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, shingles in enumerate(sets_of(batch.column(1), join.k)):
+                ids = pa.array(np.full(len(shingles), batch.column(0)[i].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(shingles.view(np.int64))], names=["id", "shingle"])
+
+    return texts.select("id", "text").mapInArrow(work, "id bigint, shingle bigint")
 
-def rest_links(classes: DataFrame, texts: DataFrame, labels: DataFrame, join: Join) -> DataFrame | None:
-    """(u, v) with u < v: links that join different components in nodes large at the last level, if there are such nodes.
 
-    A node's rows are its largest component and the others; each is dealt over blocks.
-    Every block of others meets all blocks of the node, so no two rows of
-    different components miss each other, however large the node is. Pairs that
-    also meet in an earlier tree are left to it.
+def rest_links(classes: DataFrame, texts: DataFrame, labels: DataFrame, large: DataFrame, join: Join) -> DataFrame | None:
+    """(u, v) with u < v: links between components inside the nodes of ``large`` (id, tree, node), if any node holds two.
+
+    With sets of s and t shingles a link needs an intersection of percent * (s + t) / (100 + percent)
+    shingles. Shingles of over ``rare`` held documents are frequent, c of a document's. If min(c, c')
+    is less than that, the rest must be rare shingles in common, so the pair meets at one of the rarest shingles of both
+    (a prefix filter), in lists of at most ``rare`` documents. All other pairs are of documents whose frequent shingles could
+    suffice (``dense``). These meet in pairs of blocks, every one outside the node's largest component with all.
     """
     n = shuffle_partitions(classes.sparkSession)
-    width = 4 * join.depth
-    path = F.expr(f"substring(paths, tree * {width} + 1, {width})")
-    rows = classes.select("id", "paths").join(labels.select("id", "label"), "id", "left")
-    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(join.trees - 1))))
-    rows = durable(rows.select("id", F.coalesce("label", "id").alias("label"), "tree", F.xxhash64("tree", path).alias("node")))
-    parts = rows.groupBy("node", "label").count()
-    nodes = parts.groupBy("node").agg(
-        F.sum("count").alias("n"),
-        F.max("count").alias("n_most"),
-        F.max_by("label", F.struct("count", "label")).alias("most"),
+    least = lambda s, t: F.ceil(join.percent * (s + t) / (100 + join.percent))
+    marks = large.join(labels.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "tree", "node")
+    mixed = marks.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("z")).where(F.col("a") != F.col("z"))
+    marks = durable(marks.join(mixed.select("node"), "node"))
+    if not marks.take(1):
+        return None
+    held = durable(marks.groupBy("id").agg(F.first("label").alias("label")))
+    needed = durable(_within_buckets(texts, held, ["id"]).join(held.select("id"), "id", "left_semi").distinct())
+    rows = shingle_rows(needed, join)
+    often = rows.groupBy("shingle").count().where(F.col("count") > 1)
+    counted = rows.join(often, "shingle").groupBy("id").agg(
+        F.count_if(F.col("count") > join.rare).alias("c"),
+        F.count_if(F.col("count") <= join.rare).alias("r"),
+        F.collect_list(F.when(F.col("count") <= join.rare, F.struct("count", "shingle"))).alias("rare"),
+    )
+    # One row for each held document, no longer than its own set.
+    facts = counted.join(classes.select("id", F.col("n_shingles").alias("s")), "id").join(held, "id")
+    wanted = F.greatest(F.lit(1), least(F.col("s"), F.ceil(F.col("s") * join.percent / 100)) - F.col("c"))
+    # Shingles of one document only are the rarest of all.
+    prefix = F.col("r") - wanted + 1
+    facts = durable(
+        facts.select("id", "label", "s", "c", F.slice(F.array_sort("rare"), F.lit(1), F.greatest(F.lit(0), prefix).cast("int")).alias("rare"))
+    )
+    lists = facts.select(F.explode("rare").alias("x"), F.struct("id", "label", "s", "c").alias("d"))
+    lists = lists.groupBy("x.shingle").agg(F.array_sort(F.collect_list("d")).alias("ds")).where(F.size("ds") > 1)
+    fits = lambda a, b: (a["label"] != b["label"]) & (F.least(a["s"], b["s"]) * 100 >= F.greatest(a["s"], b["s"]) * join.percent)
+    met = F.flatten(
+        F.transform("ds", lambda a: F.transform(F.filter("ds", lambda b: (b["id"] > a["id"]) & fits(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v"))))
     )
-    nodes = nodes.where((F.col("n") > join.leaf) & (F.col("n_most") < F.col("n")))
-    blocks = lambda c: F.ceil(c / join.block).cast("int")
+    by_rare = durable(lists.select(F.explode(met).alias("p")).select("p.u", "p.v").distinct())
+    links = confirm(by_rare, needed, join).where("linked").select("u", "v")
+    dense = _dense_cells(marks, facts, join, least)
+    if dense.take(1):
+        links = links.unionByName(_dense_links(dense, needed, n, join))
+    return links
+
+
+def _dense_cells(marks: DataFrame, facts: DataFrame, join: Join, least) -> DataFrame:
+    """(id, label, s, c, cell, block): each document whose frequent shingles could suffice, in every cell of its block."""
+    rows = marks.select("id", "node").join(facts.drop("rare"), "id")
+    shortest = rows.groupBy("node").agg(F.min("s").alias("shortest"))
+    rows = rows.join(shortest, "node")
+    other = F.greatest(F.col("shortest"), F.ceil(F.col("s") * join.percent / 100))
+    rows = durable(rows.where(least(F.col("s"), other) <= F.col("c")).drop("shortest"))
+    parts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("w"))
+    nodes = parts.groupBy("node").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("n_most"), F.max_by(F.struct("label", "w"), F.struct("n", "label")).alias("most")
+    ).where(F.col("n_most") < F.col("n"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / join.block), F.ceil(w / join.block_shingles)).cast("int")
     nodes = nodes.select(
-        "node", "most", blocks(F.col("n_most")).alias("n_first"), blocks(F.col("n") - F.col("n_most")).alias("n_other")
+        "node",
+        F.col("most.label").alias("most"),
+        blocks(F.col("n_most"), F.col("most.w")).alias("n_first"),
+        blocks(F.col("n") - F.col("n_most"), F.col("w") - F.col("most.w")).alias("n_other"),
     )
     first = F.col("label") == F.col("most")
-    block = F.when(first, F.pmod(F.xxhash64("id"), F.col("n_first"))).otherwise(
-        F.col("n_first") + F.pmod(F.xxhash64("id"), F.col("n_other"))
-    )
+    block = F.when(first, F.pmod(F.xxhash64("id"), F.col("n_first"))).otherwise(F.col("n_first") + F.pmod(F.xxhash64("id"), F.col("n_other")))
     others = F.sequence(F.when(first, F.col("n_first")).otherwise(0), F.col("n_first") + F.col("n_other") - 1)
-    cells = durable(rows.join(nodes, "node").select("id", "label", "tree", "node", block.alias("block"), F.explode(others).alias("meets")))
-    if not cells.take(1):
-        return None
+    cells = rows.join(nodes, "node").select("id", "label", "s", "c", "node", block.alias("block"), F.explode(others).alias("meets"))
     cell = F.xxhash64("node", F.least("block", "meets"), F.greatest("block", "meets"))
-    ends = cells.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    cells = cells.select("id", "label", "tree", cell.alias("cell"), "block")
-    cells = cells.join(classes.select("id", "n_shingles", "paths", "sketch"), "id").join(_within_buckets(texts, ends), "id")
-    cells = cells.repartition(n, "cell").sortWithinPartitions("cell")
+    return durable(cells.select("id", "label", "s", "c", cell.alias("cell"), "block"))
+
+
+def _dense_links(cells: DataFrame, texts: DataFrame, n: int, join: Join) -> DataFrame:
+    cells = cells.join(texts.select("id", "text"), "id").repartition(n, "cell").sortWithinPartitions("cell")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, "cell"):
@@ -315,13 +387,19 @@ def rest_links(classes: DataFrame, texts: DataFrame, labels: DataFrame, join: Jo
 
 def _links_in(t: pa.Table, join: Join) -> list[tuple[int, int]]:
     """Links between components of a cell's two blocks, enough to connect all that they connect."""
-    ids, size, label, block = (t[name].to_numpy() for name in ("id", "n_shingles", "label", "block"))
-    sketch = _fixed(t, "sketch", np.uint8, join.sketch)
-    tree = t["tree"][0].as_py()
-    paths = _fixed(t, "paths", "<u4", join.trees * join.depth)[:, : tree * join.depth].reshape(len(ids), tree, join.depth)
+    ids, size, core, label, block = (t[name].to_numpy() for name in ("id", "s", "c", "label", "block"))
     low = np.flatnonzero(block == block.min())
+    high = low if len(low) == len(ids) else np.flatnonzero(block != block.min())
+    most = np.minimum(core[high][:, None], core[low][None, :]) * (100 + join.percent)
+    need = (size[high][:, None] + size[low][None, :]) * join.percent
+    open_ = (label[high][:, None] != label[low][None, :]) & (most >= need) & (ids[high][:, None] != ids[low][None, :])
+    high, low, need = high[open_.any(axis=1)], low[open_.any(axis=0)], need[open_.any(axis=1)][:, open_.any(axis=0)]
+    if not len(high):
+        return []
+    either = np.union1d(high, low)
+    sets = list(sets_of(t["text"].take(pa.array(either)).combine_chunks(), join.k))
+    shared = intersections(sets, np.searchsorted(either, high), np.searchsorted(either, low))
     above: dict[int, int] = {}
-    sets: dict[int, np.ndarray] = {}
 
     def root(x: int) -> int:
         while above.setdefault(x, x) != x:
@@ -329,36 +407,56 @@ def _links_in(t: pa.Table, join: Join) -> list[tuple[int, int]]:
             x = above[x]
         return x
 
-    def shingles(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = next(sets_of(t["text"].slice(i, 1).combine_chunks(), join.k))
-        return sets[i]
-
     links = []
-    for i in low if len(low) == len(ids) else np.flatnonzero(block != block.min()):
-        others = low[low > i] if len(low) == len(ids) else low
-        match = (sketch[others] == sketch[i]).sum(axis=1)
-        shorter, longer = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-        good = (match >= join.least_matches) & (shorter * 100 >= longer * join.percent) & (label[others] != label[i])
-        others, match = others[good], match[good]
-        before = (paths[others] == paths[i]).all(axis=2).any(axis=1)
-        for j in others[~before][np.argsort(-match[~before], kind="stable")]:
-            a, b = root(int(label[i])), root(int(label[j]))
-            if a == b or ids[i] == ids[j]:
-                continue
-            x, y = shingles(int(i)), shingles(int(j))
-            shared = overlap(x, y)
-            if shared and 100 * shared >= join.percent * (len(x) + len(y) - shared):
-                above[max(a, b)] = min(a, b)
-                links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    for i, j in zip(*np.nonzero((shared > 0) & (shared * (100 + join.percent) >= need)), strict=True):
+        x, y = high[i], low[j]
+        a, b = root(int(label[x])), root(int(label[y]))
+        if a != b and ids[x] != ids[y]:
+            above[max(a, b)] = min(a, b)
+            links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
     return links
 
 
+def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of two groups of sets, as products of 0/1 matrices of ``width`` values at a time."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    many = count > 1  # values of one set only meet nothing
+    rank = np.cumsum(many) - 1
+    owner, place = owner[many[place]], rank[place[many[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(rows), len(columns)), np.int64)
+    for at in range(0, int(many.sum()), width):
+        part = slice(*np.searchsorted(place, (at, at + width)))
+        found = np.zeros((len(sets), width), np.float32)
+        found[owner[part], place[part] - at] = 1
+        out += (found[rows] @ found[columns].T).astype(np.int64)
+    return out
+
+
+def _with_text(edges: DataFrame, texts: DataFrame, end: str, other: str) -> DataFrame:
+    """Adds text_<end>. Edges of a document with many are dealt by a salt over copies of its text."""
+    many = edges.groupBy(end).count().where(F.col("count") > HUB)
+    parts = many.select(end, F.ceil(F.col("count") / HUB).alias("__n"))
+    salted = edges.join(parts, end, "left").withColumn("__s", F.pmod(F.xxhash64(other), F.coalesce("__n", F.lit(1)))).drop("__n")
+    copies = texts.join(parts.withColumnRenamed(end, "id"), "id", "left")
+    copies = copies.select(
+        F.col("id").alias(end), F.col("text").alias(f"text_{end}"), F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1)).alias("__s")
+    )
+    return salted.join(copies, [end, "__s"]).drop("__s")
+
+
 def confirm(edges: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """(u, v, linked) of pairs, on the full sets of both texts."""
-    a = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
-    b = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    both = edges.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v")
+    both = edges.select("u", "v")
+    if edges.groupBy("u").count().where(F.col("count") > HUB).take(1) or edges.groupBy("v").count().where(F.col("count") > HUB).take(1):
+        both = _with_text(_with_text(both, texts, "u", "v"), texts, "v", "u")
+    else:
+        for end in "uv":
+            both = both.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    both = both.select("u", "v", "text_u", "text_v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,36 +498,51 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(work, "id bigint, root bigint")
 
 
+def _star_round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges (u, v) with u < v; components stay."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    # Large star: every neighbour above u joins u's least neighbour.
+    edges = edges.join(near, "u").select(F.col("m").alias("u"), "v").distinct()
+    # Small star: u and its neighbours below join the least of them.
+    least = edges.groupBy("v").agg(F.min("u").alias("m"))
+    lower = edges.join(least, "v").where(F.col("u") != F.col("m")).select(F.col("m").alias("u"), F.col("u").alias("v"))
+    return lower.unionByName(least.select(F.col("m").alias("u"), "v")).distinct()
+
+
 def components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(id, label) for every id in ``edges`` (u, v): the smallest id reachable.
 
-    Each task unites the edges it holds (at most about ``per_task`` on average), so a
-    table of p tasks leaves at most p roots for an id. Roots that share an id
-    are the edges of a smaller graph, solved in the same way.
+    Up to ``per_task`` edges are united in one task. More are first united inside the tasks that
+    hold them, then by alternating large-star and small-star rounds, whose number grows with the logarithm
+    of the vertices, until each component is a star around its smallest id.
     """
     edges = durable(edges.select("u", "v"))
     tasks = -(-edges.count() // per_task)
-    stars = durable(_forest(edges.coalesce(1) if tasks <= 1 else edges.repartition(tasks)))
+    stars = _forest(edges.coalesce(1) if tasks <= 1 else edges.repartition(tasks))
     if tasks <= 1:
-        return stars.withColumnRenamed("root", "label")
-    least = durable(stars.groupBy("id").agg(F.min("root").alias("least")))
-    between = stars.join(least, "id").where(F.col("root") != F.col("least"))
-    between = durable(between.select(F.col("least").alias("u"), F.col("root").alias("v")).distinct())
-    if not between.take(1):
-        return least.withColumnRenamed("least", "label")
-    higher = components(between, per_task).select(F.col("id").alias("least"), "label")
-    return least.join(higher, "least", "left").select("id", F.coalesce("label", "least").alias("label"))
+        return durable(stars.withColumnRenamed("root", "label"))
+    edges = durable(stars.where("id <> root").select(F.col("root").alias("u"), F.col("id").alias("v")).distinct())
+    state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    before = None
+    while (now := state(edges)) != before:
+        before, edges = now, durable(_star_round(edges))
+    roots = edges.select(F.col("u").alias("id"), F.col("u").alias("label")).distinct()
+    return durable(edges.select(F.col("v").alias("id"), F.col("u").alias("label")).unionByName(roots))
 
 
-def _within_buckets(texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Drops most texts that no edge needs before anything is shuffled.
+def _within_buckets(texts: DataFrame, rows: DataFrame, ends: list[str]) -> DataFrame:
+    """Drops most texts that no row needs before anything is shuffled.
 
-    The ends of the edges are hashed to ``BUCKETS`` numbers; that table has
-    at most so many rows, whatever the input, and is broadcast.
+    The ends of the rows are hashed to 64 times as many buckets; that table has at most ``BUCKETS`` rows and is
+    broadcast. Beyond it the texts that are needed are no small part any more, and all go to the join.
     """
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
-    ends = edges.select(F.explode(F.array("u", "v")).alias("id"))
-    wanted = ends.select(bucket.alias("__b")).distinct()
+    wanted = rows.select(F.explode(F.array(*ends)).alias("id"))
+    n = rows.count() * len(ends)
+    if n > BUCKETS:
+        return texts
+    bucket = F.pmod(F.xxhash64("id"), F.lit(64 * max(n, 1)))
+    wanted = wanted.select(bucket.alias("__b")).distinct()
     return texts.withColumn("__b", bucket).join(F.broadcast(wanted), "__b", "left_semi").drop("__b")
 
 
@@ -449,27 +562,32 @@ def link_documents(
             F.first("sketch").alias("sketch"),
         )
     )
-    pairs = durable(candidate_pairs(classes, join).coalesce(few))
+    met = durable(candidate_pairs(classes, join).coalesce(few))
+    pairs = met.where("v IS NOT NULL").select("u", "v", "score", (F.col("tree") == -1).alias("hint"))
+    large = met.where("v IS NULL").select(F.col("u").alias("id"), "tree", "node")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     # First round: the best candidate of each class.
     ends = pairs.select("u", "v", "score", F.explode(F.array("u", "v")).alias("end"))
     best = F.max_by(F.struct("u", "v"), F.struct("score", -F.col("u"), -F.col("v")))
     left = durable(ends.groupBy("end").agg(best.alias("e")).select("e.u", "e.v").distinct().coalesce(few))
-    checked = durable(confirm(left, _within_buckets(texts, left), join))
+    checked = durable(confirm(left, _within_buckets(texts, left, ["u", "v"]), join))
     links = checked.where("linked").select("u", "v")
     labels = components(links)
-    # Second round: every other candidate between components.
+    # Second round: every other candidate between components, and of the hints each component's best one.
     of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
     rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    rest = rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")
+    rest = rest.withColumns({"lu": F.coalesce("lu", "u"), "lv": F.coalesce("lv", "v")}).where(F.col("lu") != F.col("lv"))
+    hints = rest.where(F.coalesce("hint", F.lit(False))).select("u", "v", "score", F.explode(F.array("lu", "lv")).alias("label"))
+    hints = hints.groupBy("label").agg(best.alias("e")).select("e.u", "e.v")
+    rest = rest.where("hint IS NULL").select("u", "v").unionByName(hints).distinct()
     rest = durable(rest.join(checked.select("u", "v"), ["u", "v"], "left_anti").coalesce(few))
     if rest.take(1):
-        more = durable(confirm(rest, _within_buckets(texts, rest), join).where("linked"))
+        more = durable(confirm(rest, _within_buckets(texts, rest, ["u", "v"]), join).where("linked"))
         if more.take(1):
             links = links.unionByName(more.select("u", "v"))
             labels = components(links)
     # What large nodes still hold apart.
-    more = rest_links(classes, texts, labels, join)
+    more = rest_links(classes, texts, labels, large, join)
     if more is not None:
         more = durable(more.coalesce(few))
         if more.take(1):

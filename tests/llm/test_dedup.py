@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -115,9 +116,10 @@ def test_near_groups_and_chains(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {x.doc_id: x.component_id for x in near_dup.link_documents(df, Join(k=3, percent=85)).collect()}
     assert got == want
-    hot = Join(k=3, percent=85, hot_rows=20, leaf=8, depth=3)  # every large node goes through the distributed levels
+    # Every large node goes through the distributed levels, and salts at the last one.
+    hot = Join(k=3, percent=85, hot_rows=20, leaf=8, depth=3, target=0.9999)
     got = {x.doc_id: x.component_id for x in near_dup.link_documents(df, hot).collect()}
-    assert sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
+    assert got == want
 
 
 def family(members, links):
@@ -147,6 +149,51 @@ def test_near_family_below_threshold(spark, hot_rows):
     assert got == want
 
 
+def templates(pairs, inside, across, boilerplate=1002):
+    """Pages of one template in pairs: similarity ``inside`` a pair and ``across`` pairs, of three-word shingles."""
+    r = random.Random(17)
+    shared = [r.choice(WORDS) + str(r.randrange(40)) for _ in range(boilerplate)]
+    n = boilerplate - 2
+    own = (n / across - n) / 2  # further shingles of a page
+    common = round((inside * (n + 2 * own) - n) / (1 + inside))  # of them also its partner's
+    own = round(own)
+    rows = []
+    for p in range(pairs):
+        for side in (0, 1):
+            tail = [f"p{p}w{j}" for j in range(common)] + [f"p{p}s{side}w{j}" for j in range(own - common)]
+            rows.append((2 * p + side, " ".join(shared + tail)))
+    return rows
+
+
+@pytest.mark.parametrize(("pairs", "inside", "across"), [(750, 0.859, 0.843), (2000, 0.859, 0.843), (750, 0.853, 0.820)])
+def test_near_templates(spark, pairs, inside, across):
+    """Pages just below the threshold around pairs just above it: every pair is found, and nothing else."""
+    df = spark.createDataFrame(templates(pairs, inside, across), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in near_dup.link_documents(df, near_dup.CONTRACT).collect()}
+    right = sum(got[2 * p + 1] == 2 * p for p in range(pairs))
+    assert all(c // 2 == i // 2 for i, c in got.items())
+    assert right >= 0.97 * pairs  # the trees' target is 0.99
+
+
+def test_near_templates_of_frequent_shingles(spark):
+    """Every shingle is frequent: two slots of a template, filled from pools; only the matrix product can decide."""
+    r = random.Random(18)
+    base = [r.choice(WORDS) + str(r.randrange(30)) for _ in range(200)]
+    fill = lambda tag, i, n: [f"{tag}{i}w{j}" for j in range(n)]
+    rows = [(i, " ".join(base + fill("a", i % 60, 22) + fill("b", i * 7 // 60 % 60, 4))) for i in range(2400)]
+    want, _ = brute_components([rows[i] for i in range(0, 2400, 8)], 3, 85)
+    df = spark.createDataFrame([rows[i] for i in range(0, 2400, 8)], "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in near_dup.link_documents(df, Join(k=3, percent=85, rare=2)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 300
+
+
+def test_intersections():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 300, r.integers(0, 120))).astype(np.uint64) for _ in range(40)]
+    got = near_dup.intersections(sets, np.arange(10), np.arange(5, 40), width=16)
+    assert got.tolist() == [[len(set(sets[i]) & set(sets[j])) for j in range(5, 40)] for i in range(10)]
+
+
 def test_salts_follow_each_node(spark):
     rows = [(i, 1, tree, bytes(4), bytes(128), 1, tree) for tree, n in ((0, 100), (1, 20)) for i in range(n)]
     df = spark.createDataFrame(rows, "id long, n_shingles long, tree int, path binary, sketch binary, level int, node long")
@@ -172,6 +219,24 @@ def test_components_in_parts(spark):
     assert {x.id: x.label for x in got} == {x: find(x) for x in label}
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    rounds, step = [], near_dup._star_round
+    monkeypatch.setattr(near_dup, "_star_round", lambda e: rounds.append(1) or step(e))
+    ids = np.random.default_rng(6).permutation(100_001)
+    edges = [(int(min(a, b)), int(max(a, b))) for a, b in zip(ids[:-1], ids[1:], strict=True)]
+    got = near_dup.components(spark.createDataFrame(edges, "u long, v long"), per_task=5000)
+    assert got.count() == 100_001 and got.where("label <> 0").count() == 0
+    assert len(rounds) <= 20
+
+
+def test_hubs_meet_copies_of_their_text(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HUB", 7)
+    texts = spark.createDataFrame([(i, prose(1, 30) if i < 60 else prose(2, 30)) for i in range(90)], "id long, text string")
+    edges = spark.createDataFrame([(0, i) for i in range(1, 90)] + [(i, 89) for i in range(1, 89)], "u long, v long")
+    got = {(r.u, r.v): r.linked for r in near_dup.confirm(edges, texts, Join()).collect()}
+    assert got == {(u, v): (u < 60) == (v < 60) for u, v in [(0, i) for i in range(1, 90)] + [(i, 89) for i in range(1, 89)]}
+
+
 def test_trees_reach_the_target():
     for join in (Join(), near_dup.CONTRACT, Join(percent=70), Join(target=0.999)):
         assert all(join.recall(level) >= join.target for level in range(1, join.depth + 1))
