@@ -14,8 +14,9 @@ length, checksum; the ids only if asked for) are checkpointed and shuffled. Sequ
 carry the pass and the partition's number, so they are unique.
 
 Defined results: null text counts as empty (the end id alone); repeated rows
-are packed once each; an empty table gives no rows. Columns beyond id and text
-are not read.
+are packed once each; an empty table gives no rows. Very long texts are cut, in whole pieces but the first. Of
+sequences that fit equally well the one opened first is taken. Columns beyond id and text
+are not read. Strings of special tokens in a text are those tokens, as the tokenizer reads them.
 """
 
 from __future__ import annotations

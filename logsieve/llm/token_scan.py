@@ -10,7 +10,9 @@ groups of ``GROUP`` blocks, then over the groups, so that no window holds more t
 
 Defined results: an empty document counts 0 tokens. Ids after a file's last
 separator are an unfinished document (``complete`` false). Empty files and empty
-tables give no rows. Equal files are counted separately by their names.
+tables give no rows. Equal files are counted separately by their names. Null texts count as empty, null ids
+stay null, repeated rows are counted each; very long texts span as many blocks as they need. Columns beyond id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -163,7 +165,7 @@ def token_shards(
     names = ["shard", "block", "data", "ordinal", "doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, ordinary=True).encode  # the separator must not occur in a text
         shard, block, seen, kept = f"shard-{TaskContext.get().partitionId():05d}", 0, 0, b""
         size = 2 * block_tokens
 

@@ -4,7 +4,8 @@ The pre-tokeniser's split (contractions, letters, numbers, other signs, blanks)
 is computed for a whole buffer of UTF-8 bytes with numpy, Arrow's dictionary
 finds the distinct pieces, and only pieces that this worker hasn't seen go
 through the tokenizer itself. Texts with code points from U+3000 upwards, whose
-classes change between Unicode versions, go through the tokenizer as a whole.
+classes change between Unicode versions, go through the tokenizer as a whole; so do texts that hold the
+string of a special token, which is one id unless the caller asks for ``ordinary`` text.
 
 Bounded memory: buffers of at most ``BLOCK_BYTES`` (or one text), and a memo of
 at most ``MEMO_ENTRIES`` pieces.
@@ -127,14 +128,19 @@ def split_points(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Encoder:
-    """Ids of string columns. One per worker process; see ``encoder``."""
+    """Ids of string columns. One per worker process; see ``encoder``.
 
-    def __init__(self, path: str):
+    ``ordinary``: strings of special tokens are text like any other, so their ids never occur.
+    """
+
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.merger.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens, self.merger.encode_special_tokens = ordinary, True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = () if ordinary else tuple(t.content for t in added if t.content)
         # Pieces are already split, so only bytes are mapped before the merges.
         self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._reset()
@@ -175,6 +181,9 @@ class Encoder:
         if self.n > MEMO_ENTRIES:
             self._reset()
         start, odd = split_points(b, offsets)
+        for mark in self.whole:
+            held = pa.compute.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+            odd = np.union1d(odd, np.flatnonzero(held)).astype(np.int64)
         limits = np.append(start, len(b)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(limits), pa.py_buffer(b)])
         coded = pieces.dictionary_encode()
@@ -200,11 +209,11 @@ class Encoder:
         return ids, bounds
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, ordinary) not in _ENCODERS:
+        _ENCODERS[path, ordinary] = Encoder(path, ordinary)
+    return _ENCODERS[path, ordinary]

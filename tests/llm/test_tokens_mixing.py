@@ -20,17 +20,32 @@ from .conftest import prose
 PARTS = ["'s", "'t", "'re", "'ll", "'S", "'", " ", "  ", "\n", "\r\n", "\t", "a", "B", "é", "1", "22", "½", "\xa0", "　", "漢", "😀", "!", "...", '"', "don't", "<|endoftext|>", "\x1c", "\x85", "_", "٣"]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|>x", "x<|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|>  <|endoftext|>\n", "<|endoftext", "|>"]
+
+
+class Plain:
+    """The tokenizer file as it is, and with special strings as ordinary text."""
+
+    def __init__(self):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.ordinary = Tokenizer.from_file(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+        self.ordinary.encode_special_tokens = True
+
+
 @pytest.fixture(scope="module")
 def encoder():
-    return Encoder(tokenizer_path())
+    return Plain()
 
 
-def test_encoder_equals_tokenizer(encoder):
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_encoder_equals_tokenizer(encoder, ordinary):
     r = random.Random(1)
-    texts = ["".join(r.choices(PARTS, k=r.randint(0, 14))) for _ in range(5000)] + [prose(1, 500), "x" * 5000, ""]
+    texts = ["".join(r.choices(PARTS, k=r.randint(0, 14))) for _ in range(5000)] + [prose(1, 500), "x" * 5000, "", *SPECIAL]
+    own = Encoder(tokenizer_path(), ordinary)
     for block in blocks(pa.array(texts), 10_000):
-        ids, bounds = encoder.encode(block)
-        plain = encoder.tokenizer.encode_batch(block.to_pylist(), add_special_tokens=False)
+        ids, bounds = own.encode(block)
+        plain = (encoder.ordinary if ordinary else encoder.tokenizer).encode_batch(block.to_pylist(), add_special_tokens=False)
         for i, want in enumerate(plain):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == want.ids
 
@@ -43,6 +58,7 @@ def brute_pieces(encoder, text, most=1024):
 
 
 def test_packing(docs, encoder):
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(3000 + i, x) for i, x in enumerate(SPECIAL)], "doc_id long, text string"))
     got = packing.pack_documents(docs, with_ids=True).collect()
     want = sorted((r.doc_id, *p) for r in docs.collect() for p in brute_pieces(encoder, r.text))
     assert sorted((r.doc_id, r.piece, r.start, list(r.ids)) for r in got) == want
@@ -114,9 +130,10 @@ def test_separator_scan_of_files(spark, tmp_path, block_bytes):
 
 
 def test_token_counts_of_documents(spark, docs, encoder, tmp_path):
-    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(3000 + i, x) for i, x in enumerate(SPECIAL)], "doc_id long, text string"), allowMissingColumns=True)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.n_tokens) for r in token_scan.op5_separator_scan(spark, str(tmp_path)).collect())
-    assert got == sorted((r.doc_id, len(encoder.tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert got == sorted((r.doc_id, len(encoder.ordinary.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
     assert token_scan.count_tokens(token_scan.token_shards(docs.where("false"))).count() == 0
 
 
