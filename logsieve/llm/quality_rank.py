@@ -6,13 +6,16 @@ logistic loss on the feature differences; the cut between the classes is the
 quantile of the training scores with the best balanced accuracy, and the strength
 is mapped to a score from 0 to 1 that is 0.7 at the cut.
 
-The fit sees about ``Fit.max_labelled`` rows, chosen by a hash of their ids, and
-runs on the driver over their feature vectors only (bounded by that parameter).
+The fit sees about ``Fit.max_labelled`` labelled ids, chosen by a hash, one feature vector of each, and
+runs on the driver over those vectors only (bounded by that parameter). They are put in order by their
+values before pairs are drawn, so the model doesn't depend on files or partitions.
 Scoring is map-only and reads every text once.
 
 Defined results: null and empty texts have zero features and a score like any
-other. Without labels of both classes every score is 0.5. Repeated rows score
-alike; an empty table gives an empty result. Neither ids, sources, languages nor
+other; very long texts are read whole, one after another. Without labels of both classes every score is 0.5. Repeated
+rows score alike and, like repeated labels of an id, count once in the fit (of different texts the one with the least
+features, of different labels the lower). A score equal to the cut is predicted as 1. An empty table gives an empty result.
+Other columns of the tables, whatever their names, are not read. Neither ids, sources, languages nor
 labels are inputs of a score.
 """
 
@@ -132,20 +135,31 @@ def fit_bradley_terry(features: np.ndarray, quality: np.ndarray, fit: Fit = Fit(
     difference = good[pick.integers(0, len(good), fit.pairs)] - bad[pick.integers(0, len(bad), fit.pairs)]
     weights, speed = np.zeros(features.shape[1]), np.zeros(features.shape[1])
     for _ in range(fit.steps):
-        miss = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
-        speed = 0.9 * speed + difference.T @ miss / len(difference) - fit.ridge * weights
+        speed = 0.9 * speed - loss_gradient(difference, weights, fit.ridge)
         weights = weights + fit.rate * speed
     strength, truth = np.concatenate([good @ weights, bad @ weights]), np.repeat([1, 0], [len(good), len(bad)])
+    return Model(centre, spread, weights, best_cut(strength, truth), 1.0)
+
+
+def loss_gradient(difference: np.ndarray, weights: np.ndarray, ridge: float) -> np.ndarray:
+    """Of the mean of log(1 + exp(-difference @ weights)) and ridge / 2 of the squared weights."""
+    miss = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
+    return ridge * weights - difference.T @ miss / len(difference)
+
+
+def best_cut(strength: np.ndarray, truth: np.ndarray) -> float:
+    """The middle of the widest gap between scores among those with the best balanced accuracy."""
+    n_good = int(truth.sum())
+    n_bad = len(truth) - n_good
     order = np.argsort(strength, kind="stable")
     strength, truth = strength[order], truth[order]
     # Cut after the first i scores: recall of the bad ones before and of the good ones after.
     bad_before, good_before = np.cumsum(1 - truth), np.cumsum(truth)
-    balanced = bad_before / len(bad) + 1 - good_before / len(good)
+    balanced = bad_before / n_bad + 1 - good_before / n_good
     best = np.flatnonzero(balanced >= balanced.max() - 1e-12)
     best = best[best < len(strength) - 1]
     i = best[np.argmax(strength[best + 1] - strength[best])] if len(best) else len(strength) - 2
-    cut = (strength[i] + strength[i + 1]) / 2
-    return Model(centre, spread, weights, float(cut), 1.0)
+    return float((strength[i] + strength[i + 1]) / 2)
 
 
 def held_out(id_col: str):
@@ -154,15 +168,18 @@ def held_out(id_col: str):
 
 
 def _features_frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, f (the features) and quality."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_features(t) for t in blocks(batch.column(1).fill_null(""))]
             flat = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(flat), pa.list_(pa.float64())), batch.column(2)], names=["f", "quality"]
+                [batch.column(0), pa.array(list(flat), pa.list_(pa.float64())), batch.column(2)], names=["id", "f", "quality"]
             )
 
-    return docs.select(id_col, text_col, F.col("quality").cast("int")).mapInArrow(work, "f array<double>, quality int")
+    rows = docs.select(F.col(id_col).cast("string"), text_col, F.col("quality").cast("int"))
+    return rows.mapInArrow(work, "id string, f array<double>, quality int")
 
 
 def train(
@@ -170,16 +187,19 @@ def train(
 ) -> Model | None:
     """The model of the labelled rows that aren't held out."""
     importable(docs.sparkSession)
-    usable = labels.where(~held_out(id_col) & F.col("quality").isin(0, 1)).select(id_col, "quality")
+    usable = labels.where(~held_out(id_col) & F.col("quality").isin(0, 1)).groupBy(id_col).agg(F.min("quality").alias("quality"))
     n = usable.count()
     if n > fit.max_labelled:
         usable = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * fit.max_labelled / n))
     # At most about max_labelled (id, label) pairs: bounded, so it is broadcast.
     rows = docs.select(id_col, text_col).join(F.broadcast(usable), id_col)
-    seen = _features_frame(rows, id_col, text_col).toPandas()
+    seen = _features_frame(rows, id_col, text_col).groupBy("id").agg(F.min("f").alias("f"), F.first("quality").alias("quality"))
+    seen = seen.select("f", "quality").toPandas()  # one row for each of those ids
     if not len(seen):
         return None
-    return fit_bradley_terry(np.array(seen["f"].tolist()), seen["quality"].to_numpy(), fit)
+    features, quality = np.array(seen["f"].tolist()), seen["quality"].to_numpy()
+    order = np.lexsort([quality, *features.T])
+    return fit_bradley_terry(features[order], quality[order], fit)
 
 
 def score_documents(
