@@ -1,28 +1,30 @@
 """URL filter: a weighted term vocabulary searched by Aho-Corasick, plus host/path rules.
 
-Host and path of every URL are scanned once, whatever the size of the vocabulary; query and
-fragment aren't scanned (the SQL form fixes this). A term counts
+Every URL is scanned once and whole, in whatever form it is, with its query and
+fragment, whatever the size of the vocabulary. A term counts
 only between boundaries (the neighbours are no ASCII letters or digits). A URL
-is blocked by one strict term, or by ``min_soft`` distinct soft terms. List
+is blocked by one strict term, or by ``min_soft`` distinct soft terms whose weights add up to ``min_weight``. List
 rules (host and path prefix) come first: the longest fitting rule decides.
 
-Map-only: no shuffle, nothing broadcast but the vocabulary, whose size is a
-parameter of the caller.
+The vocabulary is given as arguments, or read from a table (``read_vocabulary``, at most ``MAX_TERMS`` terms).
+Map-only: no shuffle; the vocabulary is broadcast and each worker builds its automaton once.
 
-Defined results: null URLs and URLs without ``://`` have an empty host and
-path, match no rule and no term, and are allowed. Repeated rows are judged
-alike; other columns are untouched by ``judge_urls`` (``host``, ``path``,
+Defined results: null URLs match nothing and are allowed; URLs without ``://`` have an empty host and
+path and match no rule, but their text is scanned. Very long URLs are scanned whole. Of equally long
+rules the last in text order counts. Repeated rows are judged
+alike; an empty table gives an empty result; other columns are untouched by ``judge_urls`` (``host``, ``path``,
 ``rule``, ``verdict``, ``strict_hits``, ``soft_hits``, ``weight`` are set and
 replace columns of those names).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import importable
@@ -40,6 +42,8 @@ SOFT_TERMS = {
     "nude": 1.0, "payday": 1.0, "pharmacy": 0.5, "pill": 1.0, "pills": 1.0, "poker": 1.0, "prize": 0.5, "sex": 1.0,
     "slots": 1.0, "spam": 1.0, "torrent": 0.5, "track": 0.5, "tracker": 0.5, "win": 0.5, "x": 0.5,
 }
+#: Terms that a vocabulary read from a table may have: what the driver collects and broadcasts.
+MAX_TERMS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,22 @@ def longest_rule(host: Column, path: Column, rules: Sequence[HostRule]) -> tuple
     return text, action
 
 
-def build_automaton(strict: Sequence[str], soft: dict[str, float]):
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[tuple[str, ...], dict[str, float]]:
+    """(strict terms, soft terms with weights) of a Parquet table (term, weight); a null weight marks a strict term.
+
+    Terms are lower-cased; null and empty ones are left out, repeated ones keep their largest weight, strict above all.
+    """
+    term = F.translate("term", UPPER, LOWER)
+    terms = spark.read.parquet(path).select(term.alias("term"), F.col("weight").cast("double").alias("weight")).where("term <> ''")
+    terms = terms.groupBy("term").agg(F.max("weight").alias("weight"), F.bool_or(F.col("weight").isNull()).alias("strict"))
+    rows = terms.limit(MAX_TERMS + 1).toPandas()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"the vocabulary has over {MAX_TERMS} terms")
+    soft = rows[~rows["strict"]]
+    return tuple(rows["term"][rows["strict"]]), dict(zip(soft["term"], soft["weight"], strict=True))
+
+
+def build_automaton(strict: Sequence[str], soft: Mapping[str, float]):
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -95,6 +114,8 @@ def build_automaton(strict: Sequence[str], soft: dict[str, float]):
 
 def count_terms(automaton, text: str) -> tuple[int, int, float]:
     """(strict hits, distinct soft terms, weight of the distinct soft terms)."""
+    if not len(automaton):
+        return 0, 0, 0.0
     strict, soft, last = 0, {}, len(text) - 1
     for end, (term, is_strict, weight) in automaton.iter(text):
         start = end - len(term)
@@ -109,12 +130,20 @@ def count_terms(automaton, text: str) -> tuple[int, int, float]:
     return strict, len(soft), float(sum(soft.values()))
 
 
-def term_counter(strict: Sequence[str], soft: dict[str, float]):
+#: The automaton that this worker built last, by the vocabulary's key.
+_BUILT: dict[str, object] = {}
+
+
+def term_counter(spark: SparkSession, strict: Sequence[str], soft: Mapping[str, float]):
+    vocabulary, key = spark.sparkContext.broadcast((tuple(strict), dict(soft))), uuid.uuid4().hex
+
     @F.pandas_udf("strict long, soft long, weight double")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = build_automaton(strict, soft)
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = build_automaton(*vocabulary.value)
         for texts in batches:
-            yield pd.DataFrame([count_terms(automaton, t) for t in texts], columns=["strict", "soft", "weight"])
+            yield pd.DataFrame([count_terms(_BUILT[key], t) for t in texts], columns=["strict", "soft", "weight"])
 
     return count
 
@@ -126,16 +155,18 @@ def judge_urls(
     strict: Sequence[str] = STRICT_TERMS,
     soft: dict[str, float] | None = None,
     min_soft: int = 2,
+    min_weight: float = 1.0,
 ) -> DataFrame:
     """Adds host, path, rule, strict_hits, soft_hits, weight and verdict (allow or block)."""
     importable(pages.sparkSession)
     host, path = host_and_path(F.col(url_col))
     out = pages.withColumns({"host": host, "path": path})
     text, action = longest_rule(F.col("host"), F.col("path"), rules)
-    scanned = F.translate(F.concat("host", "path"), UPPER, LOWER)
+    scanned = F.translate(F.coalesce(F.col(url_col), F.lit("")), UPPER, LOWER)
     hits = "__hits"
-    out = out.withColumn(hits, term_counter(strict, SOFT_TERMS if soft is None else soft)(scanned))
-    by_terms = F.when((F.col(f"{hits}.strict") > 0) | (F.col(f"{hits}.soft") >= min_soft), "block").otherwise("allow")
+    out = out.withColumn(hits, term_counter(pages.sparkSession, strict, SOFT_TERMS if soft is None else soft)(scanned))
+    several = (F.col(f"{hits}.soft") >= min_soft) & (F.col(f"{hits}.weight") >= min_weight)
+    by_terms = F.when((F.col(f"{hits}.strict") > 0) | several, "block").otherwise("allow")
     return out.withColumns(
         {
             "rule": text,
@@ -155,18 +186,19 @@ def oracle() -> str:
 
     strict = " OR ".join(map(pattern, STRICT_TERMS))
     soft = " + ".join(f"CAST({pattern(t)} AS BIGINT)" for t in SOFT_TERMS)
+    weight = " + ".join(f"CASE WHEN {pattern(t)} THEN {w} ELSE 0 END" for t, w in SOFT_TERMS.items())
     fits = {
         r: f"((host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
         for r in sorted(DEFAULT_RULES, key=lambda r: (-len(r.text), r.text))
     }
     lower = f"'{UPPER}', '{LOWER}'"
     return f"""
-    WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-    b AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {lower}) AS host,
+    WITH a AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    b AS (SELECT page_id, url, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {lower}) AS host,
                  regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM a),
-    c AS (SELECT *, translate(concat(host, path), {lower}) AS s FROM b)
+    c AS (SELECT *, translate(url, {lower}) AS s FROM b)
     SELECT page_id, host, path,
       CASE {" ".join(f"WHEN {f} THEN '{r.text}'" for r, f in fits.items())} END AS rule,
       CASE {" ".join(f"WHEN {f} THEN '{r.action}'" for r, f in fits.items())}
-           WHEN {strict} THEN 'block' WHEN ({soft}) >= 2 THEN 'block' ELSE 'allow' END AS verdict
+           WHEN {strict} THEN 'block' WHEN ({soft}) >= 2 AND ({weight}) >= 1.0 THEN 'block' ELSE 'allow' END AS verdict
     FROM c"""
