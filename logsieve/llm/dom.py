@@ -5,11 +5,17 @@ link text is counted). Implied end tags are honoured; unknown end tags are
 ignored. Scripts, styles, templates, drawings, media and the document head
 have no text; formulas and the fallback of objects have. Hidden is what the
 ``hidden`` attribute, ``aria-hidden`` or its own style says, not a class or a label.
+
+The reader only moves forward, so broken markup takes time in proportion to its length: a
+quote that is never closed ends nothing, a tag that is never closed is text, and an unclosed script or style takes
+the rest of the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 # Element groups of HTML.
@@ -30,11 +36,9 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "th": ("td", "th"), "option": ("option",)}
 STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.IGNORECASE | re.DOTALL,
-)
+_NAME = re.compile(r"[a-z][^\s/><]*", re.IGNORECASE)
+_STOPS = re.compile("[>\"']")
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.IGNORECASE) for t in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _MAY_HIDE = re.compile("hidden|none", re.IGNORECASE)
@@ -73,6 +77,57 @@ class Node:
     runs: list = field(default_factory=list)
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or None, is end tag, attributes) of everything that isn't text, in order."""
+    last = html.rfind(">")
+    gone: set[str] = set()  # quotes and end tags that don't come any more
+    at = html.find("<")
+    while 0 <= at:
+        begin, at = at, at + 1
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = len(html) if end < 0 else end + 3
+            yield begin, at, None, False, ""
+        elif begin < last and html[begin + 1] in "!?":
+            at = html.index(">", begin) + 1
+            yield begin, at, None, False, ""
+        elif begin < last and (m := _NAME.match(html, begin + 1 + (html[begin + 1] == "/"))):
+            end = _tag_end(html, m.end(), last, gone)
+            tag, closing, attrs = m[0].lower(), html[begin + 1] == "/", html[m.end() : end]
+            at = end + 1
+            if tag in _RAW_END and not closing and not (tag == "svg" and attrs.endswith("/")):
+                stop = None if tag in gone else _RAW_END[tag].search(html, at)
+                if stop is None:
+                    gone.add(tag)
+                    at = len(html) if tag in ("script", "style") else at
+                else:
+                    close = html.find(">", stop.end())
+                    at = len(html) if close < 0 else close + 1
+                yield begin, at, None, False, ""
+            else:
+                yield begin, at, tag, closing, attrs
+        at = html.find("<", at)
+
+
+def _tag_end(html: str, at: int, last: int, gone: set[str]) -> int:
+    """Place of the '>' that ends a tag whose name ends at ``at``; quotes count after '=' only."""
+    first = at
+    while at <= last and (m := _STOPS.search(html, at)):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        before = m.start() - 1
+        while before > first and html[before].isspace():
+            before -= 1
+        if html[before] == "=" and m[0] not in gone:
+            close = html.find(m[0], at)
+            if close < 0:
+                gone.add(m[0])
+            elif close < last:
+                at = close + 1
+    return html.index(">", first)
+
+
 def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes in page order, runs of (node, raw text)); node 0 is the page."""
     nodes = [Node("html", "", -1, 0, 0)]
@@ -87,25 +142,28 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if link:
             nodes[k].links += len(piece)
 
+    open_tags: Counter[str] = Counter()
+
     def pop_to(tags: tuple, stop: tuple = ()) -> None:
+        if not any(open_tags[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[i]].tag
             if tag in tags:
+                open_tags.subtract(nodes[k].tag for k in stack[i:])
                 del stack[i:]
                 return
             if tag in stop:
                 return
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, tag, closing, attrs in tokens(html):
+        if start > at:
+            text(html[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "a":
-            link = 0 if m["end"] else 1
+            link = 0 if closing else 1
         if tag in INLINE:
             if tag == "br":
                 text(" ")
@@ -113,9 +171,9 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in ("html", "body"):
             continue
         if tag == "head":
-            pop_to(("head",)) if m["end"] else None
+            pop_to(("head",)) if closing else None
             continue
-        if m["end"]:
+        if closing:
             pop_to((tag,), () if tag != "p" else tuple(CLOSES_P - {"p"}))
             continue
         if tag in VOID:
@@ -125,7 +183,6 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in SAME:
             pop_to(SAME[tag], STOP.get(tag, ()))
         parent = stack[-1]
-        attrs = m["attrs"]
         names = " ".join("".join(g) for g in _NAMES.findall(attrs)).lower() if "=" in attrs else ""
         above = nodes[parent]
         nodes.append(
@@ -133,6 +190,7 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         )
         above.children += 1
         stack.append(len(nodes) - 1)
+        open_tags[tag] += 1
     if at < len(html):
         text(html[at:])
     return nodes, runs

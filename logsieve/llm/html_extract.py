@@ -9,14 +9,15 @@ below noise is main, and no container lies below main. Text of main nodes is
 kept, block by block in page order.
 
 There are no labelled pages, so the forests are trained here on pages that
-``training_pages`` composes (layouts, class names and page furniture of many
+``training_pages`` composes (``LAYOUTS``, class names and page furniture of many
 kinds, with known article nodes); the training set's size is a parameter.
 
 Map-only: pages never leave their partition, nothing is shuffled.
 
 Defined results: null and empty pages, and pages without a main node, give the
-empty string and 0 characters. Repeated rows give repeated results; an empty
-table gives an empty result. Columns beyond id, url and html are not read.
+empty string and 0 characters. Very long and broken pages are read whole, in time in proportion to their length. Repeated
+rows give repeated results; an empty table gives an empty result. Of equally likely labels the one nearer to the article
+counts. Columns beyond id, url and html, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -188,21 +189,36 @@ def _furniture(r: random.Random, kind: str) -> str:
     return r.choice([f'<section id="comments"><h3>{_words(r, 2)}</h3>{many}</section>', f'<div class="comments">{many}</div>', f'<ol class="comment-list">{many}</ol>'])
 
 
+def _heading(r: random.Random) -> str:
+    """An article's own title, often inside a header element of its own."""
+    k = r.choice([1, 1, 1, 2])
+    title = f"<h{k}>{_words(r, r.randint(1, 12))}</h{k}>"
+    lead = r.choice(["", "", f"<p>{_sentences(r, r.randint(1, 2))}</p>"])
+    kind = r.random()
+    if kind < 0.65:
+        return title
+    if kind < 0.85:
+        return f"<header>{title}{lead}</header>"
+    return f'<div class="{r.choice(["article-head", "post-header", "entry-header", "article-header", "headline", "title", "head"])}">{title}{lead}</div>'
+
+
 def _article(r: random.Random) -> list[str]:
     blocks = []
     if r.random() < 0.8:
-        blocks.append(f"<h{k}>{_words(r, r.randint(1, 12))}</h{k}>" if (k := r.choice([1, 1, 2])) else "")
+        blocks.append(_heading(r))
     for _ in range(min(60, int(r.expovariate(0.12)) + 1)):
         kind = r.random()
-        if kind < 0.72:
+        if kind < 0.70:
             body = _sentences(r, r.choice([1, 1, 2, 3, 5, 9]))
             blocks.append(f"<p>{body}</p>" if r.random() < 0.85 else f"<p><b>{body}<br>")
-        elif kind < 0.8:
+        elif kind < 0.78:
             blocks.append(f"<h{r.choice([2, 3])}>{_words(r, r.randint(1, 7))}</h{r.choice([2, 3])}>")
-        elif kind < 0.88:
+        elif kind < 0.85:
             blocks.append("<ul>" + "".join(f"<li>{_sentences(r, 1)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
-        elif kind < 0.93:
+        elif kind < 0.89:
             blocks.append(f"<blockquote><p>{_sentences(r, 2)}</p></blockquote>")
+        elif kind < 0.92:
+            blocks.append(f"<figure><img src=x><figcaption>{_sentences(r, 1)}</figcaption></figure>")
         elif kind < 0.97:
             blocks.append(f"<div>{_sentences(r, r.randint(1, 4))}</div>")
         else:
@@ -210,24 +226,52 @@ def _article(r: random.Random) -> list[str]:
     return blocks
 
 
-def training_pages(n: int, seed: int = 5) -> Iterator[tuple[str, str]]:
-    """(page with the mark of noise regions and the article, plain page) pairs."""
+#: Ways to place an article on a composed page, with their shares.
+LAYOUTS = {"article": 0.30, "main": 0.12, "named": 0.16, "unnamed": 0.14, "bare": 0.12, "table": 0.10, "nested": 0.06, "loose": 0.08}
+_GOOD_SHELLS = ["content", "post", "entry-content", "article-body", "story", "main-content", "post-body text"]
+
+
+def _anonymous(r: random.Random) -> str:
+    """Attributes that say nothing."""
+    return r.choice(["", "", " class=x1", f' class="c{r.randint(1, 99)}"', ' class="col-8 row"', ' id="u7"', ' class="lg:flex overflow-hidden"', ' style="width:70%"'])
+
+
+def _placed(r: random.Random, layout: str, blocks: list[str]) -> str:
+    """The article's part of a page; what is inside x-main is the article."""
+    inner = "".join(blocks)
+    mark = lambda x: f"<x-main>{x}</x-main>"
+    if layout == "article":
+        return mark(f"<article{_anonymous(r)}>{inner}</article>")
+    if layout == "main":
+        return mark(f"<main>{inner}</main>")
+    if layout == "named":
+        return mark(f'<div class="{r.choice(_GOOD_SHELLS)}">{inner}</div>')
+    if layout == "unnamed":
+        return mark(f"<{(t := r.choice(['div', 'div', 'section']))}{_anonymous(r)}>{inner}</{t}>")
+    if layout == "bare":
+        return mark(inner)
+    if layout == "loose":  # no blocks at all
+        return mark("<br><br>".join(_sentences(r, r.randint(1, 5)) for _ in range(r.randint(2, 12))))
+    if layout == "nested":
+        return mark(f"<div{_anonymous(r)}><div{_anonymous(r)}>{inner}</div></div>")
+    cells = [f"<x-main><td{_anonymous(r)}>{inner}</td></x-main>"]
+    if r.random() < 0.6:
+        cells.insert(r.randint(0, 1), f"<x-noise><td width=160>{_furniture(r, r.choice(['menu', 'sidebar', 'ad']))}</td></x-noise>")
+    top = f"<tr><x-noise><td colspan=2>{_furniture(r, r.choice(['menu', 'header']))}</td></x-noise></tr>" if r.random() < 0.4 else ""
+    return f"<table{_anonymous(r)}>{top}<tr>{''.join(cells)}</tr></table>"
+
+
+def training_pages(n: int, seed: int = 5, layouts: tuple[str, ...] = tuple(LAYOUTS)) -> Iterator[str]:
+    """Composed pages with marks: x-main around the article, x-noise around furniture."""
     r = random.Random(seed)
     kinds = ["menu", "header", "footer", "sidebar", "notice", "ad", "form", "share", "comments"]
+    noise = lambda k: f"<x-noise>{_furniture(r, k)}</x-noise>"
     for _ in range(n):
-        noise = lambda k: f'<x-noise>{_furniture(r, k)}</x-noise>'
+        layout = r.choices(layouts, [LAYOUTS[k] for k in layouts])[0]
         blocks = _article(r)
         for k in r.choices(["ad", "share", "form", "notice", "comments", "sidebar", "menu"], k=r.choice([0, 0, 1, 2])):
             blocks.insert(r.randint(0, len(blocks)), noise(k))
-        inner = "".join(blocks)
-        shell = r.random()
-        if shell < 0.5:
-            article = f"<article>{inner}</article>"
-        elif shell < 0.7:
-            article = f"<main>{inner}</main>"
-        else:
-            article = f'<div class="{r.choice(["content", "post", "entry-content", "article-body", "story", "main-content", "post-body text"])}">{inner}</div>'
-        article = f"<x-main>{article}</x-main>"
+        article = _placed(r, layout, blocks)
         before = [noise(k) for k in r.sample(kinds, r.choice([0, 1, 2, 2, 3]))]
         after = [noise(k) for k in r.sample(kinds, r.choice([0, 1, 2, 2, 3]))]
         page = "".join(before) + article + "".join(after)
@@ -264,14 +308,17 @@ def labelled_nodes(page: str) -> tuple[list[Node], list, np.ndarray]:
         node.links = x.links
         kept.append(node)
     labels = np.array([label[i] for i in new])
+    for k, piece in runs:
+        if nodes[k].tag == "x-main" and not piece.isspace():
+            labels[new[real(k)]] = MAIN  # the article's text is directly in it
     return kept, [(new[real(k)], piece) for k, piece in runs], labels
 
 
-@lru_cache(2)
-def train_forests(pages: int = 500, seed: int = 5) -> tuple[Forest, ...]:
+@lru_cache(8)
+def train_forests(pages: int = 500, seed: int = 5, layouts: tuple[str, ...] = tuple(LAYOUTS)) -> tuple[Forest, ...]:
     """One forest for each label, trained on composed pages."""
     x, y = [], []
-    for page in training_pages(pages, seed):
+    for page in training_pages(pages, seed, layouts):
         nodes, runs, labels = labelled_nodes(page)
         x.append(node_features(nodes, runs))
         y.append(labels)

@@ -128,13 +128,51 @@ def test_labels_held_out_are_not_read(spark):
     assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
 
 
+def test_quality_fit_is_that_of_the_rows(spark):
+    """Equal models whatever the partitions, with repeated rows, ids and labels, clashing columns and long texts."""
+    rows = [(i, prose(i, 30 + i % 40) if i % 3 else f"{prose(i, 20)} #### !!! " * 5, "x", 9) for i in range(200)] + [(200, "w " * 50_000, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, score long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), "t") for i in range(201)], "doc_id long, quality int, text string")
+    first = quality_rank.train(docs, labels)
+    for n in (1, 3, 8):
+        again = quality_rank.train(docs.union(docs.where("doc_id % 5 = 0")).repartition(n), labels.union(labels.limit(50)).repartition(n))
+        assert np.array_equal(first.weights, again.weights) and first.cut == again.cut
+    got = quality_rank.score_documents(docs.union(docs), first)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 402
+    assert got.groupBy("doc_id").agg(F.count_distinct("score").alias("n")).where("n > 1").count() == 0
+
+
+def test_quality_loss_and_cut():
+    r = np.random.default_rng(4)
+    features = np.concatenate([r.normal(0.4, 1, (150, 4)), r.normal(0, 1, (90, 4))])
+    quality = np.repeat([1, 0], [150, 90])
+    fit = quality_rank.Fit(pairs=4000)
+    model = quality_rank.fit_bradley_terry(features, quality, fit)
+    z = np.clip((features - features.mean(axis=0)) / features.std(axis=0), -8, 8)
+    pick = np.random.Generator(np.random.PCG64(fit.seed))
+    d = z[:150][pick.integers(0, 150, 4000)] - z[150:][pick.integers(0, 90, 4000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + fit.ridge / 2 * w @ w
+    gradient = quality_rank.loss_gradient(d, model.weights, fit.ridge)
+    assert np.abs(gradient).max() < 1e-4
+    for j in range(4):
+        step = np.eye(4)[j] * 1e-4
+        assert abs((loss(model.weights + step) - loss(model.weights - step)) / 2e-4 - gradient[j]) < 1e-6
+        assert loss(model.weights) <= min(loss(model.weights + 100 * step), loss(model.weights - 100 * step))
+    strength = z @ model.weights
+    accuracy = lambda cut: (strength[:150] > cut).mean() + (strength[150:] <= cut).mean()
+    assert accuracy(model.cut) == max(accuracy(c) for c in strength)
+    assert np.array_equal(model.score(features) >= quality_rank.CUT, strength >= model.cut)
+
+
 @pytest.mark.parametrize(
     ("url", "rule", "verdict"),
     [
         ("http://a.example.com/en/7?x", "example.com/en/7", "allow"), ("http://EXAMPLE.com/en/8", "com/en/", "block"),
         ("https://example.net/de/81", "example.net/de/8", "block"), ("https://x.net/de/", "net/de/", "allow"), ("https://org/es/", "org/es/", "block"),
         ("https://xcom.io/en/", None, "allow"), ("https://casino.io/", None, "block"), ("https://occasino.io/", None, "allow"),
-        ("https://free.io/bets", None, "block"), ("https://free.io/free", None, "allow"), (None, None, "allow"), ("no scheme/casino", None, "allow"),
+        ("https://free.io/bets", None, "block"), ("https://free.io/free", None, "allow"), (None, None, "allow"), ("no scheme/casino", None, "block"),
+        ("http://a.com/?q=casino", None, "block"), ("https://example.org/search?q=porn+and#x", None, "block"), ("http://a.com/#Viagra", None, "block"),
+        ("http://a.com/?q=occasinos", None, "allow"), ("http://a.com/free?to=bets", None, "block"), ("CASINO.example/x", None, "block"), ("", None, "allow"),
     ],
 )
 def test_urls(spark, url, rule, verdict):
@@ -145,6 +183,26 @@ def test_urls(spark, url, rule, verdict):
     assert r.host == host.lower() and r.path == re.split("[?#]", rest[len(host) :])[0]
 
 
+def test_url_vocabulary_of_a_table(spark, tmp_path):
+    r = random.Random(3)
+    terms = {"".join(r.choices("abcdefgh", k=9)): r.choice([None, 0.3, 0.6]) for _ in range(100_000)}
+    weak = [t for t, w in terms.items() if w == 0.3]
+    heavy = [t for t, w in terms.items() if w == 0.6]
+    strict = [t for t, w in terms.items() if w is None]
+    table = spark.createDataFrame([*terms.items(), ("Upper", None), ("upper", 0.1), (None, 1.0), ("", None)], "term string, weight double")
+    table.union(table.limit(100)).write.parquet(str(tmp_path / "terms"))
+    got = url_filter.read_vocabulary(spark, str(tmp_path / "terms"))
+    assert len(got[0]) == len(set(strict)) + 1 and len(got[1]) == len(weak) + len(heavy)
+    urls = [f"http://x/{strict[5]}", f"http://x/{strict[5]}z", f"http://x/{weak[0]}/{weak[1]}", f"http://x/{weak[0]}?{heavy[1]}", f"http://x/{heavy[0]}?{heavy[1]}", "http://UPPER", f"http://x/{heavy[0]}/{heavy[0]}"]
+    urls.append("http://x/" + "nothing-" * 100_000 + strict[7])
+    rows = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string")
+    verdicts = url_filter.judge_urls(rows, strict=got[0], soft=got[1]).orderBy("page_id").collect()
+    assert [v.verdict for v in verdicts[::2]] == ["block", "allow", "allow", "allow", "block", "block", "allow", "block"]
+    assert verdicts[::2] == verdicts[1::2] and len(verdicts) == 16
+    none = url_filter.judge_urls(rows, strict=(), soft={})
+    assert none.where("verdict = 'block'").count() == 0
+
+
 def test_urls_empty(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -210,3 +268,69 @@ def test_html_decoding_is_consistent():
         right += (got == labels).sum()
         total += len(labels)
     assert right / total > 0.95
+
+
+SAID = ["First sentence of the article here. And one more of them.", "Second paragraph of the text. It goes on and on.", "Third one ends it. Really so."]
+INNER = "".join(f"<p>{x}</p>" for x in SAID)
+
+
+@pytest.mark.parametrize(
+    ("body", "lines"),
+    [
+        (f"<div class=x1>{INNER}</div>", SAID), (INNER, SAID), (f"<div><div>{INNER}</div></div>", SAID), (f"<table><tr><td>{INNER}</td></tr></table>", SAID),
+        (f"<article class='overflow-hidden'>{INNER}</article>", SAID), (f"<article aria-hidden='false' data-hidden=no class='lg:overflow-hidden'>{INNER}</article>", SAID),
+        (f"<article><header><h1>A title</h1></header>{INNER}</article>", ["A title", *SAID]),
+        (f"<article><div class=article-head><h1>A title</h1></div>{INNER}</article>", ["A title", *SAID]),
+        ("<br><br>".join(SAID), [" ".join(SAID)]),
+    ],
+)
+@pytest.mark.parametrize("framed", [True, False])
+def test_html_layouts(body, lines, framed):
+    if framed:
+        body = f"<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li></ul></nav>{body}<footer>&copy; 2024 Example. All rights reserved.</footer>"
+    got = html_extract.extract_batch([f"<html><head><title>T</title></head><body>{body}</body></html>"], html_extract.train_forests())
+    assert got == ["\n".join(lines)]
+
+
+def block_scores(forests, pages):
+    """Precision and recall of article blocks, and pages of which no block is found."""
+    right = found = there = lost = 0
+    for page in pages:
+        nodes, runs, labels = html_extract.labelled_nodes(page)
+        got = html_extract.decode(np.array([x.parent for x in nodes]), html_extract.log_probabilities(forests, html_extract.node_features(nodes, runs)), np.ones(len(nodes)))
+        texts = sorted({k for k, piece in runs if not piece.isspace()})
+        want, have = labels[texts] == html_extract.MAIN, got[texts] == html_extract.MAIN
+        right, found, there = right + (want & have).sum(), found + have.sum(), there + want.sum()
+        lost += want.any() and not (want & have).any()
+    return right / found, right / there, lost
+
+
+@pytest.mark.parametrize("layout", ["article", "unnamed", "bare", "table"])
+def test_html_layouts_held_out(layout):
+    """Forests that never saw a layout still find its articles."""
+    others = tuple(x for x in html_extract.LAYOUTS if x != layout)
+    precision, recall, lost = block_scores(html_extract.train_forests(300, 5, others), html_extract.training_pages(80, 99, (layout,)))
+    assert precision > 0.95 and recall > 0.9 and lost <= 8
+
+
+@pytest.mark.parametrize("broken", ["<p ", '<p a="', "<p a='\" >\"", "<!", "<svg ", "<svg>", "<", "<a", "<!--", '<a b=">', "<li><figure>", "<p><ul></x>"])
+def test_html_reader_is_linear(broken):
+    import time
+
+    began = time.perf_counter()
+    read_page(f"<p>{'x' * 10}</p>" + broken * (200_000 // len(broken)))
+    assert time.perf_counter() - began < 5  # a quadratic reader takes minutes
+
+
+def test_html_broken_markup_keeps_text():
+    text = lambda html: "".join(t for _, t in read_page(html)[1])
+    assert text("<p>a < b and <3 c<p title=\"x>y\">d <b don't>e</b>") == "a < b and <3 cd e"
+    assert text("<p>a<select><option>b<p>c") == "abc" and text("a<script>no") == "a" and text('<p a="b>c</p>') == "c"
+
+
+def test_html_repeated_rows_and_clashing_columns(spark):
+    page = f"<article>{INNER}</article>"
+    rows = spark.createDataFrame([(1, "u", page, "t", 7), (1, "u", page, "t", 7), (2, "v", page * 200, None, 1)], "page_id long, url string, html string, text string, n_chars long")
+    got = html_extract.extract_pages(rows).orderBy("page_id").collect()
+    assert [r.n_chars for r in got] == [len(r.text) for r in got] and got[0] == got[1] and got[0].text == "\n".join(SAID)
+    assert got[2].text == "\n".join(SAID * 200)
