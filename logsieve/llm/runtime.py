@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import shared_folder
+
 #: Word separators of every contract: blank and the five ASCII controls 0x09-0x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computes once, cuts lineage, survives lost executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only when the session names none (tests).
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; without one this fails, but for
+    local mode (tests). Spark removes a checkpoint when its table isn't used any more if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which this library recommends.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "logsieve-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
