@@ -135,7 +135,13 @@ def parse_logs(raw: DataFrame, parser: Parser | None = None) -> DataFrame:
 
 
 def accepted(rows: DataFrame) -> DataFrame:
-    return rows.where("reject_reason is null").drop("reject_reason")
+    """Rows without a reject_reason, and without that column.
+
+    One row or none is unfolded from each: a filter would be pushed down with every expression that the
+    reason is computed from, and evaluate all of them again.
+    """
+    kept = F.struct(*(c for c in rows.columns if c != "reject_reason"))
+    return rows.select(F.inline(F.when(F.col("reject_reason").isNull(), F.array(kept))))
 
 
 def quality_report(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from .config import BaselineConfig, DetectionConfig, IncidentConfig
 from .functions import normal, scoring
 from .operators import baselines, detect, explain, features, incidents, normalize, parse, stats, windows
 from .oracles import ORACLES
-from .sources import from_dataframe
+from .sources import from_dataframe, spread
+from .workers import shared_folder
 
 SECONDS = 21600
 INCIDENTS = IncidentConfig(max_gap_seconds=43200, window_size_seconds=SECONDS, context_window_seconds=21600)
@@ -38,7 +39,7 @@ LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING'
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as parsed logs, with error codes and request ids."""
     return from_dataframe(
-        table(spark, sf_dir, "events"),
+        spread(table(spark, sf_dir, "events")),
         {
             "timestamp": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")",
             "level": LEVEL,
@@ -94,7 +95,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def text_lines(spark, sf_dir) -> DataFrame:
     """Events as text lines; some lack the time, the level or the message."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")).selectExpr(
         "event_id",
         f"""concat(CASE WHEN event_id % 17 = 0 THEN 'no time' ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") END, ' ',
             CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 5 = 0 THEN lower({LEVEL}) ELSE {LEVEL} END, ' svc-', user_id % 5,
@@ -384,12 +385,11 @@ def streaming_detect(spark, sf_dir):
     """The same anomalies from a stream of feature vectors, state kept between triggers."""
     from .streaming.detect import drain, stream_anomalies
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/logsieve-streams"
-    path = f"{folder.rstrip('/')}/features-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
     rows = vectors(spark, sf_dir)
     rows.repartition(4, F.col("service")).sortWithinPartitions("window_start").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    found = drain(stream_anomalies(stream, CONFIG), f"stream_{uuid.uuid4().hex}", f"{path}/state")
+    found = drain(stream_anomalies(stream, CONFIG), path)
     return rounded(found.where("NOT suppressed").select("service", "window_start", "feature", "score"))
 
 

@@ -1,10 +1,10 @@
 """Log sources and sinks."""
 
-from .logs import LogIngestionError, detect_format, from_dataframe, read_csv_logs, read_json_logs, read_logs, read_text_logs
+from .logs import LogIngestionError, detect_format, from_dataframe, read_csv_logs, read_json_logs, read_logs, read_text_logs, spread
 from .sinks import read_training_samples, write_json_rows
 from .uploads import UploadRegistry
 
 __all__ = [
     "LogIngestionError", "UploadRegistry", "detect_format", "from_dataframe", "read_csv_logs", "read_json_logs",
-    "read_logs", "read_text_logs", "read_training_samples", "write_json_rows",
+    "read_logs", "read_text_logs", "read_training_samples", "spread", "write_json_rows",
 ]

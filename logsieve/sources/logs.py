@@ -102,6 +102,15 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "auto", **options) -> D
     return readers[fmt](spark, path, **options)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the cores if it has fewer partitions than there are cores.
+
+    A small file is one partition, whatever its rows cost later; large inputs have partitions enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_dataframe(df: DataFrame, mapping: Mapping[str, Column | str]) -> DataFrame:
     """A parsed or canonical log table from any DataFrame: target column -> source column or expression."""
     return df.select(*((F.expr(c) if isinstance(c, str) else c).alias(name) for name, c in mapping.items()))

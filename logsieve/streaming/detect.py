@@ -60,11 +60,13 @@ def stream_anomalies(features: DataFrame, config: DetectionConfig = DetectionCon
     return grouped.applyInPandasWithState(work, ANOMALY, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a bounded stream to its end into a memory table and returns that table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a bounded stream to its end into a Parquet table under ``folder`` and returns that table.
+
+    ``folder`` also keeps the stream's checkpoint, so that a failed run can be taken up again; it must be shared
+    by driver and executors.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    query = writer.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -162,7 +162,7 @@ def test_stream_equals_batch(spark, tmp_path):
         part = rows.where((F.col("window_start") >= F.lit(at(6000 * i))) & (F.col("window_start") < F.lit(at(6000 * (i + 1)))))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = drain(stream_anomalies(stream), "anomaly_stream", str(tmp_path / "state"))
+    got = drain(stream_anomalies(stream), str(tmp_path / "out"))
     key = lambda df: sorted((r.service, r.window_start, r.feature, r.suppressed, round(r.score, 9)) for r in df.collect())
     assert key(got) == key(detect.suppress(detect.feature_anomalies(rows)))
 
@@ -171,7 +171,7 @@ def test_stream_features(spark, tmp_path):
     logs = make_logs(spark, [(i * 30, "ERROR" if i % 5 == 0 else "INFO", "s", f"h{i % 4}", i + 1, None) for i in range(40)] + [(90_000, "INFO", "s", "h", 1, None)])
     logs.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = stream_features(spark.readStream.schema(logs.schema).parquet(str(tmp_path / "in")), 300, "1 minute")
-    got = {(r.window_start): r for r in drain(stream, "feature_stream", str(tmp_path / "state")).collect()}
+    got = {(r.window_start): r for r in drain(stream, str(tmp_path / "out")).collect()}
     want = {r.window_start: r for r in features.window_features(logs, 300).collect()}
     assert len(got) >= 4
     for k, r in got.items():
