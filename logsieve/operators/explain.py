@@ -128,7 +128,12 @@ def with_prompt(allowed: DataFrame) -> DataFrame:
             F.struct("anomaly_count", "feature_count", "max_score", "severity_counts").alias("metrics_summary"),
             F.transform(
                 "operational_context",
-                lambda o: F.struct(o["description"].alias("description"), o["event_type"].alias("event_type"), iso(o["timestamp"]).alias("timestamp")),
+                lambda o: F.struct(
+                    o["description"].alias("description"),
+                    o["event_type"].alias("event_type"),
+                    F.map_from_entries(F.array_sort(F.map_entries(o["metadata"]))).alias("metadata"),
+                    iso(o["timestamp"]).alias("timestamp"),
+                ),
             ).alias("operational_context"),
             "service",
             iso(F.col("start_time")).alias("start_time"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import IncidentConfig
 from ..functions.scoring import severity_name
 from ..schemas import FAMILY_NAMES, SEVERITIES
+from ..workers import importable
 from .detect import family, stable_id, time_text
 
 
@@ -27,7 +32,8 @@ def assign_incidents(events: DataFrame, config: IncidentConfig = IncidentConfig(
     """Events with session and part: together with the owner they number the incidents.
 
     A gap over the limit always splits, so sessions are cut by window functions first.
-    Families accumulate in order inside a session only, as a fold over its events.
+    Families accumulate in order inside a session only: one pass over its sorted rows that holds
+    the families seen, whatever the session's length.
     """
     owner = F.lit("") if config.merge_across_services else F.col("service")
     events = events.withColumn("owner", owner)
@@ -38,24 +44,28 @@ def assign_incidents(events: DataFrame, config: IncidentConfig = IncidentConfig(
     df = events.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order)).drop("opens")
     if not config.require_feature_family_overlap:
         return df.withColumn("part", F.lit(0))
-    entry = F.struct("service", "window_start", "event_id", _bits(F.col("anomalies"), _family_bit).alias("mask"),
-                     *(c for c in events.columns if c not in ("service", "window_start", "event_id", "owner")))
-    sessions = df.groupBy("owner", "session").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-
-    def step(s: Column, x: Column) -> Column:
-        shared = s["mask"].bitwiseAND(x["mask"]) != 0
-        first = F.size(s["parts"]) == 0
-        part = s["part"] + F.when(shared | first, 0).otherwise(1)
-        return F.struct(
-            F.when(shared | first, s["mask"].bitwiseOR(x["mask"])).otherwise(x["mask"]).alias("mask"),
-            part.alias("part"),
-            F.array_append(s["parts"], part).alias("parts"),
-        )
-
-    start = F.struct(F.lit(0).alias("mask"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
-    sessions = sessions.withColumn("p", F.aggregate("e", start, step, lambda s: s["parts"]))
-    rows = sessions.select("owner", "session", F.explode(F.arrays_zip("e", "p")).alias("x"))
-    return rows.select("owner", "session", F.col("x.p").alias("part"), "x.e.*").drop("mask")
+    importable(events.sparkSession)
+    df = df.withColumn("mask", _bits(F.col("anomalies"), _family_bit))
+    keys = ["owner", "session"]
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, "service", "window_start", "event_id")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, part = None, 0, 0
+        for batch in batches:
+            parts = []
+            for owner, session, mask in zip(*(batch.column(c).to_pylist() for c in ("owner", "session", "mask")), strict=True):
+                if (owner, session) != at:
+                    at, seen, part = (owner, session), mask, 0
+                elif seen & mask:
+                    seen |= mask
+                else:
+                    seen, part = mask, part + 1
+                parts.append(part)
+            names = [*batch.schema.names, "part"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32())], names=names)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())])
+    return rows.mapInArrow(scan, schema).drop("mask")
 
 
 def incident_metrics(assigned: DataFrame, config: IncidentConfig = IncidentConfig()) -> DataFrame:
@@ -84,11 +94,14 @@ def incident_metrics(assigned: DataFrame, config: IncidentConfig = IncidentConfi
 
 
 def _near(incidents: DataFrame, config: IncidentConfig, keys: list[str], slot_seconds: int) -> DataFrame:
-    """Incident ids and their widened bounds, once for each time slot that they touch."""
+    """Incident ids and their widened bounds, once for each time slot that they touch; ``inner`` slots lie whole inside."""
     wide = F.make_dt_interval(secs=F.lit(config.context_window_seconds))
     df = incidents.select("incident_id", *keys, (F.col("start_time") - wide).alias("lo"), (F.col("end_time") + wide).alias("hi"))
-    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / slot_seconds)
-    return df.withColumn("slot", F.explode(F.sequence(slot("lo"), slot("hi"))))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    slot = lambda c: F.floor(seconds(c) / slot_seconds)
+    df = df.withColumn("slot", F.explode(F.sequence(slot("lo"), slot("hi"))))
+    inner = (F.col("slot") * slot_seconds >= seconds("lo")) & ((F.col("slot") + 1) * slot_seconds <= seconds("hi"))
+    return df.withColumn("inner", inner)
 
 
 def _slotted(rows: DataFrame, slot_seconds: int) -> DataFrame:
@@ -96,37 +109,48 @@ def _slotted(rows: DataFrame, slot_seconds: int) -> DataFrame:
 
 
 def log_patterns(
-    incidents: DataFrame, logs: DataFrame, config: IncidentConfig = IncidentConfig(), slot_seconds: int = 3600
+    incidents: DataFrame, logs: DataFrame, config: IncidentConfig = IncidentConfig(), slot_seconds: int = 300
 ) -> DataFrame:
     """incident_id, key, count, sample_message, place: the most frequent messages around each incident.
 
-    An equi-join on service and time slot with the range as a residual, so that no side
-    has to be broadcast. Ties go to the pattern seen first.
+    Messages are counted by service, time slot and key before they meet incidents; only the slots at the two
+    ends of an incident's range meet single logs. Equi-joins, so that no side has to be broadcast. Ties go to
+    the pattern seen first.
     """
     near = _near(incidents, config, ["service"], slot_seconds)
     key = F.coalesce(F.nullif(F.col("message_hash"), F.lit("")), F.col("message"))
     lines = _slotted(logs.select("service", "timestamp", key.alias("key"), "message", "request_id"), slot_seconds)
-    joined = near.join(lines, ["service", "slot"]).where(F.col("timestamp").between(F.col("lo"), F.col("hi")))
-    seen = F.struct("timestamp", "request_id", "message")
-    found = joined.groupBy("incident_id", "key").agg(
-        F.count(F.lit(1)).alias("count"), F.min_by("message", seen).alias("sample_message"), F.min(seen).alias("seen")
-    )
+    seen = F.struct("timestamp", "request_id", "message").alias("seen")
+    counted = lines.groupBy("service", "slot", "key").agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"))
+    found = ["incident_id", "key", "n", "seen"]
+    inside = near.where("inner").join(counted, ["service", "slot"]).select(*found)
+    at_ends = near.where("NOT inner").join(lines, ["service", "slot"]).where(F.col("timestamp").between(F.col("lo"), F.col("hi")))
+    both = inside.unionByName(at_ends.select("incident_id", "key", F.lit(1).cast("bigint").alias("n"), seen))
+    totals = both.groupBy("incident_id", "key").agg(F.sum("n").alias("count"), F.min("seen").alias("seen"))
     best = Window.partitionBy("incident_id").orderBy(F.desc("count"), "seen", "key")
-    ranked = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= config.max_log_patterns)
-    return ranked.drop("seen")
+    ranked = totals.withColumn("place", F.row_number().over(best)).where(F.col("place") <= config.max_log_patterns)
+    return ranked.select("incident_id", "key", "count", F.col("seen.message").alias("sample_message"), "place")
 
 
 def operational_context(
     incidents: DataFrame, operations: DataFrame, config: IncidentConfig = IncidentConfig(), slot_seconds: int = 3600
 ) -> DataFrame:
-    """incident_id, event_type, timestamp, description, place: the first operations around each incident."""
+    """incident_id, event_type, timestamp, description, metadata (if the operations have it), place: the first operations
+    around each incident.
+
+    Of a slot that lies whole inside an incident's range only its first operations can count, so no more of it are joined.
+    """
     near = _near(incidents, config, [], slot_seconds)
-    joined = near.join(_slotted(operations, slot_seconds), "slot")
+    order = ("timestamp", "event_type", "description")
+    slotted = _slotted(operations, slot_seconds)
+    ahead = slotted.withColumn("__n", F.row_number().over(Window.partitionBy("slot").orderBy(*order)))
+    ahead = ahead.where(F.col("__n") <= config.max_operational_events).drop("__n")
+    joined = near.where("inner").join(ahead, "slot").unionByName(near.where("NOT inner").join(slotted, "slot"))
     joined = joined.where(F.col("timestamp").between(F.col("lo"), F.col("hi")))
-    first = Window.partitionBy("incident_id").orderBy("timestamp", "event_type", "description")
+    first = Window.partitionBy("incident_id").orderBy(*order)
     ranked = joined.withColumn("place", F.row_number().over(first))
     ranked = ranked.where(F.col("place") <= config.max_operational_events)
-    return ranked.drop("slot", "lo", "hi")
+    return ranked.drop("slot", "lo", "hi", "inner")
 
 
 def build_incidents(
@@ -138,7 +162,7 @@ def build_incidents(
     """Incidents with log_patterns and operational_context (empty arrays where nothing is given or found)."""
     incidents = incident_metrics(assign_incidents(events, config), config)
     none_p = F.array().cast("array<struct<key:string,count:bigint,sample_message:string>>")
-    none_o = F.array().cast("array<struct<event_type:string,timestamp:timestamp_ntz,description:string>>")
+    none_o = F.array().cast("array<struct<event_type:string,timestamp:timestamp_ntz,description:string,metadata:map<string,string>>>")
     out = incidents
     if logs is not None:
         entry = F.struct("place", F.struct("key", "count", "sample_message").alias("p"))
@@ -148,9 +172,12 @@ def build_incidents(
     else:
         out = out.withColumn("log_patterns", none_p)
     if operations is not None:
-        entry = F.struct("place", F.struct("event_type", "timestamp", "description").alias("p"))
+        entry = F.struct("place", F.struct("event_type", "timestamp", "description", "metadata").alias("p"))
+        if "metadata" not in operations.columns:
+            operations = operations.withColumn("metadata", F.lit(None).cast("map<string,string>"))
         each = operational_context(incidents, operations, config)
-        each = each.groupBy("incident_id").agg(F.array_sort(F.collect_list(entry)).alias("ps"))
+        by_place = F.array_sort(F.collect_list(entry), lambda a, b: a["place"] - b["place"])  # maps have no order
+        each = each.groupBy("incident_id").agg(by_place.alias("ps"))
         each = each.select("incident_id", F.transform("ps", lambda x: x["p"]).alias("operational_context"))
         out = out.join(each, "incident_id", "left")
         out = out.withColumn("operational_context", F.coalesce("operational_context", none_o))

@@ -88,14 +88,15 @@ def parse_text(raw: DataFrame) -> DataFrame:
 
 
 def parse_json(raw: DataFrame) -> DataFrame:
-    """Objects in ``fields`` (a map). A key with a null value is present: its text is 'None'."""
+    """Objects in ``fields`` (a map; null if the line was none). A key with a null value is present: its text is 'None'."""
     fields = F.col("fields")
     as_text = lambda name: F.when(
         has_any_key(fields, JSON_NAMES[name]), F.coalesce(first_key(fields, JSON_NAMES[name]), F.lit("None"))
     )
     ts = first_key(fields, JSON_NAMES["timestamp"])
     reason = (
-        F.when(ts.isNull() | (ts == ""), "no timestamp")
+        F.when(fields.isNull(), "malformed JSON")
+        .when(ts.isNull() | (ts == ""), "no timestamp")
         .when(~has_any_key(fields, JSON_NAMES["message"]), "no message")
     )
     columns = {

@@ -8,7 +8,7 @@ from ..config import Settings
 from ..operators import detect, explain, incidents, normalize, parse
 from ..operators.features import window_features
 from ..operators.stats import above_baseline, statistics
-from ..sources import UploadRegistry, read_logs
+from ..sources import UploadRegistry, detect_format, read_logs
 
 
 def canonical_logs(raw: DataFrame, parser: parse.Parser | None = None) -> DataFrame:
@@ -29,8 +29,9 @@ class Engine:
         self.uploads = UploadRegistry()
 
     def upload(self, path: str, fmt: str = "auto") -> str:
-        raw = read_logs(self.spark, path, fmt)
-        parsed = parse.parse_logs(raw)
+        fmt = detect_format(path) if fmt == "auto" else fmt
+        options = {"line_numbers": True} | ({"keep_malformed": True} if fmt == "json" else {})
+        parsed = parse.parse_logs(read_logs(self.spark, path, fmt, **options))
         logs = normalize.normalize_logs(parse.accepted(parsed))
         good = parse.accepted(logs)
         return self.uploads.add(

@@ -1,15 +1,16 @@
 """Readers for text, JSON and CSV logs, and an adapter for any DataFrame.
 
-``line_numbers=True`` reads whole files (each must fit an executor); the default
-reads splittable lines and leaves the number null.
+``line_numbers=True`` adds physical line numbers (of CSV: 2 for the first row after the header) from counts of lines by
+file block, so files stay splittable; it costs a second pass that counts lines. The default leaves the number null.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -31,51 +32,91 @@ def _load(reader, path: str) -> DataFrame:
         raise
 
 
-def _meta(fmt: str, line: Column | None = None, idx: Column | None = None) -> Column:
+def _meta(fmt: str, source: Column, line: Column | None = None, idx: Column | None = None) -> Column:
     null = F.lit(None).cast("bigint")
     return F.struct(
-        F.input_file_name().alias("source"),
+        source.alias("source"),
         (null if line is None else line.cast("bigint")).alias("line_number"),
         (null if idx is None else idx.cast("bigint")).alias("idx"),
         F.lit(fmt).alias("format"),
     ).cast(SOURCE_META)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds __file, __block and __id, which rises by one from row to row of a block."""
+    return rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"),
+    )
+
+
+def _numbered(placed: DataFrame, first: int = 1) -> DataFrame:
+    """Adds __line: the row's place in its file, from ``first`` on."""
+    blocks = placed.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__start"))
+    before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    line = F.col("__id") - F.col("__start") + F.col("__before") + first
+    return placed.join(blocks, ["__file", "__block"]).withColumn("__line", line).drop("__start", "__before")
+
+
+def _bare(c: Column) -> Column:
+    return strip(F.regexp_replace(c, f"^{_BOM}", ""))
+
+
 def _lines(spark: SparkSession, path: str, numbered: bool) -> tuple[DataFrame, Column | None]:
-    if not numbered:
-        return _load(spark.read.text, path), None
-    whole = _load(lambda p: spark.read.text(p, wholetext=True), path)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("pos", "value")), F.col("pos") + 1
+    lines = _placed(_load(spark.read.text, path))
+    return (_numbered(lines), F.col("__line")) if numbered else (lines, None)
 
 
 def read_text_logs(spark: SparkSession, path: str, line_numbers: bool = False) -> DataFrame:
     """value, source_meta: stripped lines, blank ones dropped, a byte-order mark removed."""
     lines, number = _lines(spark, path, line_numbers)
-    meta = _meta("text", line=number)
-    value = strip(F.regexp_replace("value", f"^{_BOM}", ""))
-    return lines.select(value.alias("value"), meta.alias("source_meta")).where("value <> ''")
+    meta = _meta("text", F.col("__file"), line=number)
+    return lines.select(_bare(F.col("value")).alias("value"), meta.alias("source_meta")).where("value <> ''")
+
+
+def _array_files(spark: SparkSession, path: str) -> list[str]:
+    """Files whose first line that isn't blank begins with '['. As many names as Spark's own listing has at most."""
+    heads = _placed(_load(spark.read.text, path)).where("__block = 0").withColumn("value", F.substring(_bare(F.col("value")), 1, 1))
+    heads = heads.where("value <> ''").groupBy("__file").agg(F.min_by("value", "__id").alias("head"))
+    return [r["__file"] for r in heads.where("head = '['").collect()]
 
 
-def read_json_logs(spark: SparkSession, path: str, line_numbers: bool = False) -> DataFrame:
-    """fields, source_meta. A file that begins with '[' is one array (an invalid one is fatal), else lines."""
-    bare = strip(F.regexp_replace("value", f"^{_BOM}", ""))
-    first = _load(spark.read.text, path).select(bare.alias("value")).where("value <> ''").first()
-    if first is not None and first["value"].startswith("["):
-        whole = spark.read.text(path, wholetext=True).select(bare.alias("value"), _meta("json_array").alias("m"))
+def read_json_logs(
+    spark: SparkSession, path: str, line_numbers: bool = False, shape: str = "auto", keep_malformed: bool = False
+) -> DataFrame:
+    """fields, source_meta. Each file that begins with '[' is one array (an invalid one is fatal), others are lines.
+
+    ``shape`` "lines" or "array" says so for all files, which saves the look at their beginnings. Lines that aren't objects are
+    left out, or with ``keep_malformed`` stay with null fields, which the parser rejects and counts.
+    """
+    if shape not in ("auto", "lines", "array"):
+        raise LogIngestionError(f"unknown JSON shape: {shape}")
+    arrays = _array_files(spark, path) if shape == "auto" else []
+    parts = []
+    if arrays or shape == "array":
+        whole = _load(lambda p: spark.read.text(p, wholetext=True), arrays or path)
+        whole = whole.select(_bare(F.col("value")).alias("value"), _meta("json_array", F.col("_metadata.file_path")).alias("m"))
         items = F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})
         checked = F.when(items.isNull(), F.raise_error(F.lit("invalid JSON array"))).otherwise(items)
-        rows = whole.select("m", F.posexplode(checked).alias("idx", "value"))
-        meta = F.struct("m.source", "m.line_number", F.col("idx").cast("bigint").alias("idx"), "m.format")
-        meta = meta.cast(SOURCE_META)
-    else:
+        rows = whole.where("value <> ''").select("m", F.posexplode(checked).alias("idx", "value"))
+        meta = F.struct("m.source", "m.line_number", F.col("idx").cast("bigint").alias("idx"), "m.format").cast(SOURCE_META)
+        parts.append(rows.select(strip(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(False).alias("line")))
+    if shape != "array":
         rows, number = _lines(spark, path, line_numbers)
-        meta = _meta("ndjson", line=number)
-    rows = rows.select(strip(F.regexp_replace("value", f"^{_BOM}", "")).alias("value"), meta.alias("source_meta"))
+        if arrays:
+            rows = rows.where(~F.col("__file").isin(arrays))
+        meta = _meta("ndjson", F.col("__file"), line=number)
+        parts.append(rows.select(_bare(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(True).alias("line")))
+    rows = functools.reduce(DataFrame.unionByName, parts).where("value <> ''")
     fields = F.when(F.col("value").startswith("{"), F.from_json("value", "map<string,string>"))
-    return rows.select(fields.alias("fields"), "source_meta").where("fields is not null")
+    rows = rows.select(fields.alias("fields"), "source_meta", "line")
+    return rows.where("fields IS NOT NULL OR line" if keep_malformed else "fields IS NOT NULL").drop("line")
 
 
-def read_csv_logs(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def read_csv_logs(spark: SparkSession, path: str, delimiter: str = ",", line_numbers: bool = False) -> DataFrame:
     """fields, source_meta. The first line names the columns; a source without one is an error."""
     if _load(spark.read.text, path).limit(1).count() == 0:
         raise LogIngestionError(f"CSV source is empty: {path}")
@@ -85,7 +126,9 @@ def read_csv_logs(spark: SparkSession, path: str, delimiter: str = ",") -> DataF
     names = {c: c.removeprefix(_BOM).strip() for c in rows.columns}
     pairs = [x for c, n in names.items() for x in (F.lit(n), F.col(f"`{c}`"))]
     filled = F.coalesce(*(F.col(f"`{c}`") for c in names)).isNotNull()
-    return rows.where(filled).select(F.create_map(*pairs).alias("fields"), _meta("csv").alias("source_meta"))
+    rows = _placed(rows)
+    rows, number = (_numbered(rows, 2), F.col("__line")) if line_numbers else (rows, None)
+    return rows.where(filled).select(F.create_map(*pairs).alias("fields"), _meta("csv", F.col("__file"), line=number).alias("source_meta"))
 
 
 def detect_format(path: str) -> str:

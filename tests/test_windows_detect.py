@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logsieve.config import BaselineConfig, DetectionConfig, IncidentConfig
 from logsieve.operators import baselines, detect, explain, features, incidents, stats, windows
-from logsieve.schemas import CANONICAL, FEATURE_VECTOR, FEATURES
+from logsieve.schemas import CANONICAL, FAMILIES, FEATURE_VECTOR, FEATURES
 from logsieve.streaming.detect import drain, stream_anomalies, stream_features
 from logsieve.streaming.state import ServiceState
 
@@ -207,6 +207,42 @@ def test_incident_overlap(spark):
     assert merged.count() == 1
 
 
+def test_incident_overlap_in_long_sessions(spark):
+    """One pass over sorted rows, across batches and services, equals a plain scan."""
+    r = random.Random(31)
+    rows = [(s, 300 * i, r.choice(FEATURES)) for s in "abc" for i in range(700)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    got = incidents.assign_incidents(make_events(spark, rows)).groupBy("owner", "session", "part").agg(F.min("window_start").alias("t"), F.count(F.lit(1)).alias("n"))
+    got = sorted((x.owner, x.t, x.n) for x in got.collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for s in "abc":
+        seen: set = set()
+        for _, t, f in (x for x in rows if x[0] == s):
+            name = detect_family(f)
+            if name not in seen:
+                want.append([s, at(t), 0])
+                seen = set()
+            seen.add(name)
+            want[-1][2] += 1
+    assert got == sorted(map(tuple, want))
+
+
+def detect_family(feature):
+    return next(name for name, group in FAMILIES.items() if feature in group)
+
+
+def test_log_patterns_count_inner_slots(spark):
+    ev = make_events(spark, [("s", 300 * i, "error_rate") for i in range(5)])
+    found = incidents.incident_metrics(incidents.assign_incidents(ev))
+    r = random.Random(32)
+    logs = make_logs(spark, [(r.randint(-700, 2500), "INFO", r.choice("st"), f"h{r.choice([1, 1, 1, 2, 2, 3, 4])}", 1, None) for _ in range(4000)])
+    inside = [x for x in logs.collect() if x.service == "s" and at(-300) <= x.timestamp <= at(1800)]
+    for slot in (60, 300, 7000):
+        got = {x.key: x["count"] for x in incidents.log_patterns(found, logs, slot_seconds=slot).collect()}
+        assert got == {h: sum(x.message_hash == h for x in inside) for h in ("h1", "h2", "h3", "h4")}
+
+
 def test_incident_context(spark):
     ev = make_events(spark, [("s", 600, "error_rate")])
     logs = make_logs(spark, [(300, "INFO", "s", "in", 1, None), (1200, "INFO", "s", "in", 1, None), (299, "INFO", "s", "out", 1, None), (1201, "INFO", "s", "out", 1, None), (600, "INFO", "t", "other", 1, None), (700, "INFO", "s", "b", 1, None)])
@@ -241,3 +277,6 @@ def test_explanations(spark):
     assert explain.explain(found, broken).first().explanation.confidence_score == 0.1
     pair = explain.training_pairs(found, explain.explain(found)).first()
     assert json.loads(pair.completion)["incident_id"] == row.incident_id
+    noted = incidents.build_incidents(ev, None, ops.withColumn("metadata", F.create_map(F.lit("sha"), F.lit("9f"), F.lit("by"), F.lit("ci"))))
+    prompt = explain.with_prompt(explain.with_allowed(noted)).first().prompt
+    assert '"event_type":"Deploy","metadata":{"by":"ci","sha":"9f"},"timestamp"' in prompt
