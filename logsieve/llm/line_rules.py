@@ -7,11 +7,12 @@ rejected, as is one that fails the base rules (too few words, or too many words
 inside repeated five-word windows).
 
 One projection per step, no shuffle and no Python: a document never leaves its
-row. Windows are compared by a 64-bit hash of their words' 64-bit hashes.
+row. Windows are compared by a 64-bit hash of their words' 64-bit hashes. Words are split once, line by line, and
+characters are counted in what remains of a line without blanks and a-z, which is short.
 
 Defined results: null text counts as empty; texts without words have zero
-counts, fail the base rules and are rejected. Ties and repeated rows are
-judged alike. ``judge_lines`` sets the columns named in its docstring and
+counts, fail the base rules and are rejected. Very long texts are judged whole, in one row. Ties and repeated rows are
+judged alike; an empty table gives an empty result. ``judge_lines`` sets the columns named in its docstring and
 keeps all others.
 """
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import SPACE_CLASS, table, words_of
+from .runtime import LOWER, table, words_of
 
 WINDOW = 5
 
@@ -70,27 +71,28 @@ def _count(c: Column, drop: str) -> Column:
     return F.char_length(F.regexp_replace(c, drop + "+", ""))
 
 
-def line_facts(line: Column, rules: LineRules = LineRules()) -> Column:
-    """What the rules look at, each computed once."""
-    words = words_of(line)
+def line_facts(line: Column, words: Column, rest: Column) -> Column:
+    """What the rules look at, each computed once; ``rest`` is the line without blanks and a-z."""
+    small = F.char_length(F.array_join(words, "")) - F.char_length(rest)
     return F.struct(
         line.alias("t"),
         words.alias("w"),
-        _count(line, SPACE_CLASS).alias("chars"),
-        _count(line, r"[^\p{L}]").alias("letters"),
-        _count(line, r"[^\p{Lu}]").alias("upper"),
-        _count(line, r"[^\p{N}]").alias("digits"),
-        _count(F.regexp_replace(line, PLAIN, "") if rules.plain_marks else line, r"[^#*$%&|<>]").alias("symbols"),
-        _count(line, "[^|»›•·]").alias("separators"),
+        (small + F.char_length(rest)).alias("chars"),
+        (small + _count(rest, r"[^\p{L}]")).alias("letters"),
+        _count(rest, r"[^\p{Lu}]").alias("upper"),
+        _count(rest, r"[^\p{N}]").alias("digits"),
+        _count(rest, r"[^#*$%&|<>]").alias("symbols"),
+        _count(rest, "[^|»›•·]").alias("separators"),
     )
 
 
 def line_fails(x: Column, rules: LineRules = LineRules()) -> Column:
     """Whether a line of these facts is removed; blank lines never fail."""
     n_words = F.size(x["w"])
-    symbol_noise = x["symbols"] * 100 > x["chars"] * rules.max_symbol_pct
-    if rules.min_symbols > 1:
-        symbol_noise &= x["symbols"] >= rules.min_symbols
+    noisy = lambda n: (n >= rules.min_symbols) & (n * 100 > x["chars"] * rules.max_symbol_pct)
+    symbol_noise = noisy(x["symbols"])
+    if rules.plain_marks:  # leaving marks out can only make a line less noisy
+        symbol_noise &= noisy(_count(F.regexp_replace(x["t"], PLAIN, ""), r"[^#*$%&|<>]"))
     shouting = (x["letters"] >= rules.min_shout_letters) & (x["upper"] * 100 > x["letters"] * rules.max_upper_pct)
     # Vocabulary grows about as the root of the length, so long lines of prose pass.
     distinct = F.size(F.array_distinct(x["w"])).cast("long")
@@ -134,22 +136,24 @@ def _with_repeats(df: DataFrame) -> DataFrame:
 def judge_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed,
     chars_removed, clean_text, base_failed and kept."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("__w", words_of(text)).withColumn("__l", F.split(text, "\n"))
-    df = _with_repeats(df)
-    worded = F.filter("__l", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumns({"__f": F.transform("__l", lambda x: line_facts(x, rules)), "__v": worded})
+    df = docs.withColumn("__l", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    df = df.withColumn("__lw", F.transform("__l", words_of))
+    df = _with_repeats(df.withColumn("__w", F.flatten("__lw")))
+    rests = F.transform("__lw", lambda w: F.translate(F.array_join(w, ""), LOWER, ""))
+    parts = F.arrays_zip(F.col("__l").alias("l"), F.col("__lw").alias("w"), rests.alias("r"))
+    df = df.withColumn("__f", F.transform(parts, lambda x: line_facts(x["l"], x["w"], x["r"])))
+    df = df.withColumn("__v", F.transform(F.filter("__f", lambda x: x["chars"] > 0), lambda x: x["t"]))
     judged = F.transform(
         "__f", lambda x: F.struct(x["t"].alias("t"), x["chars"].alias("chars"), line_fails(x, rules).alias("bad"))
     )
     df = df.withColumn("__j", judged)
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["chars"])
+    total = lambda xs, name="chars": F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x[name])
     removed = F.filter("__j", lambda x: x["bad"])
     df = df.withColumns(
         {
             "n_words": F.size("__w").cast("long"),
             "word_chars": total(F.col("__f")),
-            "n_symbols": _count(text, r"[^#*$%&|<>]").cast("long"),
+            "n_symbols": total(F.col("__f"), "symbols"),
             "n_dup_lines": (F.size("__v") - F.size(F.array_distinct("__v"))).cast("long"),
             "n_lines_removed": F.size(removed).cast("long"),
             "chars_removed": total(removed),
@@ -163,7 +167,7 @@ def judge_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
     )
     lost = F.col("chars_removed") * 100 > F.col("word_chars") * rules.max_loss_pct
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~lost)
-    return df.drop("__w", "__l", "__wh", "__g", "__o", "__f", "__j", "__v")
+    return df.drop("__w", "__l", "__lw", "__wh", "__g", "__o", "__f", "__j", "__v")
 
 
 RESULT = [
