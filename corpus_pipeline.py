@@ -12,6 +12,12 @@ Five stages, each one operator of ``logsieve.llm`` with production parameters:
 
 Every stage but the last returns the columns of ``documents``; the last returns a
 row for each piece. A document drawn twice is packed twice.
+
+Defined results: null and empty texts fail the quality rules. Rows that repeat both text and id stay once; of rows that
+repeat an id with different texts each is judged by its text, and near dedup by the id's smallest component. Ties keep the smallest id. A null id stays
+null; a null source is the source of the empty name to mixing and stays null. Very long texts pass whole and are cut by
+packing only. Columns beyond those of ``documents``, whatever their names, go in the first stage. An empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
