@@ -194,6 +194,19 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert total.count() == rows.count()
 
 
+def test_pipeline_of_awkward_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    odd = docs.union(docs).withColumn("doc_id", F.when(F.col("doc_id") == 3, None).otherwise(F.col("doc_id")))
+    odd.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    ids = [r.doc_id for r in got.where("piece = 0").select("doc_id", "ids_crc32", "length").distinct().collect()]
+    assert {0, 10, 16, None} <= set(ids) and not {4, 5, 6, 13} & set(ids) and len(ids) == len(set(ids))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 @pytest.mark.parametrize("name", ["op2_url_filter", "op3_temperature_mixing", "op6_content_sort", "op8_line_rules"])
 def test_oracles(spark, name):
