@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from .runtime import durable, shuffle_partitions, table
+from .runtime import durable, shuffle_partitions, table, tidy
 from .shingles import minwise, minwise_keys, overlap, sets_of
 
 
@@ -131,7 +131,7 @@ def sketch_documents(docs: DataFrame, join: Join, id_col: str, text_col: str) ->
                 names=["id", "n_shingles", "sig", "paths", "sketch"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(work, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(work), schema)
 
 
 def _branches(classes: DataFrame, join: Join) -> DataFrame:
@@ -282,7 +282,7 @@ def candidate_pairs(classes: DataFrame, join: Join) -> DataFrame:
                 _pairs_in(part, columns, join, int(level[part[0]]), found, hints, large)
             yield _found(found, hints, large, columns)
 
-    pairs = rows.mapInArrow(work, "u bigint, v bigint, score int, tree int, node bigint")
+    pairs = rows.mapInArrow(tidy(work), "u bigint, v bigint, score int, tree int, node bigint")
     return pairs.groupBy("u", "v", "tree", "node").agg(F.max("score").alias("score"))
 
 
@@ -295,7 +295,7 @@ def shingle_rows(texts: DataFrame, join: Join) -> DataFrame:
                 ids = pa.array(np.full(len(shingles), batch.column(0)[i].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(shingles.view(np.int64))], names=["id", "shingle"])
 
-    return texts.select("id", "text").mapInArrow(work, "id bigint, shingle bigint")
+    return texts.select("id", "text").mapInArrow(tidy(work), "id bigint, shingle bigint")
 
 
 def rest_links(classes: DataFrame, texts: DataFrame, labels: DataFrame, large: DataFrame, join: Join) -> DataFrame | None:
@@ -382,7 +382,7 @@ def _dense_links(cells: DataFrame, texts: DataFrame, n: int, join: Join) -> Data
             u, v = ([x[i] for x in links] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return cells.mapInArrow(work, "u bigint, v bigint").distinct()
+    return cells.mapInArrow(tidy(work), "u bigint, v bigint").distinct()
 
 
 def _links_in(t: pa.Table, join: Join) -> list[tuple[int, int]]:
@@ -468,7 +468,7 @@ def confirm(edges: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["u", "v", "linked"]
             )
 
-    return both.mapInArrow(work, "u bigint, v bigint, linked boolean")
+    return both.mapInArrow(tidy(work), "u bigint, v bigint, linked boolean")
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -495,7 +495,7 @@ def _forest(edges: DataFrame) -> DataFrame:
                 [pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["id", "root"]
             )
 
-    return edges.select("u", "v").mapInArrow(work, "id bigint, root bigint")
+    return edges.select("u", "v").mapInArrow(tidy(work), "id bigint, root bigint")
 
 
 def _star_round(edges: DataFrame) -> DataFrame:

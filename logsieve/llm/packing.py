@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import importable
-from .runtime import durable, table
+from .runtime import durable, table, tidy
 from .tokens import blocks, encoder, tokenizer_path
 
 #: Pieces in one partition of the second pass.
@@ -184,12 +184,12 @@ def pack_documents(
             rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values))
         yield from rows.to_batches(10_000)
 
-    packed = durable(docs.select(id_col, text_col).mapInArrow(pack, schema))
+    packed = durable(docs.select(id_col, text_col).mapInArrow(tidy(pack), schema))
     full = F.col("filled") == cap.tokens
     loose = packed.where(~full)
     n_loose = loose.count()
     if n_loose:
-        again = loose.repartition(-(-n_loose // REPACKED)).mapInArrow(repack, schema)
+        again = loose.repartition(-(-n_loose // REPACKED)).mapInArrow(tidy(repack), schema)
         packed = packed.where(full).unionByName(again)
     return packed.drop("filled")
 

@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 MEMO_ENTRIES = 1_000_000
 #: Longer pieces aren't kept in the memo.
 MEMO_BYTES = 48
