@@ -19,7 +19,8 @@ hot source. DataFrame functions only: no Python on the executors.
 Defined results: a null source counts as the source of the empty name. Texts
 without words have 0 tokens and follow their block. Repeated rows are drawn
 each on its own; their keys are equal, so a cut takes or leaves them together.
-An empty table gives an empty result. Other columns are kept; ``block``,
+Null ids count as empty text in the key; rows of one source with equal ids share a place. Very long texts are one row like any
+other. An empty table gives an empty result. Other columns are kept; ``block``,
 ``place`` and ``n_tokens`` are added and replace columns of those names.
 """
 

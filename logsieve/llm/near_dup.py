@@ -25,7 +25,8 @@ component (of those in large nodes only the best of each component). Every candi
 components is confirmed on full sets before it is dropped. Texts travel only if a round needs them, once for each ``HUB`` edges of a document.
 
 Defined results: null and empty texts have an empty set, link with nothing and
-stay. Texts of fewer than ``k`` words are one shingle. Repeated rows get the
+stay. Texts of fewer than ``k`` words are one shingle; very long texts are read whole, one after another. Of
+equally likely partners the one with the smaller id is tried first. Repeated rows get the
 same component; rows without an id stay or follow an equal set. Ids identify texts: a row that repeats an id adds its text to
 that id. An empty table gives an empty result. Columns beyond id and text are
 kept by ``drop_near_copies`` and not read otherwise.

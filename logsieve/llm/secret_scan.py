@@ -17,8 +17,9 @@ match. Spans of the battery have the kind ``random`` and never overlap those of
 the patterns.
 
 Defined results: null text counts as empty; texts without finds have zero
-counts, empty ``spans`` and the digest of the empty string. Repeated rows give
-repeated results; an empty table gives an empty result.
+counts, empty ``spans`` and the digest of the empty string. Very long texts are scanned whole. Repeated rows give
+repeated results; an empty table gives an empty result. Spans that begin together are in the order of their kinds.
+Columns beyond id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -105,6 +105,17 @@ def test_secret_query_digest(spark, tmp_path):
     assert (got[2].n_assign, got[2].spans, got[2].base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
 
 
+def test_secrets_of_awkward_rows(spark):
+    long = "plain words " * 100_000 + "token=abcdefghij " + "deadbeef" * 5
+    rows = [(1, "secret: abcdefgh", "x", 5), (1, "secret: abcdefgh", "x", 5), (2, None, None, None), (3, long, "y", 1), (None, "AKIA" + "Z9" * 8, "z", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, random string, base long")
+    got = secret_scan.scan_secrets(df)
+    assert got.columns == ["doc_id", "base", "found"]
+    spans = {(x.doc_id, tuple((b.start, secret_scan.KINDS[b.kind], b.end) for b in x.base)) for x in got.collect()}
+    assert got.count() == 5 and spans == {(i, tuple(brute_spans(t))) for i, t, *_ in rows}
+    assert secret_scan.scan_secrets(df.where("false")).count() == 0
+
+
 def test_quality_rank(spark):
     texts = [(i, prose(i, 40 + i % 50), 1) for i in range(160)] + [(1000 + i, " ".join(w.upper() + "!!" for w in prose(i, 50).split()), 0) for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(5000, None), (5001, "")], "doc_id long, text string")
