@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
-from .functions.normal import LEVEL_ALIASES, MESSAGE_BLANKS
-from .operators.explain import (
-    ALWAYS_STEP,
-    CAUSES,
-    FALLBACK_CONFIDENCE,
-    FALLBACK_LIMITS,
-    FALLBACK_SUMMARY,
-    STEPS,
-)
-from .operators.parse import (
-    AFTER_LEVEL_PATTERN,
-    DURATION_PATTERN,
-    LEVEL_PATTERN,
-    SERVICE_PATTERN,
-    TIMESTAMP_PATTERN,
+# Fixed values of the contract, written out here so that an error in the library's own can't hide on both sides.
+LEVEL_ALIASES = {
+    "DEBUG": "DEBUG", "INFO": "INFO", "WARNING": "WARNING", "WARN": "WARNING", "ERROR": "ERROR", "ERR": "ERROR",
+    "CRITICAL": "CRITICAL", "CRIT": "CRITICAL", "FATAL": "CRITICAL",
+}
+SEVERITIES = ("none", "low", "medium", "high", "critical")
+FAMILIES = {
+    "count": ("total_events", "error_count", "warning_count", "info_count"),
+    "rate": ("error_rate", "warning_rate"),
+    "duration": ("median_duration_ms", "p95_duration_ms", "max_duration_ms"),
+    "diversity": ("unique_messages", "unique_error_codes"),
+}
+FAMILY_NAMES = ("count", "rate", "duration", "diversity", "other")
+FEATURES = (
+    "total_events", "error_count", "warning_count", "info_count", "error_rate", "warning_rate", "median_duration_ms",
+    "p95_duration_ms", "max_duration_ms", "unique_messages", "unique_error_codes",
+)
+MAX_SERVICE, MAX_MESSAGE = 128, 2048
+MESSAGE_BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+TIMESTAMP_PATTERN = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z?)"
+LEVEL_PATTERN = r"(?i)(?:^|\s)(DEBUG|INFO|WARNING|ERROR|CRITICAL|WARN|ERR|NOTICE)\s+"
+AFTER_LEVEL_PATTERN = r"(?is)^(?:.*?\s)??(?:DEBUG|INFO|WARNING|ERROR|CRITICAL|WARN|ERR|NOTICE)\s+(.*)$"
+SERVICE_PATTERN = r"^([A-Za-z0-9_-]+)"
+DURATION_PATTERN = r"\(([0-9]+)m?s?\)"
+CAUSES = {
+    "error_rate_spike": ("error_rate", "error_count"),
+    "warning_spike": ("warning_rate", "warning_count"),
+    "latency_regression": ("median_duration_ms", "p95_duration_ms", "max_duration_ms"),
+    "traffic_spike": ("total_events", "info_count"),
+    "error_variation": ("unique_messages", "unique_error_codes"),
+}
+STEPS = (
+    (("deployment_change",), "Review recent deployments in the incident window"),
+    (("error_rate_spike", "warning_spike"), "Inspect error and warning logs for the affected service"),
+    (("latency_regression",), "Check latency metrics and downstream dependencies"),
+    (("traffic_spike",), "Verify traffic sources and request patterns"),
+    (("error_variation",), "Group errors by code to identify new patterns"),
 )
-from .schemas import FAMILIES, FAMILY_NAMES, FEATURES, MAX_MESSAGE, MAX_SERVICE, SEVERITIES
+ALWAYS_STEP = "Validate incident scope and confirm if impact persists"
+FALLBACK_SUMMARY = "Incident explanation unavailable; fallback generated from known facts."
+FALLBACK_LIMITS = "LLM output was invalid or unavailable; returned minimal factual summary."
+FALLBACK_CONFIDENCE = 0.1
 
 SECONDS, GAP, CONTEXT = 21600, 43200, 21600
 WINDOW = f"time_bucket(INTERVAL '{SECONDS} seconds', timestamp, TIMESTAMP '1970-01-01')"
