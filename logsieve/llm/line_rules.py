@@ -50,20 +50,15 @@ class LineRules:
     min_words: int = 10
     max_window_pct: int = 20
     #: Lines of fewer symbols aren't noise.
-    min_symbols: int = 1
-    #: Leading heading, list and quote marks and the signs of single amounts are no symbols.
-    plain_marks: bool = False
-    #: Sentence marks of all scripts count, not only those of ``MARKS``.
-    all_scripts: bool = False
+    min_symbols: int = 3
 
 
-MARKS = r"[.!?…:;,。！？、]"
-#: Other punctuation of any script (danda, Arabic and Urdu signs, ...) but signs that end or part no sentence.
-ALL_MARKS = r"""[\p{Po}&&[^#%&*@/\\'"•·]]"""
-#: Marks at the begin of a line, and signs beside a number.
+#: Sentence marks: punctuation of any script (danda, Arabic and Urdu signs, ...) but signs that end or part no sentence.
+MARKS = r"""[\p{Po}&&[^#%&*@/\\'"•·]]"""
+#: No symbols: heading, list and quote marks at the begin of a line, and the signs of single amounts.
 PLAIN = r"^\s*(?:(?:#{1,6}|[*>])\s+)+|\$(?=\d)|(?<=\d)\s?%"
-#: The pipeline's rules; those of the query are fixed by its SQL form.
-PRODUCTION = LineRules(min_symbols=3, plain_marks=True, all_scripts=True)
+#: The rules of the query and of the pipeline.
+PRODUCTION = LineRules()
 
 
 def _count(c: Column, drop: str) -> Column:
@@ -86,13 +81,12 @@ def line_facts(line: Column, words: Column, rest: Column) -> Column:
     )
 
 
-def line_fails(x: Column, rules: LineRules = LineRules()) -> Column:
+def line_fails(x: Column, rules: LineRules = PRODUCTION) -> Column:
     """Whether a line of these facts is removed; blank lines never fail."""
     n_words = F.size(x["w"])
     noisy = lambda n: (n >= rules.min_symbols) & (n * 100 > x["chars"] * rules.max_symbol_pct)
-    symbol_noise = noisy(x["symbols"])
-    if rules.plain_marks:  # leaving marks out can only make a line less noisy
-        symbol_noise &= noisy(_count(F.regexp_replace(x["t"], PLAIN, ""), r"[^#*$%&|<>]"))
+    # Leaving plain marks out can only make a line less noisy, so only lines that are noisy with them are looked at.
+    symbol_noise = noisy(x["symbols"]) & noisy(_count(F.regexp_replace(x["t"], PLAIN, ""), r"[^#*$%&|<>]"))
     shouting = (x["letters"] >= rules.min_shout_letters) & (x["upper"] * 100 > x["letters"] * rules.max_upper_pct)
     # Vocabulary grows about as the root of the length, so long lines of prose pass.
     distinct = F.size(F.array_distinct(x["w"])).cast("long")
@@ -100,7 +94,7 @@ def line_fails(x: Column, rules: LineRules = LineRules()) -> Column:
         (n_words >= rules.min_repeat_words) & (distinct * rules.max_repeat_factor < n_words) & (distinct * distinct < 4 * n_words)
     )
     navigation = (x["separators"] >= rules.min_separators) & (x["separators"] * 4 >= n_words)
-    unpunctuated = (n_words >= rules.min_unpunctuated_words) & ~x["t"].rlike(ALL_MARKS if rules.all_scripts else MARKS)
+    unpunctuated = (n_words >= rules.min_unpunctuated_words) & ~x["t"].rlike(MARKS)
     boilerplate = (n_words <= rules.max_boilerplate_words) & F.lower(x["t"]).rlike(BOILERPLATE)
     no_text = x["letters"] + x["digits"] == 0
     return (x["chars"] > 0) & (
@@ -133,7 +127,7 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
-def judge_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+def judge_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = PRODUCTION) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed,
     chars_removed, clean_text, base_failed and kept."""
     df = docs.withColumn("__l", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
@@ -180,23 +174,29 @@ def op8_line_rules(spark, sf_dir):
 
 
 def _oracle_parts() -> str:
-    r = LineRules()
+    r = PRODUCTION
     space = r"[\x20\x09-\x0D]"
+    symbols = r"[^#*$%&|<>]"
+    # Without look-around and class intersection, step by step.
+    unled = rf"regexp_replace(t, '^{space}*(?:(?:#{{1,6}}|[*>]){space}+)+', '')"
+    plain = rf"regexp_replace(regexp_replace({unled}, '\$(\d)', '\1', 'g'), '(\d){space}?%', '\1', 'g')"
+    marks = r"""regexp_matches(regexp_replace(t, '[#%&*@/\\''"•·]', '', 'g'), '\p{Po}')"""
     cnt = lambda keep: f"length(regexp_replace(t, '{keep}', '', 'g'))"
     words = f"list_filter(regexp_split_to_array(t, '{space}+'), lambda w: w <> '')"
     return f"""
     d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     lines AS (SELECT doc_id, u.t AS t, u.i AS i FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'t': x, 'i': i}})) AS u FROM d)),
     stats AS (SELECT doc_id, i, t, {words} AS w, {cnt(space)} AS chars, {cnt(r"[^\p{L}]")} AS letters,
-                     {cnt(r"[^\p{Lu}]")} AS upper_, {cnt(r"[^#*$%&|<>]")} AS symbols, {cnt("[^|»›•·]")} AS seps,
+                     {cnt(r"[^\p{Lu}]")} AS upper_, {cnt(symbols)} AS symbols,
+                     length(regexp_replace({plain}, '{symbols}', '', 'g')) AS noise, {cnt("[^|»›•·]")} AS seps,
                      {cnt(r"[^\p{N}]")} AS digits FROM lines),
     judged AS (SELECT doc_id, i, t, chars, len(w) > 0 AS worded, chars > 0 AND (
-        symbols * 100 > chars * {r.max_symbol_pct}
+        (noise >= {r.min_symbols} AND noise * 100 > chars * {r.max_symbol_pct})
         OR (letters >= {r.min_shout_letters} AND upper_ * 100 > letters * {r.max_upper_pct})
         OR (len(w) >= {r.min_repeat_words} AND len(list_distinct(w)) * {r.max_repeat_factor} < len(w)
             AND len(list_distinct(w)) * len(list_distinct(w)) < 4 * len(w))
         OR (seps >= {r.min_separators} AND seps * 4 >= len(w))
-        OR (len(w) >= {r.min_unpunctuated_words} AND NOT regexp_matches(t, '[.!?…:;,。！？、]'))
+        OR (len(w) >= {r.min_unpunctuated_words} AND NOT {marks})
         OR (len(w) <= {r.max_boilerplate_words} AND regexp_matches(lower(t), '{BOILERPLATE}'))
         OR letters + digits = 0) AS bad FROM stats),
     by_line AS (SELECT doc_id, CAST(count(*) FILTER (WHERE worded) - count(DISTINCT t) FILTER (WHERE worded) AS BIGINT) AS n_dup_lines,

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,11 +51,29 @@ def test_production_rules_keep_clean_lines(spark):
     bad = ["$$$ win ### now ***", "#### | ****", word("a", 30), word("a", 30) + " don't"]
     rows = [(i, x) for i, x in enumerate(good + bad)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.n_lines_removed for r in line_rules.judge_lines(df, rules=line_rules.PRODUCTION).collect()}
+    got = {r.doc_id: r.n_lines_removed for r in line_rules.judge_lines(df).collect()}
     assert [got[i] for i, _ in rows] == [0] * len(good) + [1] * len(bad)
     text = "\n".join(["# Title", *(f"* item {prose(i, 3)}" for i in range(12))])
     one = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert line_rules.judge_lines(one, rules=line_rules.PRODUCTION).first().clean_text == text
+    assert line_rules.judge_lines(one).first().clean_text == text
+
+
+def test_line_rules_equal_their_sql_on_odd_lines(spark):
+    import duckdb
+
+    marks = ["# ", "#", "> * ", "\x0b* ", "$5", "$$5", "5 %", "5%%", "$5% ", "5$6%", "|", "&", "\u0964", "\u06d4", "¿", "'", "\\", "•", "•·", "x", "Ж", "क", "\t"]
+    rng = random.Random(5)
+    odd = lambda n: "".join(rng.choice(marks) + rng.choice(["", " "]) for _ in range(n))
+    # The longer line of two decides; it has no full stop of its own.
+    long = lambda i: f"{odd(rng.randint(0, 5))} {prose(i, rng.choice([14, 30])).replace('.', '')} {odd(rng.randint(0, 3))}"
+    rows = [(i, f"{prose(i + 1000, 11)}\n{long(i)}") for i in range(1, 500)]
+    rows += [(i, f"{odd(9)}\n{odd(40)}") for i in range(500, 600)] + [(600, None), (601, "")]
+    got = line_rules.judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id")
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = duckdb.sql(line_rules.ORACLE + " ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in got.select(*line_rules.RESULT).collect()]
+    assert got == want
+    assert 100 < sum(r[-1] for r in got) < 400
 
 
 def test_line_rules_empty(empty):
