@@ -28,6 +28,24 @@ def _family_bit(a: Column) -> Column:
     return bits
 
 
+def family_mask(anomalies: Column) -> Column:
+    """Bits of the families of an array of anomalies."""
+    return _bits(anomalies, _family_bit)
+
+
+def feature_mask(anomalies: Column) -> Column:
+    """Bits of the features of an array of anomalies."""
+    return _bits(anomalies, lambda a: F.call_function("shiftleft", F.lit(1), a["ordinal"].cast("int")))
+
+
+def finish_incidents(rows: DataFrame) -> DataFrame:
+    """Adds incident_id and severity_counts, for which the counts ``n_<severity>`` leave."""
+    entries = F.array(*(F.struct(F.lit(name).alias("k"), F.col(f"n_{name}").alias("v")) for name in SEVERITIES[1:]))
+    filled = F.map_filter(F.map_from_entries(entries), lambda _, n: n > 0)
+    rows = rows.withColumn("incident_id", stable_id(F.col("service"), time_text(F.col("start_time"))))
+    return rows.withColumn("severity_counts", filled).drop(*(f"n_{name}" for name in SEVERITIES[1:]))
+
+
 def assign_incidents(events: DataFrame, config: IncidentConfig = IncidentConfig()) -> DataFrame:
     """Events with session and part: together with the owner they number the incidents.
 
@@ -45,7 +63,7 @@ def assign_incidents(events: DataFrame, config: IncidentConfig = IncidentConfig(
     if not config.require_feature_family_overlap:
         return df.withColumn("part", F.lit(0))
     importable(events.sparkSession)
-    df = df.withColumn("mask", _bits(F.col("anomalies"), _family_bit))
+    df = df.withColumn("mask", family_mask(F.col("anomalies")))
     keys = ["owner", "session"]
     rows = df.repartition(*keys).sortWithinPartitions(*keys, "service", "window_start", "event_id")
 
@@ -70,10 +88,9 @@ def assign_incidents(events: DataFrame, config: IncidentConfig = IncidentConfig(
 
 def incident_metrics(assigned: DataFrame, config: IncidentConfig = IncidentConfig()) -> DataFrame:
     """incident_id, service, bounds and metrics of each incident."""
-    feature_bits = _bits(F.col("anomalies"), lambda a: F.call_function("shiftleft", F.lit(1), a["ordinal"].cast("int")))
     ranked = lambda r: F.size(F.filter("anomalies", lambda a: a["severity_rank"] == r))
-    counts = {f"n_{name}": F.sum(ranked(r)).alias(f"n_{name}") for r, name in enumerate(SEVERITIES) if r}
-    rows = assigned.withColumn("bits", feature_bits).groupBy("owner", "session", "part")
+    counts = [F.sum(ranked(r)).alias(f"n_{name}") for r, name in enumerate(SEVERITIES) if r]
+    rows = assigned.withColumn("bits", feature_mask(F.col("anomalies"))).groupBy("owner", "session", "part")
     rows = rows.agg(
         F.min("service").alias("service"),
         F.min("window_start").alias("start_time"),
@@ -82,15 +99,12 @@ def incident_metrics(assigned: DataFrame, config: IncidentConfig = IncidentConfi
         F.bit_count(F.bit_or("bits")).cast("bigint").alias("feature_count"),
         F.max("score").alias("max_score"),
         F.max("severity_rank").alias("severity_rank"),
-        *counts.values(),
+        *counts,
         F.array_sort(
             F.collect_list(F.struct("window_start", "event_id", "score", "severity", "severity_rank", "anomalies"))
         ).alias("events"),
     )
-    entries = F.array(*(F.struct(F.lit(name).alias("k"), F.col(f"n_{name}").alias("v")) for name in SEVERITIES[1:]))
-    filled = F.map_filter(F.map_from_entries(entries), lambda _, n: n > 0)
-    rows = rows.withColumn("incident_id", stable_id(F.col("service"), time_text(F.col("start_time"))))
-    return rows.withColumn("severity_counts", filled).drop("owner", "session", "part", *counts)
+    return finish_incidents(rows.drop("owner", "session", "part"))
 
 
 def _near(incidents: DataFrame, config: IncidentConfig, keys: list[str], slot_seconds: int) -> DataFrame:

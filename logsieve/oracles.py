@@ -232,6 +232,7 @@ CHAINED = {
     "explanation_rows": f"""SELECT incident_id, '{FALLBACK_SUMMARY}' AS what_happened, 'unknown' AS likely_cause, {FALLBACK_CONFIDENCE}::DOUBLE AS confidence,
         '{ALWAYS_STEP}' AS suggested_actions, service AS affected_services FROM incidents""",
     "streaming_detect": f"SELECT {KEYS}, round(score, 6) AS score FROM active",
+    "streaming_incidents": "SELECT incident_id, service, start_time, end_time, anomaly_count FROM incidents",
 }
 
 ORACLES = {name: WITH + sql for name, sql in CHAINED.items()} | {

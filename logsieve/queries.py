@@ -393,6 +393,24 @@ def streaming_detect(spark, sf_dir):
     return rounded(found.where("NOT suppressed").select("service", "window_start", "feature", "score"))
 
 
+def streaming_incidents(spark, sf_dir):
+    """The same incidents from the streamed anomalies; a heartbeat after the last of them closes what is still open."""
+    from .streaming.detect import drain, stream_anomalies
+    from .streaming.incidents import stream_events, stream_incidents
+
+    path = f"{shared_folder(spark)}/incidents-{uuid.uuid4().hex}"
+    rows = vectors(spark, sf_dir)
+    rows.repartition(4, F.col("service")).sortWithinPartitions("window_start").write.parquet(f"{path}/in")
+    found = drain(stream_anomalies(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), CONFIG), f"{path}/anomalies")
+    found.write.parquet(f"{path}/feed")
+    stream = stream_incidents(stream_events(spark.readStream.schema(found.schema).parquet(f"{path}/feed")), INCIDENTS)
+    drain(stream, f"{path}/incidents")
+    beat = found.withColumns({"service": F.lit("heartbeat"), "window_start": F.col("window_start") + F.make_dt_interval(days=F.lit(30))})
+    beat.orderBy(F.desc("window_start")).limit(1).write.mode("append").parquet(f"{path}/feed")
+    closed = drain(stream, f"{path}/incidents")
+    return closed.select("incident_id", "service", "start_time", "end_time", "anomaly_count")
+
+
 QUERIES = {
     "parse_text_roundtrip": parse_text_roundtrip,
     "parse_json_alias": lambda s, d: _parsed(parse.parse_json(json_fields(s, d))),
@@ -451,6 +469,7 @@ QUERIES = {
     "training_pairs": training_pairs,
     "documents_message_patterns": documents_message_patterns,
     "streaming_detect": streaming_detect,
+    "streaming_incidents": streaming_incidents,
 }
 
 
