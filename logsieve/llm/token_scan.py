@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,15 +42,45 @@ _LIGHT = (
 )
 
 
-def read_token_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> DataFrame:
-    """(shard, block, data) of flat files, through Spark's binary reader (files of up to 2 GB each)."""
-    files = spark.read.format("binaryFile").load(path)
-    n = F.ceil(F.col("length") / block_bytes).cast("int")
-    cut = files.where("length > 0").select(
-        F.col("path").alias("shard"), "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")
-    )
-    data = F.call_function("substring", "content", F.col("block") * block_bytes + 1, F.lit(block_bytes))
-    return cut.select("shard", F.col("block").cast("bigint").alias("block"), data.alias("data"))
+def read_token_files(
+    spark: SparkSession, path: str, block_bytes: int = 1 << 20, range_bytes: int = 16 << 20
+) -> DataFrame:
+    """(shard, block, data) of flat files of any size.
+
+    Spark lists the files (names and lengths, no content); tasks of about eight ranges of ``range_bytes`` read them where
+    they lie, through the file system that Arrow knows for the path's scheme, one block at a time. A task that is run
+    again reads its ranges again. A file that became shorter, or has half an id at its end, fails.
+    """
+    if block_bytes < 1 or block_bytes % 2:  # wider ids that a block would cut fail in the scan
+        raise ValueError("blocks must hold whole token ids")
+    importable(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    total = files.agg(F.sum("length")).first()[0] or 0
+    per_range = max(1, range_bytes // block_bytes)
+    n = F.ceil(F.col("length") / block_bytes).cast("long")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(per_range).cast("long"))).alias("first")
+    ranges = files.select("path", "length", first).repartition(max(1, -(-total // (8 * range_bytes))), "path", "first")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, inner = _file_system(name)
+                with system.open_input_file(inner) as file:
+                    for block in range(at, min(at + per_range, -(-length // block_bytes))):
+                        size = min(block_bytes, length - block * block_bytes)
+                        data = file.read_at(size, block * block_bytes)
+                        if len(data) != size:
+                            raise OSError(f"{name} became shorter while it was read")
+                        yield pa.RecordBatch.from_pydict({"shard": [name], "block": [block], "data": [data]})
+
+    return ranges.mapInArrow(work, "shard string, block bigint, data binary")
+
+
+def _file_system(name: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark lists it, and the path inside; ``file:/a`` means a local file."""
+    if name.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(name)
 
 
 def _summary(data: bytes, dtype: str, end_id: int) -> tuple[int, int, int | None, list[int]]:

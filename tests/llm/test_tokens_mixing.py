@@ -121,7 +121,7 @@ def test_separator_scan_of_files(spark, tmp_path, block_bytes):
         ids += [3] * tail
         np.array(ids, "<u2").tofile(tmp_path / f"shard-{name}.bin")
         want[f"shard-{name}.bin"] = [(n, True) for n in lengths] + [(tail, False)] * (tail > 0)
-    found = token_scan.read_token_files(spark, str(tmp_path), block_bytes)
+    found = token_scan.read_token_files(spark, str(tmp_path), block_bytes, 3 * block_bytes)
     for group in (2, 1024):
         got: dict = {k: [] for k in want}
         for x in token_scan.stitch(token_scan.scan_blocks(found), group).orderBy("shard", "ordinal").collect():
@@ -129,6 +129,18 @@ def test_separator_scan_of_files(spark, tmp_path, block_bytes):
         assert got == want
 
 
+def test_token_file_of_more_than_two_gigabytes(spark, tmp_path):
+    name, size = tmp_path / "large file.bin", (1 << 31) + (5 << 20)
+    with open(name, "wb") as f:
+        for at in (6, 1 << 31, size - 4):
+            f.seek(at)
+            f.write(np.array([token_scan.END_ID, 9], "<u2").tobytes())
+    got = token_scan.count_tokens(token_scan.read_token_files(spark, str(name), 8 << 20, 64 << 20)).orderBy("ordinal").collect()
+    assert [(r.n_tokens, r.complete) for r in got] == [(3, True), ((1 << 30) - 4, True), ((5 << 19) - 3, True), (1, False)]
+    with pytest.raises(ValueError):
+        token_scan.read_token_files(spark, str(name), 3)
+
+
 def test_token_counts_of_documents(spark, docs, encoder, tmp_path):
     docs = docs.unionByName(docs.sparkSession.createDataFrame([(3000 + i, x) for i, x in enumerate(SPECIAL)], "doc_id long, text string"), allowMissingColumns=True)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
