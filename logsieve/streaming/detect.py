@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DetectionConfig
-from ..operators.features import count_features, duration_features, rate_features
+from ..operators.detect import family
+from ..operators.features import count_features, duration_features, features_long, rate_features
 from ..workers import importable
 
 ANOMALY = (
@@ -37,26 +39,30 @@ def stream_features(logs: DataFrame, seconds: int = 300, delay: str = "10 minute
 
 
 def stream_anomalies(features: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Anomalies of a stream of feature vectors; state by service, windows in order inside a trigger."""
+    """Anomalies of a stream of feature vectors, windows in order inside a trigger.
+
+    State is kept by service and feature family: suppression never looks further, and a hot service's families are
+    worked on by several tasks.
+    """
     from .state import ServiceState
 
     importable(features.sparkSession)
-
-    columns = ANOMALY.replace(" string", "").replace(" timestamp_ntz", "").replace(" double", "").replace(" int", "")
-    names = [c.strip() for c in columns.replace(" boolean", "").split(",")]
+    names = [c.split(" ")[0] for c in ANOMALY.split(", ")]
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scan = ServiceState.load(state.get[0], config) if state.exists else ServiceState(config)
-        rows = pd.concat(list(batches)).sort_values("window_start")
+        rows = pd.concat(list(batches)).sort_values("window_start", kind="stable")
         found = []
-        for vector in rows.to_dict("records"):
-            clean = {k: None if isinstance(v, float) and v != v else v for k, v in vector.items()}
-            for a in scan.update(clean):
-                found.append({"service": key[0], "window_start": vector["window_start"], **a})
+        columns = zip(rows["window_start"], rows["feature"], rows["observed"], strict=True)
+        for start, window in itertools.groupby(columns, key=lambda r: r[0]):
+            for a in scan.update({feature: x for _, feature, x in window}):
+                found.append({"service": key[0], "window_start": start, **a})
         state.update((scan.dump(),))
-        yield pd.DataFrame(found, columns=names)
+        if found:
+            yield pd.DataFrame(found, columns=names)
 
-    grouped = features.groupBy("service")
+    rows = features_long(features).withColumn("family", family(F.col("feature")))
+    grouped = rows.select("service", "family", "window_start", "feature", "observed").groupBy("service", "family")
     return grouped.applyInPandasWithState(work, ANOMALY, "state string", "append", GroupStateTimeout.NoTimeout)
 
 

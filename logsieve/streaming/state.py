@@ -1,4 +1,4 @@
-"""Detection as a scan: the state of one service and its update by one feature vector.
+"""Detection as a scan: the state of one service, or of some of its features, and its update by one feature vector.
 
 The same formulas as the window expressions, one observation at a time.
 """
@@ -99,7 +99,8 @@ class ServiceState:
         return found
 
     def dump(self) -> str:
-        return json.dumps({k: [list(s.values), s.count, s.mean, s.var, s.last] for k, s in self.features.items()})
+        seen = {k: s for k, s in self.features.items() if s.count}
+        return json.dumps({k: [list(s.values), s.count, s.mean, s.var, s.last] for k, s in seen.items()})
 
     @classmethod
     def load(cls, text: str, config: DetectionConfig) -> ServiceState:
