@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import content_sort, html_extract, line_rules, mixing, near_dup, packing, quality_rank, secret_scan, token_scan, url_filter
+from . import (
+    content_sort, fill_middle, html_extract, line_rules, merkle, mixing, near_dup, packing, quality_rank, secret_scan,
+    simhash_join, token_scan, url_filter,
+)
 from .runtime import table
 
 
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_line_rules": line_rules.op8_line_rules,
     "op9_dom_trees": html_extract.op9_dom_trees,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_pigeonhole": simhash_join.op11_pigeonhole,
+    "op12_superblock_manifest": merkle.op12_superblock_manifest,
+    "op13_distinct_text_cuts": fill_middle.op13_distinct_text_cuts,
 }
 
 ORACLES = {
@@ -29,4 +35,6 @@ ORACLES = {
     "op3_temperature_mixing": mixing.oracle(),
     "op6_content_sort": content_sort.ORACLE,
     "op8_line_rules": line_rules.ORACLE,
+    "op12_superblock_manifest": merkle.ORACLE,
+    "op13_distinct_text_cuts": fill_middle.ORACLE,
 }
