@@ -135,7 +135,7 @@ def fill_in_middle(docs: DataFrame, config: FillMiddle = FillMiddle(), id_col: s
         salts = max(r["count"] for r in hot) // config.hot_rows + 1
         salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(salts)).alias("salt")
         few = _index(rows.where(is_hot).select("digest", "text"))  # distinct before the shuffle
-        few = few.select("digest", "text", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("salt"))
+        few = few.select("digest", "text", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
         many = light.where(is_hot).select("id", "digest", salt)
         found = found.unionByName(_cut(few.join(many, ["digest", "salt"]).select("digest", "text", "id"), config))
     chars = lambda c: F.when(F.col("form") != "plain", F.col(c))
