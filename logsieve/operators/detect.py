@@ -65,17 +65,21 @@ def time_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def anomaly_events(suppressed: DataFrame) -> DataFrame:
-    """A row for each service and window with an active anomaly, its anomalies in feature order."""
-    entry = F.struct(
+def event_entry() -> Column:
+    """An anomaly in the list of its event."""
+    return F.struct(
         "ordinal", "feature", "observed", F.col("baseline.mean").alias("baseline_mean"),
         F.col("baseline.std").alias("baseline_std"), "z_score", "rate_change", "score", "severity_rank", "direction",
     )
+
+
+def anomaly_events(suppressed: DataFrame) -> DataFrame:
+    """A row for each service and window with an active anomaly, its anomalies in feature order."""
     rows = suppressed.where(~F.col("suppressed")).groupBy("service", "window_start")
     events = rows.agg(
         F.max("score").alias("score"),
         F.max("severity_rank").alias("severity_rank"),
-        F.array_sort(F.collect_list(entry)).alias("anomalies"),  # at most one for each family
+        F.array_sort(F.collect_list(event_entry())).alias("anomalies"),  # at most one for each family
     )
     return events.withColumns(
         {

@@ -93,12 +93,12 @@ def _from_counts(counted: DataFrame) -> DataFrame:
     values = {
         "error_rate": F.col("error_count") / F.col("total_events"),
         "warning_rate": F.col("warning_count") / F.col("total_events"),
-        "p95_duration_ms": _at_share(F.col("__timed"), 0.95).cast("double"),
+        "p95_duration_ms": at_share(F.col("__timed"), 0.95).cast("double"),
     }
     return df.select("service", "window_start", *(values.get(f, F.col(f)).alias(f) for f in all_features()))
 
 
-def _at_share(timed: Column, share: float) -> Column:
+def at_share(timed: Column, share: float) -> Column:
     """Value at index floor(share * n) of the n values that a sorted array of (value, count) stands for."""
     zero = F.lit(0).cast("bigint")
     index = F.floor(F.aggregate(timed, zero, lambda a, x: a + x["n"]) * share)

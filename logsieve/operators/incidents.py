@@ -20,8 +20,8 @@ def _bits(anomalies: Column, bit) -> Column:
     return F.aggregate(anomalies, F.lit(0), lambda m, a: m.bitwiseOR(bit(a)))
 
 
-def _family_bit(a: Column) -> Column:
-    name = family(a["feature"])
+def family_bit(feature: Column) -> Column:
+    name = family(feature)
     bits = F.lit(1 << (len(FAMILY_NAMES) - 1))
     for i, known in enumerate(FAMILY_NAMES[:-1]):
         bits = F.when(name == known, 1 << i).otherwise(bits)
@@ -30,7 +30,7 @@ def _family_bit(a: Column) -> Column:
 
 def family_mask(anomalies: Column) -> Column:
     """Bits of the families of an array of anomalies."""
-    return _bits(anomalies, _family_bit)
+    return _bits(anomalies, lambda a: family_bit(a["feature"]))
 
 
 def feature_mask(anomalies: Column) -> Column:

@@ -7,7 +7,6 @@ limits in proportion suit its density; the library's defaults are 300 and 600 se
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,6 @@ from .functions import normal, scoring
 from .operators import baselines, detect, explain, features, incidents, normalize, parse, stats, windows
 from .oracles import ORACLES
 from .sources import from_dataframe, spread
-from .workers import shared_folder
 
 SECONDS = 21600
 INCIDENTS = IncidentConfig(max_gap_seconds=43200, window_size_seconds=SECONDS, context_window_seconds=21600)
@@ -381,34 +379,58 @@ def documents_message_patterns(spark, sf_dir):
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("first_doc")).where("count > 1")
 
 
-def streaming_detect(spark, sf_dir):
-    """The same anomalies from a stream of feature vectors, state kept between triggers."""
-    from .streaming.detect import drain, stream_anomalies
+#: Days of a trigger's windows, and by how much a window may come behind the newest one of its trigger.
+SLICE_DAYS, DISORDER = 6, "13 days"
 
-    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
-    rows = vectors(spark, sf_dir)
-    rows.repartition(4, F.col("service")).sortWithinPartitions("window_start").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    found = drain(stream_anomalies(stream, CONFIG), path)
-    return rounded(found.where("NOT suppressed").select("service", "window_start", "feature", "score"))
 
+def _feed(rows: DataFrame, path: str) -> None:
+    """``rows`` as one file a trigger: slices of days, of which every other window comes a slice late; at last a window
+    without features, a year on, that lets the watermark pass all others."""
+    from .streaming.run import kept
 
-def streaming_incidents(spark, sf_dir):
-    """The same incidents from the streamed anomalies; a heartbeat after the last of them closes what is still open."""
-    from .streaming.detect import drain, stream_anomalies
-    from .streaming.incidents import stream_events, stream_incidents
+    rows = kept(rows)
+    day = F.unix_date(F.to_date("window_start"))
+    late = F.pmod(F.xxhash64("service", "window_start"), F.lit(2))
+    turn = F.floor(day / SLICE_DAYS) + late
+    bounds = rows.agg(F.min(turn), F.max(turn), F.max("window_start").alias("last"))
+    first, last, _ = bounds.first()
+    for i in range(first, last + 1) if first is not None else ():
+        rows.where(turn == i).coalesce(1).write.mode("append").parquet(path)
+    own = {"suppressed": F.lit(True), "service": F.lit("heartbeat"), "window_start": F.col("last") + F.make_dt_interval(days=F.lit(366))}
+    beat = bounds.select(*(own.get(c, F.lit(None).cast(t)).alias(c) for c, t in rows.dtypes))
+    beat.write.mode("append").parquet(path)
+
+
+def _streamed_anomalies(spark, sf_dir, path: str) -> DataFrame:
+    from .streaming.detect import stream_anomalies
+    from .streaming.run import drain
 
-    path = f"{shared_folder(spark)}/incidents-{uuid.uuid4().hex}"
     rows = vectors(spark, sf_dir)
-    rows.repartition(4, F.col("service")).sortWithinPartitions("window_start").write.parquet(f"{path}/in")
-    found = drain(stream_anomalies(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), CONFIG), f"{path}/anomalies")
-    found.write.parquet(f"{path}/feed")
-    stream = stream_incidents(stream_events(spark.readStream.schema(found.schema).parquet(f"{path}/feed")), INCIDENTS)
-    drain(stream, f"{path}/incidents")
-    beat = found.withColumns({"service": F.lit("heartbeat"), "window_start": F.col("window_start") + F.make_dt_interval(days=F.lit(30))})
-    beat.orderBy(F.desc("window_start")).limit(1).write.mode("append").parquet(f"{path}/feed")
-    closed = drain(stream, f"{path}/incidents")
-    return closed.select("incident_id", "service", "start_time", "end_time", "anomaly_count")
+    _feed(rows, f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return drain(stream_anomalies(stream, CONFIG, DISORDER), f"{path}/anomalies")
+
+
+def streaming_detect(spark, sf_dir):
+    """The same anomalies from a stream of feature vectors whose windows come out of order over several triggers."""
+    from .streaming.run import kept, scratch
+
+    with scratch(spark, "features") as path:
+        found = _streamed_anomalies(spark, sf_dir, path)
+        return kept(rounded(found.where("NOT suppressed").select("service", "window_start", "feature", "score")))
+
+
+def streaming_incidents(spark, sf_dir):
+    """The same incidents from the streamed anomalies, which come out of order too; the last row is a suppressed one."""
+    from .streaming.incidents import stream_incidents
+    from .streaming.run import drain, kept, scratch
+
+    with scratch(spark, "incidents") as path:
+        found = _streamed_anomalies(spark, sf_dir, path)
+        _feed(found, f"{path}/feed")
+        stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/feed")
+        closed = drain(stream_incidents(stream, INCIDENTS, DISORDER), f"{path}/closed")
+        return kept(closed.select("incident_id", "service", "start_time", "end_time", "anomaly_count"))
 
 
 QUERIES = {

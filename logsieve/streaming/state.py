@@ -5,7 +5,6 @@ The same formulas as the window expressions, one observation at a time.
 
 from __future__ import annotations
 
-import json
 import math
 from collections import deque
 
@@ -98,14 +97,14 @@ class ServiceState:
                 best.setdefault(family_of(a["feature"]), a)
         return found
 
-    def dump(self) -> str:
-        seen = {k: s for k, s in self.features.items() if s.count}
-        return json.dumps({k: [list(s.values), s.count, s.mean, s.var, s.last] for k, s in seen.items()})
+    def rows(self) -> dict[str, tuple]:
+        """(last values, count, mean, variance, last value) of each feature that has been seen."""
+        return {k: (list(s.values), s.count, s.mean, s.var, s.last) for k, s in self.features.items() if s.count}
 
     @classmethod
-    def load(cls, text: str, config: DetectionConfig) -> ServiceState:
+    def of(cls, rows: dict[str, tuple], config: DetectionConfig) -> ServiceState:
         state = cls(config)
-        for k, (values, count, mean, var, last) in json.loads(text).items():
+        for k, (values, count, mean, var, last) in rows.items():
             s = state.features[k]
             s.values.extend(values)
             s.count, s.mean, s.var, s.last = count, mean, var, last

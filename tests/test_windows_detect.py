@@ -1,4 +1,4 @@
-"""Windows, features, baselines, detection, incidents, explanations, streaming."""
+"""Windows, features, baselines, detection, incidents, explanations."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from logsieve.config import BaselineConfig, DetectionConfig, IncidentConfig
 from logsieve.operators import baselines, detect, explain, features, incidents, stats, windows
 from logsieve.schemas import CANONICAL, FAMILIES, FEATURE_VECTOR, FEATURES
-from logsieve.streaming.detect import drain, stream_anomalies, stream_features
-from logsieve.streaming.incidents import stream_incidents
 from logsieve.streaming.state import ServiceState
 
 T0 = dt.datetime(2025, 2, 7, 10, 30)
@@ -153,32 +151,10 @@ def test_plan_equals_scan(spark, strategy):
             if row[0] == service:
                 for a in state.update(dict(zip(FEATURES, row[2:], strict=True))):
                     want[service, row[1], a["feature"]] = (round(a["score"], 9), a["severity_rank"], a["direction"], a["suppressed"])
-        assert ServiceState.load(state.dump(), config).dump() == state.dump()
+        assert ServiceState.of(state.rows(), config).rows() == state.rows()
     assert got == want and len(got) > 20
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = make_vectors(spark, random_vectors())
-    for i in range(3):  # three files, three triggers: state lives between them
-        part = rows.where((F.col("window_start") >= F.lit(at(6000 * i))) & (F.col("window_start") < F.lit(at(6000 * (i + 1)))))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = drain(stream_anomalies(stream), str(tmp_path / "out"))
-    key = lambda df: sorted((r.service, r.window_start, r.feature, r.suppressed, round(r.score, 9)) for r in df.collect())
-    assert key(got) == key(detect.suppress(detect.feature_anomalies(rows)))
-
-
-def test_stream_features(spark, tmp_path):
-    logs = make_logs(spark, [(i * 30, "ERROR" if i % 5 == 0 else "INFO", "s", f"h{i % 4}", i + 1, None) for i in range(40)] + [(90_000, "INFO", "s", "h", 1, None)])
-    logs.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = stream_features(spark.readStream.schema(logs.schema).parquet(str(tmp_path / "in")), 300, "1 minute")
-    got = {(r.window_start): r for r in drain(stream, str(tmp_path / "out")).collect()}
-    want = {r.window_start: r for r in features.window_features(logs, 300).collect()}
-    assert len(got) >= 4
-    for k, r in got.items():
-        assert all(r[f] == want[k][f] for f in FEATURES)
-
-
 def make_events(spark, rows):
     """rows: (service, seconds, feature)."""
     family_rows = [(s, at(t), f, FEATURES.index(f)) for s, t, f in rows]
@@ -191,34 +167,6 @@ def starts(df):
     return sorted((r.service, r.start_time, r.anomaly_count) for r in df.collect())
 
 
-@pytest.mark.parametrize("overlap", [True, False])
-def test_streamed_incidents_equal_batch(spark, tmp_path, overlap):
-    config = IncidentConfig(require_feature_family_overlap=overlap)
-    rng = random.Random(3)
-    gaps = [rng.choice([300, 300, 600, 601, 900]) for _ in range(60)]
-    times = [sum(gaps[:i]) for i in range(60)]
-    names = ["error_rate", "max_duration_ms", "total_events"]
-    rows = [(s, t, f) for s in ("a", "b") for t in times for f in rng.sample(names, rng.choice([1, 1, 2]))]
-    events = make_events(spark, rows)
-    rng.shuffle(times)
-    timed = events.withColumn("window_start", F.col("window_start").cast("timestamp"))
-    for i in range(3):  # each trigger has events of the whole range
-        part = timed.where(F.col("window_start").isin([at(t) for t in times[i::3]]))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream = stream_incidents(source.withWatermark("window_start", "1 day"), config)
-    assert drain(stream, str(tmp_path / "out")).count() == 0  # nothing is closed yet
-    beat = timed.limit(1).withColumns({"service": F.lit("beat"), "window_start": F.lit(at(10 * 86400)).cast("timestamp")})
-    beat.write.mode("append").parquet(str(tmp_path / "in"))
-    got = drain(stream, str(tmp_path / "out"))
-    want = incidents.incident_metrics(incidents.assign_incidents(events, config), config)
-    assert sorted(got.columns) == sorted(want.columns)
-    key = lambda df: sorted(map(str, df.select(*sorted(want.columns)).collect()))
-    assert key(got) == key(want) and want.count() > (20 if overlap else 10)
-    with pytest.raises(ValueError):
-        stream_incidents(source, IncidentConfig(merge_across_services=True))
-
-
 def test_incident_gap(spark):
     ev = make_events(spark, [("s", 0, "error_rate"), ("s", 120, "error_rate"), ("s", 720, "error_rate")])
     loose = IncidentConfig(max_gap_seconds=60, require_feature_family_overlap=False)
