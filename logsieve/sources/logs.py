@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..schemas import SOURCE_META
+from .arrays import RANGE_BYTES, array_flags, list_files, read_items
 
 _BOM = "\ufeff"
 
@@ -77,39 +78,65 @@ def read_text_logs(spark: SparkSession, path: str, line_numbers: bool = False) -
     return lines.select(_bare(F.col("value")).alias("value"), meta.alias("source_meta")).where("value <> ''")
 
 
-def _array_files(spark: SparkSession, path: str) -> list[str]:
-    """Files whose first line that isn't blank begins with '['. As many names as Spark's own listing has at most."""
-    heads = _placed(_load(spark.read.text, path)).where("__block = 0").withColumn("value", F.substring(_bare(F.col("value")), 1, 1))
+def _whole_arrays(spark: SparkSession, names: DataFrame, path: str) -> DataFrame:
+    """name, idx, value of the items of files that can't be read by ranges: a file is one row."""
+    whole = spark.read.text(path, wholetext=True).withColumn("name", F.col("_metadata.file_path"))
+    whole = whole.join(names, "name", "left_semi").select("name", _bare(F.col("value")).alias("value")).where("value <> ''")
+    items = F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})
+    checked = F.when(items.isNull(), F.raise_error(F.lit("invalid JSON array"))).otherwise(items)
+    rows = whole.select("name", F.posexplode(checked).alias("idx", "value"))
+    return rows.select("name", F.col("idx").cast("bigint").alias("idx"), "value")
+
+
+def _array_items(spark: SparkSession, files: DataFrame, path: str, range_bytes: int) -> DataFrame:
+    """name, idx and value of the items of array files, with an error for an item that is no JSON."""
+    by_ranges = read_items(files.where("ranged"), range_bytes)
+    rows = by_ranges
+    if files.where("NOT ranged").take(1):
+        rows = rows.unionByName(_whole_arrays(spark, files.where("NOT ranged").select("name"), path))
+    valid = F.size(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")) == 1  # in brackets nothing may follow it
+    broken = F.raise_error(F.concat(F.lit("invalid JSON array: item "), F.col("idx").cast("string"), F.lit(" of "), F.col("name")))
+    return rows.withColumn("value", F.when(valid, F.col("value")).otherwise(broken))
+
+
+def _shapes(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    """name, path, length, ranged and is_array of each file. What tasks can't open is judged by its first line that isn't blank."""
+    files = _load(lambda p: list_files(spark, p), path)
+    if shape != "auto":
+        return files.withColumn("is_array", F.lit(shape == "array"))
+    flags = array_flags(files.where("ranged")).withColumn("ranged", F.lit(True))
+    if not files.where("NOT ranged").take(1):
+        return flags
+    heads = _placed(spark.read.text(path)).where("__block = 0").withColumn("value", F.substring(_bare(F.col("value")), 1, 1))
     heads = heads.where("value <> ''").groupBy("__file").agg(F.min_by("value", "__id").alias("head"))
-    return [r["__file"] for r in heads.where("head = '['").collect()]
+    rest = files.where("NOT ranged").join(heads, F.col("name") == F.col("__file"), "left")
+    return flags.unionByName(rest.select("name", "path", "length", (F.col("head") == "[").alias("is_array"), "ranged"))
 
 
 def read_json_logs(
-    spark: SparkSession, path: str, line_numbers: bool = False, shape: str = "auto", keep_malformed: bool = False
-) -> DataFrame:
+    spark: SparkSession, path: str, line_numbers: bool = False, shape: str = "auto", keep_malformed: bool = False,
+    range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
     """fields, source_meta. Each file that begins with '[' is one array (an invalid one is fatal), others are lines.
 
-    ``shape`` "lines" or "array" says so for all files, which saves the look at their beginnings. Lines that aren't objects are
-    left out, or with ``keep_malformed`` stay with null fields, which the parser rejects and counts.
+    ``shape`` "lines" or "array" says so for all files, which saves the look at their beginnings. Arrays are read by ranges
+    of ``range_bytes``, whatever their size. Lines that aren't objects are left out, or with ``keep_malformed`` stay with null
+    fields, which the parser rejects and counts.
     """
     if shape not in ("auto", "lines", "array"):
         raise LogIngestionError(f"unknown JSON shape: {shape}")
-    arrays = _array_files(spark, path) if shape == "auto" else []
-    parts = []
-    if arrays or shape == "array":
-        whole = _load(lambda p: spark.read.text(p, wholetext=True), arrays or path)
-        whole = whole.select(_bare(F.col("value")).alias("value"), _meta("json_array", F.col("_metadata.file_path")).alias("m"))
-        items = F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})
-        checked = F.when(items.isNull(), F.raise_error(F.lit("invalid JSON array"))).otherwise(items)
-        rows = whole.where("value <> ''").select("m", F.posexplode(checked).alias("idx", "value"))
-        meta = F.struct("m.source", "m.line_number", F.col("idx").cast("bigint").alias("idx"), "m.format").cast(SOURCE_META)
-        parts.append(rows.select(strip(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(False).alias("line")))
-    if shape != "array":
-        rows, number = _lines(spark, path, line_numbers)
-        if arrays:
-            rows = rows.where(~F.col("__file").isin(arrays))
-        meta = _meta("ndjson", F.col("__file"), line=number)
-        parts.append(rows.select(_bare(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(True).alias("line")))
+    lines, number = _lines(spark, path, line_numbers)
+    meta = _meta("ndjson", F.col("__file"), line=number)
+    arrays = None if shape == "lines" else _shapes(spark, path, shape).where("is_array")
+    mixed = shape == "auto" and bool(arrays.take(1))
+    if mixed:
+        lines = lines.join(arrays.select(F.col("name").alias("__file")), "__file", "left_anti")
+    lines = lines.select(_bare(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(True).alias("line"))
+    parts = [lines] if shape != "array" else []
+    if mixed or shape == "array":
+        items = _array_items(spark, arrays, path, range_bytes)
+        meta = _meta("json_array", F.col("name"), idx=F.col("idx"))
+        parts.append(items.select(strip(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(False).alias("line")))
     rows = functools.reduce(DataFrame.unionByName, parts).where("value <> ''")
     fields = F.when(F.col("value").startswith("{"), F.from_json("value", "map<string,string>"))
     rows = rows.select(fields.alias("fields"), "source_meta", "line")
