@@ -242,6 +242,10 @@ ORACLES = {name: WITH + sql for name, sql in CHAINED.items()} | {
     "parse_json_alias": f"WITH {JSON} SELECT * FROM picked",
     "parse_csv_alias": f"""SELECT event_id, {LEVEL} AS level, 'svc-' || (user_id % 5) AS service, CASE WHEN event_id % 3 = 0 THEN props ELSE event_type END AS message,
         CASE WHEN event_id % 2 = 1 THEN CAST(floor(value) AS BIGINT) END AS duration_ms FROM events WHERE event_id % 8 <> 0""",
+    "json_array_items": """SELECT event_id // 500 AS batch, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS idx, event_id,
+        event_type AS message, props AS context FROM events""",
+    "logfmt_source_logs": f"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, {LEVEL} AS level, 'svc-' || (user_id % 5) AS service,
+        props AS message FROM events""",
     "normalize_timestamp": """SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 2, 4) THEN date_trunc('second', ts) WHEN event_id % 8 = 3 THEN ts
         WHEN event_id % 8 = 5 THEN make_timestamp(epoch_us(ts) // 1000 * 1000) END AS timestamp FROM events""",
     "normalize_level": _levels(),

@@ -15,7 +15,7 @@ from .config import BaselineConfig, DetectionConfig, IncidentConfig
 from .functions import normal, scoring
 from .operators import baselines, detect, explain, features, incidents, normalize, parse, stats, windows
 from .oracles import ORACLES
-from .sources import from_dataframe, spread
+from .sources import LogfmtSource, from_dataframe, read_json_logs, read_logs, register_source, spread
 
 SECONDS = 21600
 INCIDENTS = IncidentConfig(max_gap_seconds=43200, window_size_seconds=SECONDS, context_window_seconds=21600)
@@ -142,6 +142,39 @@ def csv_fields(spark, sf_dir) -> DataFrame:
     return rows.select(fields.alias("fields"), F.struct("event_id").alias("source_meta"))
 
 
+def json_array_items(spark, sf_dir):
+    """Events in files that are JSON arrays of 500 objects, read by ranges that cut every file."""
+    from .streaming.run import kept, scratch
+
+    fields = F.struct("event_id", F.col("ts").cast("string").alias("time"), F.col("event_type").alias("msg"), F.col("props").alias("context"))
+    rows = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("batch"))
+    rows = rows.agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("value"))  # 500 events a group
+    with scratch(spark, "arrays") as path:
+        rows.write.partitionBy("batch").text(path)
+        items = read_json_logs(spark, path, shape="array", range_bytes=16384)
+        number = F.regexp_extract("source_meta.source", "batch=([0-9]+)", 1).cast("bigint")
+        return kept(items.select(number.alias("batch"), "source_meta.idx", F.col("fields")["event_id"].cast("bigint").alias("event_id"),
+                                 F.col("fields")["msg"].alias("message"), F.col("fields")["context"].alias("context")))
+
+
+def logfmt_source_logs(spark, sf_dir):
+    """Events as logfmt lines, read back through a registered source."""
+    from .streaming.run import kept, scratch
+
+    quoted = F.concat(F.lit('"'), F.regexp_replace("props", r'(["\\])', r"\\$1"), F.lit('"'))
+    line = F.concat_ws(
+        " ", F.concat(F.lit("ts="), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.concat(F.lit("level="), F.expr(LEVEL)),
+        F.concat(F.lit("app=svc-"), F.col("user_id") % 5), F.concat(F.lit("msg="), quoted), F.concat(F.lit("id="), "event_id"),
+    )
+    with scratch(spark, "logfmt") as path:
+        table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+        register_source(spark, LogfmtSource)
+        raw = read_logs(spark, path, "logfmt", rangeBytes=65536)
+        named = raw.select("fields", F.struct(F.col("fields")["id"].cast("bigint").alias("event_id")).alias("source_meta"))
+        rows = parse.accepted(parse.parse_json(named))
+        return kept(rows.select("source_meta.event_id", "timestamp", "level", "service", "message"))
+
+
 # --- normal forms ----------------------------------------------------------------------------------------------------
 
 
@@ -438,6 +471,8 @@ QUERIES = {
     "parse_json_alias": lambda s, d: _parsed(parse.parse_json(json_fields(s, d))),
     "parse_csv_alias": lambda s, d: _parsed(parse.parse_csv(csv_fields(s, d))),
     "parse_reject_counts": parse_reject_counts,
+    "json_array_items": json_array_items,
+    "logfmt_source_logs": logfmt_source_logs,
     "normalize_timestamp": normalize_timestamp,
     "normalize_level": normalize_level,
     "normalize_service": normalize_service,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..schemas import SOURCE_META
 from .arrays import RANGE_BYTES, array_flags, list_files, read_items
+from .custom import FORMATS
 
 _BOM = "\ufeff"
 
@@ -165,18 +166,36 @@ def detect_format(path: str) -> str:
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str = "auto", **options) -> DataFrame:
+    """Raw rows of a file or folder. Formats beyond text, json and csv are those of ``register_source``; their options go to the source."""
     readers = {"text": read_text_logs, "json": read_json_logs, "csv": read_csv_logs}
     fmt = detect_format(path) if fmt == "auto" else fmt
-    if fmt not in readers:
+    if fmt in readers:
+        return readers[fmt](spark, path, **options)
+    if fmt not in FORMATS:
         raise LogIngestionError(f"unknown log format: {fmt}")
-    return readers[fmt](spark, path, **options)
+    try:
+        rows = spark.read.format(fmt).options(**options).load(path)
+        rows.rdd.getNumPartitions()  # the source lists its files when Spark plans the scan
+    except Exception as error:
+        if "log source not found" in str(error):
+            raise LogIngestionError(f"log source not found: {path}") from error
+        raise
+    return rows
+
+
+#: Input of at most so many bytes is spread.
+SPREAD_BYTES = 256 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt evenly over the cores if it has fewer partitions than there are cores.
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """``df`` dealt evenly over the cores, if it is small by Spark's estimate and has fewer partitions than there are cores.
 
-    A small file is one partition, whatever its rows cost later; large inputs have partitions enough and stay as they are.
+    A small file is one partition, whatever its rows cost later. Beyond ``most`` bytes nothing is shuffled: the scan's own
+    partitions (``spark.sql.files.maxPartitionBytes``) decide, however many cores there are.
     """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > most:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
