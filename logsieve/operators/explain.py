@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json
+from ..functions.scoring import severity_name
 from ..schemas import EXPLANATION
 
 # What a feature's anomaly may be caused by.
@@ -99,54 +101,41 @@ def with_allowed(incidents: DataFrame) -> DataFrame:
     return df.withColumn("allowed_evidence", evidence).drop("__features")
 
 
-def _json_list(c: Column) -> Column:
-    return F.to_json(c)
+def incident_payload() -> Column:
+    """The whole incident as a struct: every field of its events and anomalies but the time of detection, which isn't a fact of the logs."""
+    anomaly = lambda a: F.struct(
+        *(a[n].alias(n) for n in ("baseline_mean", "baseline_std", "direction", "feature", "observed", "rate_change", "score", "z_score")),
+        severity_name(a["severity_rank"]).alias("severity"),
+        F.lit(False).alias("suppressed"),  # events hold no others
+        F.lit(None).cast("string").alias("suppression_reason"),
+    )
+    event = lambda e: F.struct(
+        F.transform(e["anomalies"], anomaly).alias("anomalies"),
+        F.col("service").alias("service"),
+        *(e[n].alias(n) for n in ("event_id", "score", "severity", "window_start")),
+    )
+    operation = lambda o: F.struct(*(o[n].alias(n) for n in ("description", "event_type", "metadata", "timestamp")))
+    return F.struct(
+        F.transform("events", event).alias("anomalies"),
+        "end_time", "incident_id", "log_patterns",
+        F.struct("anomaly_count", "feature_count", "max_score", "severity_counts").alias("metrics_summary"),
+        F.transform("operational_context", operation).alias("operational_context"),
+        "service", "start_time",
+    )
 
 
 def with_prompt(allowed: DataFrame) -> DataFrame:
-    """Adds prompt: instructions, the incident as JSON with sorted keys, and the allowed lists."""
-    payload = F.to_json(
-        F.struct(
-            F.transform(
-                "events",
-                lambda e: F.struct(
-                    F.transform(
-                        e["anomalies"],
-                        lambda a: F.struct(
-                            *(a[n].alias(n) for n in ("baseline_mean", "baseline_std", "direction", "feature", "observed", "rate_change", "score", "z_score"))
-                        ),
-                    ).alias("anomalies"),
-                    e["event_id"].alias("event_id"),
-                    e["score"].alias("score"),
-                    e["severity"].alias("severity"),
-                    iso(e["window_start"]).alias("window_start"),
-                ),
-            ).alias("anomalies"),
-            iso(F.col("end_time")).alias("end_time"),
-            "incident_id",
-            "log_patterns",
-            F.struct("anomaly_count", "feature_count", "max_score", "severity_counts").alias("metrics_summary"),
-            F.transform(
-                "operational_context",
-                lambda o: F.struct(
-                    o["description"].alias("description"),
-                    o["event_type"].alias("event_type"),
-                    F.map_from_entries(F.array_sort(F.map_entries(o["metadata"]))).alias("metadata"),
-                    iso(o["timestamp"]).alias("timestamp"),
-                ),
-            ).alias("operational_context"),
-            "service",
-            iso(F.col("start_time")).alias("start_time"),
-        )
-    )
+    """Adds prompt: instructions, the incident as canonical JSON, and the allowed lists."""
+    df = allowed.withColumn("__incident", incident_payload())
+    text = lambda name: canonical_json(F.col(name), df.schema[name].dataType)
     prompt = F.concat(
-        F.lit(PROMPT_HEAD + INSTRUCTIONS + "\nINCIDENT: "), payload,
-        F.lit("\nALLOWED_CAUSES: "), _json_list(F.col("allowed_causes")),
-        F.lit("\nALLOWED_EVIDENCE: "), _json_list(F.col("allowed_evidence")),
-        F.lit("\nALLOWED_STEPS: "), _json_list(F.col("allowed_steps")),
+        F.lit(PROMPT_HEAD + INSTRUCTIONS + "\nINCIDENT: "), text("__incident"),
+        F.lit("\nALLOWED_CAUSES: "), text("allowed_causes"),
+        F.lit("\nALLOWED_EVIDENCE: "), text("allowed_evidence"),
+        F.lit("\nALLOWED_STEPS: "), text("allowed_steps"),
         F.lit("\nRETURN_JSON_ONLY:"),
     )
-    return allowed.withColumn("prompt", prompt)
+    return df.withColumn("prompt", prompt).drop("__incident")
 
 
 def fallback() -> Column:
@@ -225,8 +214,7 @@ def explanation_rows(explained: DataFrame) -> DataFrame:
 
 
 def training_pairs(incidents: DataFrame, explanations: DataFrame) -> DataFrame:
-    """incident_id, prompt and completion (JSON with sorted keys), to tune a model."""
+    """incident_id, prompt and completion (canonical JSON), to tune a model."""
     prompted = with_prompt(with_allowed(incidents)).select("incident_id", "prompt")
-    keys = sorted(("incident_id", "summary", "probable_causes", "supporting_evidence", "confidence_score", "recommended_next_steps", "limitations"))
-    completion = F.to_json(F.struct(*(F.col(f"explanation.{k}").alias(k) for k in keys)))
+    completion = canonical_json(F.col("explanation"), explanations.schema["explanation"].dataType)
     return prompted.join(explanations.select("incident_id", completion.alias("completion")), "incident_id")

@@ -153,6 +153,85 @@ ev AS (SELECT incident_id, unnest(list_concat(['service=' || service, 'start_tim
     CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN '' ELSE strftime(timestamp, '.%f') END || '+00:00' FROM context),
 evidence AS (SELECT incident_id, list_sort(list_distinct(list(e))) AS allowed_evidence FROM ev GROUP BY incident_id)"""
 
+# Fixed value: the head of every prompt.
+PROMPT_HEAD = (
+    "You are a reliability assistant. Use ONLY the incident data and allowed lists.\n"
+    'INSTRUCTIONS: {"constraints": ["Return a single JSON object only.", "Do NOT include any text outside JSON.", '
+    '"Use only allowed values for probable_causes, supporting_evidence, and recommended_next_steps.", '
+    '"Do NOT invent facts beyond the incident data.", "If uncertain, state limitations clearly."], '
+    '"schema": {"confidence_score": "float in [0,1]", "incident_id": "string", "limitations": "string", '
+    '"probable_causes": "list[string]", "recommended_next_steps": "list[string]", "summary": "string", '
+    '"supporting_evidence": "list[string]"}, "task": "Explain the incident using only provided facts."}\n'
+    "INCIDENT: "
+)
+
+
+def _text(c: str) -> str:
+    """JSON text of a string of printable ASCII."""
+    return f"""'"' || replace(replace({c}, '\\', '\\\\'), '"', '\\"') || '"'"""
+
+
+def _number(c: str, cap: bool = False) -> str:
+    value = f"greatest(least({c}, 1000.0), -1000.0)" if cap else c
+    return f"coalesce(round({value}, 6)::DOUBLE::VARCHAR, 'null')"
+
+
+def _time(c: str) -> str:
+    fraction = f"CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END"
+    return f"""'"' || strftime({c}, '%Y-%m-%d %H:%M:%S') || {fraction} || '+00:00"'"""
+
+
+def _object(**fields: str) -> str:
+    return "'{' || " + " || ', ' || ".join(f"""'"{k}": ' || {v}""" for k, v in sorted(fields.items())) + " || '}'"
+
+
+def _list(items: str) -> str:
+    return f"'[' || coalesce({items}, '') || ']'"
+
+
+def _strings(c: str) -> str:
+    return f"'[' || array_to_string(list_transform({c}, lambda x: {_text('x')}), ', ') || ']'"
+
+
+_ANOMALY = _object(
+    baseline_mean=_number("mean"), baseline_std=_number("std"), direction=_text("direction"), feature=_text("feature"), observed=_number("observed"),
+    rate_change=_number("rate_change", True), score=_number("score"), severity=_text(NAME("severity_rank")), suppressed="'false'",
+    suppression_reason="'null'", z_score=_number("z_score", True),
+)
+_EVENT = _object(
+    anomalies="text", event_id=_text("event_id"), score=_number("score"), service=_text("service"), severity=_text(NAME("severity_rank")),
+    window_start=_time("window_start"),
+)
+_PATTERN = _object(count="count::VARCHAR", key=_text("key"), sample_message=_text("sample_message"))
+_OPERATION = _object(description=_text("description"), event_type=_text("event_type"), metadata="'{}'", timestamp=_time("timestamp"))
+_COUNT = ", ".join(f"""CASE WHEN n_{s} > 0 THEN '"{s}": ' || n_{s} END""" for s in sorted(SEVERITIES[1:]))
+_METRICS = _object(
+    anomaly_count="anomaly_count::VARCHAR", feature_count="feature_count::VARCHAR", max_score=_number("max_score"),
+    severity_counts=f"'{{' || array_to_string(list_filter([{_COUNT}], lambda x: x IS NOT NULL), ', ') || '}}'",
+)
+_INCIDENT = _object(
+    anomalies="anomalies", end_time=_time("end_time"), incident_id=_text("i.incident_id"), log_patterns="coalesce(log_patterns, '[]')",
+    metrics_summary=_METRICS, operational_context="coalesce(operational_context, '[]')", service=_text("service"), start_time=_time("start_time"),
+)
+_COMPLETION = _object(
+    confidence_score=f"'{FALLBACK_CONFIDENCE}'", incident_id=_text("incident_id"), limitations=_text(f"'{FALLBACK_LIMITS}'"),
+    probable_causes="""'["unknown"]'""", recommended_next_steps=_strings(f"['{ALWAYS_STEP}']"), summary=_text(f"'{FALLBACK_SUMMARY}'"),
+    supporting_evidence=_strings("allowed_evidence[1:3]"),
+)
+_BREAK = "' || chr(10) || '"
+PROMPTS = f"""
+, anomaly_texts AS (SELECT service, window_start, {_list(f"string_agg({_ANOMALY}, ', ' ORDER BY ordinal)")} AS text FROM active GROUP BY ALL),
+event_texts AS (SELECT f.service, f.window_start, {_EVENT} AS text FROM found f JOIN anomaly_texts USING (service, window_start)),
+event_lists AS (SELECT incident_id, {_list("string_agg(text, ', ' ORDER BY window_start)")} AS anomalies
+    FROM incidents i JOIN event_texts e ON e.service = i.service AND list_contains(i.starts, e.window_start) GROUP BY incident_id),
+pattern_lists AS (SELECT incident_id, {_list(f"string_agg({_PATTERN}, ', ' ORDER BY place)")} AS log_patterns FROM top_patterns GROUP BY incident_id),
+context_lists AS (SELECT incident_id, {_list(f"string_agg({_OPERATION}, ', ' ORDER BY place)")} AS operational_context FROM context GROUP BY incident_id),
+prompts AS (SELECT i.incident_id, '{PROMPT_HEAD}' || {_INCIDENT} || '{_BREAK}ALLOWED_CAUSES: ' || {_strings("allowed_causes")}
+    || '{_BREAK}ALLOWED_EVIDENCE: ' || {_strings("allowed_evidence")} || '{_BREAK}ALLOWED_STEPS: ' || {_strings("allowed_steps")}
+    || '{_BREAK}RETURN_JSON_ONLY:' AS prompt, allowed_evidence
+    FROM steps i JOIN evidence e ON e.incident_id = i.incident_id JOIN event_lists l ON l.incident_id = i.incident_id
+    LEFT JOIN pattern_lists p ON p.incident_id = i.incident_id LEFT JOIN context_lists c ON c.incident_id = i.incident_id)"""
+
 TEXT = f"""
 lines AS (SELECT event_id, trim((CASE WHEN event_id % 17 = 0 THEN 'no time' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END) || ' ' ||
     (CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 5 = 0 THEN lower({LEVEL}) ELSE {LEVEL} END) || ' svc-' || (user_id % 5) ||
@@ -236,6 +315,8 @@ CHAINED = {
 }
 
 ORACLES = {name: WITH + sql for name, sql in CHAINED.items()} | {
+    "prompts": f"{WITH}{PROMPTS} SELECT incident_id, prompt FROM prompts",
+    "training_pairs": f"{WITH}{PROMPTS} SELECT incident_id, prompt, {_COMPLETION} AS completion FROM prompts",
     "parse_text_roundtrip": f"""WITH {TEXT} SELECT event_id, t AS timestamp, l AS level, s AS service, m AS message,
         TRY_CAST(nullif(regexp_extract(m, '{DURATION_PATTERN}', 1), '') AS BIGINT) AS duration_ms FROM parsed WHERE reason IS NULL""",
     "parse_reject_counts": f"WITH {TEXT} SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM parsed GROUP BY 1",

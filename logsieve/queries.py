@@ -389,8 +389,23 @@ def fallback_explanations(spark, sf_dir):
     )
 
 
+def _even_incidents(spark, sf_dir) -> DataFrame:
+    """Incidents whose doubles have six decimals, scores of a floored deviation no more than 1000: engines add in other orders."""
+    even = lambda c: F.round(c, 6)
+    capped = lambda c: F.greatest(F.least(c, F.lit(1000.0)), F.lit(-1000.0))
+
+    def anomaly(a):
+        for name in ("observed", "baseline_mean", "baseline_std", "score"):
+            a = a.withField(name, even(a[name]))
+        return a.withField("z_score", even(capped(a["z_score"]))).withField("rate_change", even(capped(a["rate_change"])))
+
+    event = lambda e: e.withField("score", even(e["score"])).withField("anomalies", F.transform(e["anomalies"], anomaly))
+    rows = full_incidents(spark, sf_dir)
+    return rows.withColumns({"events": F.transform("events", event), "max_score": even("max_score")})
+
+
 def prompts(spark, sf_dir):
-    return explain.with_prompt(explain.with_allowed(full_incidents(spark, sf_dir))).select("incident_id", "prompt")
+    return explain.with_prompt(explain.with_allowed(_even_incidents(spark, sf_dir))).select("incident_id", "prompt")
 
 
 def explanation_rows(spark, sf_dir):
@@ -402,7 +417,7 @@ def explanation_rows(spark, sf_dir):
 
 
 def training_pairs(spark, sf_dir):
-    found = full_incidents(spark, sf_dir)
+    found = _even_incidents(spark, sf_dir)
     return explain.training_pairs(found, explain.explain(found))
 
 

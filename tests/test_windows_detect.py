@@ -256,4 +256,4 @@ def test_explanations(spark):
     assert json.loads(pair.completion)["incident_id"] == row.incident_id
     noted = incidents.build_incidents(ev, None, ops.withColumn("metadata", F.create_map(F.lit("sha"), F.lit("9f"), F.lit("by"), F.lit("ci"))))
     prompt = explain.with_prompt(explain.with_allowed(noted)).first().prompt
-    assert '"event_type":"Deploy","metadata":{"by":"ci","sha":"9f"},"timestamp"' in prompt
+    assert '"event_type": "Deploy", "metadata": {"by": "ci", "sha": "9f"}, "timestamp": "2025-02-07 10:40:30+00:00"' in prompt
