@@ -21,6 +21,7 @@ are not read. Strings of special tokens in a text are those tokens, as the token
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,37 +61,62 @@ class _Pieces:
 
 
 def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each length; longer pieces are placed first."""
+    """(sequence, offset) of each length; longer pieces are placed first.
+
+    Pieces of one length are placed together: the open sequences are scored once for each distinct length, of which there are no
+    more than a sequence has tokens, and a heap has those that took a piece and can take another. Time is in proportion to the pieces.
+    """
     if cap.documents < 1 or (len(lengths) and (lengths.max() > cap.tokens or int(lengths.max()) ** 2 > cap.cost)):
         raise ValueError("a piece exceeds the capacity of an empty sequence")
-    limits = np.array([cap.tokens, cap.documents, cap.cost], float)
-    weights = np.array(cap.weights) / limits**2
+    limits = (cap.tokens, cap.documents, cap.cost)
+    weights = [w / limit**2 for w, limit in zip(cap.weights, limits, strict=True)]
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     smallest = int(lengths.min()) if len(lengths) else 0
-    residual = np.empty((3, 1024))
-    number = np.empty(1024, np.int64)
-    n_open = total = 0
-    for i in order:
-        size = int(lengths[i])
-        demand = np.array([size, 1, size * size], float)
-        left = residual[:, :n_open] - demand[:, None]
-        score = weights @ (left * left) if cap.choose == "norm" else -(weights @ (residual[:, :n_open] * demand[:, None]))
-        score[(left < 0).any(axis=0)] = np.inf
-        k = int(score.argmin()) if n_open else 0
-        if n_open and score[k] < np.inf:
-            left_k = left[:, k]
-        else:
-            if n_open == residual.shape[1]:
-                residual = np.concatenate([residual, np.empty_like(residual)], axis=1)
-                number = np.concatenate([number, np.empty_like(number)])
-            k, number[n_open], n_open, total = n_open, total, n_open + 1, total + 1
-            left_k = limits - demand
-        where[i], offset[i] = number[k], cap.tokens - int(left_k[0]) - size
-        residual[:, k] = left_k
-        if left_k[0] < smallest or left_k[1] < 1 or left_k[2] < smallest * smallest:  # full: close it
-            n_open -= 1
-            residual[:, k], number[k] = residual[:, n_open], number[n_open]
+    residual, number = np.empty((3, 0)), np.empty(0, np.int64)  # of open sequences
+    total = 0
+    for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else ():
+        size = int(lengths[group[0]])
+        demand = (size, 1, size * size)
+
+        def score(has):
+            if cap.choose == "norm":
+                return sum(w * (r - d) ** 2 for w, r, d in zip(weights, has, demand, strict=True))  # noqa: B023
+            return -sum(w * r * d for w, r, d in zip(weights, has, demand, strict=True))  # noqa: B023
+
+        fits = np.flatnonzero(residual[0] >= size)
+        fits = fits[(residual[1, fits] >= 1) & (residual[2, fits] >= size * size)]
+        scores = score(residual[:, fits])
+        if len(fits) > len(group):  # no more than one each can be needed
+            best = scores <= np.partition(scores, len(group) - 1)[len(group) - 1]
+            fits, scores = fits[best], scores[best]
+        ranked = np.lexsort((number[fits], scores))[: len(group)]
+        queue = list(zip(scores[ranked].tolist(), number[fits[ranked]].tolist(), fits[ranked].tolist(), strict=True))
+        left = {slot: tuple(residual[:, slot].tolist()) for _, _, slot in queue}
+        again: list[tuple] = []
+        at, opened = 0, residual.shape[1]
+        for i in group.tolist():
+            if at < len(queue) and (not again or queue[at] <= again[0]):
+                _, name, slot = queue[at]
+                at += 1
+            elif again:
+                _, name, slot = heapq.heappop(again)
+            else:
+                name, slot, total, opened = total, opened, total + 1, opened + 1
+                left[slot] = limits
+            has = left[slot]
+            where[i], offset[i] = name, cap.tokens - has[0]
+            left[slot] = has = tuple(r - d for r, d in zip(has, demand, strict=True))
+            if all(r >= d for r, d in zip(has, demand, strict=True)):
+                heapq.heappush(again, (score(has), name, slot))
+        more = opened - residual.shape[1]
+        residual = np.concatenate([residual, np.empty((3, more))], axis=1)
+        number = np.concatenate([number, np.arange(total - more, total)])
+        slots = np.fromiter(left, np.int64, len(left))
+        residual[:, slots] = np.array([*left.values()], float).reshape(-1, 3).T
+        # Full sequences are closed.
+        kept = (residual >= np.array([smallest, 1, smallest * smallest])[:, None]).all(axis=0)
+        residual, number = residual[:, kept], number[kept]
     return where, offset
 
 

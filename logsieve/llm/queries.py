@@ -31,7 +31,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_url_filter": url_filter.oracle(),
+    "op2_url_filter": url_filter.ORACLE,
     "op3_temperature_mixing": mixing.oracle(),
     "op6_content_sort": content_sort.ORACLE,
     "op8_line_rules": line_rules.ORACLE,

@@ -25,6 +25,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ..workers import importable
 from .runtime import durable, table
@@ -42,8 +43,14 @@ _LIGHT = (
 )
 
 
+def id_type(tokenizer: str | None = None, end_id: int = END_ID) -> str:
+    """The narrowest kind of id that holds a tokenizer's vocabulary and the separator: two bytes, or four."""
+    size = Tokenizer.from_file(tokenizer or tokenizer_path()).get_vocab_size()
+    return "<u2" if max(size - 1, end_id) < 1 << 16 else "<u4"
+
+
 def read_token_files(
-    spark: SparkSession, path: str, block_bytes: int = 1 << 20, range_bytes: int = 16 << 20
+    spark: SparkSession, path: str, block_bytes: int = 1 << 20, range_bytes: int = 16 << 20, dtype: str = "<u2"
 ) -> DataFrame:
     """(shard, block, data) of flat files of any size.
 
@@ -51,7 +58,7 @@ def read_token_files(
     they lie, through the file system that Arrow knows for the path's scheme, one block at a time. A task that is run
     again reads its ranges again. A file that became shorter, or has half an id at its end, fails.
     """
-    if block_bytes < 1 or block_bytes % 2:  # wider ids that a block would cut fail in the scan
+    if block_bytes < 1 or block_bytes % np.dtype(dtype).itemsize:
         raise ValueError("blocks must hold whole token ids")
     importable(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
@@ -188,17 +195,22 @@ def token_shards(
     tokenizer: str | None = None,
     end_id: int = END_ID,
     block_tokens: int = BLOCK_TOKENS,
+    dtype: str | None = None,
 ) -> DataFrame:
     """Flat token shards of documents: rows (shard, block, data), and rows (shard, ordinal, doc_id)
-    that name the documents in their order. One shard for each partition of ``docs``."""
+    that name the documents in their order. One shard for each partition of ``docs``.
+
+    Ids are as wide as the vocabulary asks (``id_type``) unless ``dtype`` says so; one that doesn't fit fails.
+    """
     importable(docs.sparkSession)
     path = tokenizer or tokenizer_path()
+    dtype = dtype or id_type(path, end_id)
     names = ["shard", "block", "data", "ordinal", "doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, ordinary=True).encode  # the separator must not occur in a text
         shard, block, seen, kept = f"shard-{TaskContext.get().partitionId():05d}", 0, 0, b""
-        size = 2 * block_tokens
+        size, most = np.dtype(dtype).itemsize * block_tokens, np.iinfo(dtype).max
 
         def blocks_row(data: bytes, number: int) -> pa.RecordBatch:
             none = pa.nulls(1, pa.int64())
@@ -222,14 +234,17 @@ def token_shards(
             for texts in text_blocks(batch.column(1).fill_null("")):
                 ids, bounds = encode(texts)
                 bounds = bounds + np.arange(len(bounds))
-                out = np.full(bounds[-1], end_id, "<u2")
+                if len(ids) and int(ids.max()) > most or end_id > most:
+                    raise ValueError(f"an id exceeds {most}, the most that {dtype} holds")
+                out = np.full(bounds[-1], end_id, dtype)
                 keep = np.ones(bounds[-1], bool)
                 keep[bounds[1:] - 1] = False
                 out[keep] = ids
-                kept += out.tobytes()
-                while len(kept) >= size:
-                    yield blocks_row(kept[:size], block)
-                    kept, block = kept[size:], block + 1
+                data, at = memoryview(kept + out.tobytes()), 0
+                while len(data) - at >= size:
+                    yield blocks_row(bytes(data[at : at + size]), block)
+                    at, block = at + size, block + 1
+                kept = bytes(data[at:])
         if kept:
             yield blocks_row(kept, block)
 
@@ -239,7 +254,8 @@ def token_shards(
 
 def op5_separator_scan(spark, sf_dir):
     """Token counts of all documents, read back from the flat shards that hold them."""
-    light = durable(scan_blocks(token_shards(table(spark, sf_dir, "documents"))))
+    dtype = id_type()
+    light = durable(scan_blocks(token_shards(table(spark, sf_dir, "documents"), dtype=dtype), dtype))
     counts = stitch(light.where("block is not null").select("shard", "block", "total", "ends", "last_end", "lengths"))
     named = light.where("block is null").select("shard", "ordinal", "doc_id")
     return named.join(counts, ["shard", "ordinal"]).select("doc_id", "n_tokens")
