@@ -203,6 +203,8 @@ def test_quality_loss_and_cut():
         ("https://free.io/bets", None, "block"), ("https://free.io/free", None, "allow"), (None, None, "allow"), ("no scheme/casino", None, "block"),
         ("http://a.com/?q=casino", None, "block"), ("https://example.org/search?q=porn+and#x", None, "block"), ("http://a.com/#Viagra", None, "block"),
         ("http://a.com/?q=occasinos", None, "allow"), ("http://a.com/free?to=bets", None, "block"), ("CASINO.example/x", None, "block"), ("", None, "allow"),
+        ("https://a.io/click/track", None, "allow"), ("https://a.io/link?x", None, "allow"), ("https://a.io/click/track?link", None, "block"),
+        ("https://a.io/click/bonus", None, "allow"), ("https://a.io/click/poker", None, "block"), ("https://a.io/bonus/prize", None, "block"),
     ],
 )
 def test_urls(spark, url, rule, verdict):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +97,93 @@ def test_best_fit_is_tight():
     assert where.max() + 1 <= -(-lengths.sum() // 1024) * 1.02
 
 
+def plain_best_fit(lengths, cap):
+    """Sequence of each length: every open sequence is scored for every piece."""
+    limits = (cap.tokens, cap.documents, cap.cost)
+    weights = [w / x**2 for w, x in zip(cap.weights, limits, strict=True)]
+    opened, where = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        demand = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for k, has in enumerate(opened):
+            if all(r >= d for r, d in zip(has, demand, strict=True)):
+                if cap.choose == "norm":
+                    score = sum(w * (r - d) ** 2 for w, r, d in zip(weights, has, demand, strict=True))
+                else:
+                    score = -sum(w * r * d for w, r, d in zip(weights, has, demand, strict=True))
+                best = min(best, (score, k)) if best else (score, k)
+        if best is None:
+            opened.append(limits)
+            best = (0, len(opened) - 1)
+        where[i] = best[1]
+        opened[best[1]] = tuple(r - d for r, d in zip(opened[best[1]], demand, strict=True))
+    return where
+
+
+@pytest.mark.parametrize("choose", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(1024, 1024, 1024**2), (100, 4, 4000), (60, 3, 3600), (50, 10**6, 2500)])
+@pytest.mark.parametrize("kind", ["spread", "ties", "one length"])
+def test_best_fit_equals_scoring_every_sequence(choose, limits, kind):
+    r = np.random.default_rng(len(kind) + limits[0])
+    most = min(limits[0], int(limits[2] ** 0.5))
+    lengths = {"spread": r.integers(1, most + 1, 300), "ties": r.choice([most // 2, most // 3, 5, 1], 300), "one length": np.full(40, most // 4)}[kind]
+    cap = Capacity(*limits, choose=choose)
+    where, offset = packing.best_fit(lengths, cap)
+    assert where.tolist() == plain_best_fit(lengths.tolist(), cap)
+    for s in set(where.tolist()):
+        inside = sorted(zip(offset[where == s].tolist(), lengths[where == s].tolist(), strict=True))
+        assert [a for a, _ in inside] == [sum(n for _, n in inside[:i]) for i in range(len(inside))]
+
+
+def test_packing_many_pieces_in_one_partition():
+    """Time in proportion to the pieces, and few sequences beyond the lower bound."""
+    r = np.random.default_rng(1)
+    for n in (50_000, 200_000):
+        lengths = r.integers(1, 1025, n)
+        began = time.process_time()
+        where, _ = packing.best_fit(lengths, Capacity())
+        assert time.process_time() - began < n / 10_000
+        assert where.max() + 1 <= 1.005 * -(-lengths.sum() // 1024)
+
+
+def test_wide_vocabularies_need_wide_ids(spark, tmp_path):
+    """The kind of id follows the vocabulary's size, and ids over 65,535 are counted whole."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = {"[UNK]": 0} | {f"w{i}": i for i in range(1, 100_000)}
+    made = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "wide.json")
+    made.save(path)
+    assert token_scan.id_type(path, 5) == "<u4" and token_scan.id_type() == "<u2" and token_scan.id_type(end_id=70_000) == "<u4"
+    end = 65_535  # what 131,071 would become in two bytes
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, text string")
+    ids = {"a": [99_999, 65_537, 70_000], "b": [1] * 500, "": []}
+    texts = rows.replace({"a": " ".join(f"w{i}" for i in ids["a"]), "b": " ".join(["w1"] * 500)}, subset="text")
+    blocks = token_scan.scan_blocks(wide_shards(texts, path, end), "<u4", end)
+    counts = sorted(r.n_tokens for r in token_scan.stitch(blocks).collect())
+    assert counts == [0, 3, 500]
+
+
+def wide_shards(texts, path, end):
+    """Blocks of 64 ids of four bytes each of all texts in one shard."""
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(path).encode
+    ids = np.array([x for r in texts.collect() for x in [*encode(r.text or "").ids, end]], "<u4").tobytes()
+    rows = [("s", i, ids[256 * i : 256 * i + 256]) for i in range(-(-len(ids) // 256))]
+    return texts.sparkSession.createDataFrame(rows, "shard string, block bigint, data binary")
+
+
+def test_narrow_ids_fail(spark, docs):
+    with pytest.raises(Exception, match="an id exceeds"):
+        token_scan.token_shards(docs, end_id=70_000, dtype="<u2").collect()
+    wide = token_scan.token_shards(docs, dtype="<u4", block_tokens=100)
+    narrow = token_scan.token_shards(docs, dtype="<u2", block_tokens=100)
+    count = lambda rows, dtype: sorted(r.n_tokens for r in token_scan.stitch(token_scan.scan_blocks(rows, dtype).where("block IS NOT NULL")).collect())
+    assert count(wide, "<u4") == count(narrow, "<u2")
+
+
 def test_packing_does_not_depend_on_partitions(spark):
     rows = [(i, prose(i, 20 + i * 37 % 160)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
