@@ -34,34 +34,53 @@ def rolling_baseline(config: BaselineConfig) -> Column:
     return _stats(F.avg("observed").over(w), std, n, "rolling", n >= config.min_points)
 
 
-def ewma_memory(alpha: float) -> int:
-    """Observations after which what is older weighs less than 1e-19."""
-    return math.ceil(math.log(1e-19) / math.log(1 - alpha))
+#: What a block's end keeps of the block's beginning, at most.
+FORGOTTEN = 1e-100
 
 
-def ewma_state(values: Column, alpha: float) -> Column:
-    """(m, v) after the exponentially weighted recursion over an array in order."""
-    a = F.lit(alpha)
-
-    def step(s: Column, x: Column) -> Column:
-        m = a * x + (1 - a) * s["m"]
-        first = s["m"].isNull()
-        return F.struct(
-            F.when(first, x).otherwise(m).alias("m"),
-            F.when(first, 0.0).otherwise(a * (x - m) * (x - m) + (1 - a) * s["v"]).alias("v"),
-        )
-
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("v"))
-    return F.aggregate(values, start, step)
+def ewma_block(alpha: float) -> int:
+    """Observations after which what is older weighs less than ``FORGOTTEN``."""
+    return max(1, math.ceil(math.log(FORGOTTEN) / math.log(1 - alpha)))
 
 
 def _with_ewma(df: DataFrame, config: BaselineConfig) -> DataFrame:
-    recent = F.collect_list("observed").over(_history(ewma_memory(config.ewma_alpha)))
-    df = df.withColumns({"__past": recent, "__n": F.count("observed").over(_history())})
-    df = df.withColumn("__s", ewma_state(F.col("__past"), config.ewma_alpha))
-    std = F.greatest(F.sqrt("__s.v"), F.lit(config.std_floor))
-    stats = _stats(F.col("__s.m"), std, F.col("__n"), "ewma", F.col("__n") >= config.min_points)
-    return df.withColumn("__ewma", stats).drop("__past", "__n", "__s")
+    """Exponentially weighted mean and variance of all earlier observations, as sums over windows.
+
+    With q = 1 - alpha the recursion m' = m + alpha (x - m), v' = q v + alpha (x - m')^2 is linear in (1, m, m^2, v). A series
+    is cut into blocks of ``ewma_block`` observations. Inside a block, from its first value r on as if that had been the mean,
+    sums of observations and squared deviations weighted by powers of 1/q give the mean and variance that the block makes
+    alone; the carried mean, as its distance from r, and the carried variance add their shares. What a block carries on is its own end.
+    """
+    q, a, size = 1 - config.ewma_alpha, config.ewma_alpha, ewma_block(config.ewma_alpha)
+    series = Window.partitionBy(*PARTITION).orderBy("window_start")
+    block = Window.partitionBy(*PARTITION, "__block").orderBy("window_start")
+    before, upto = block.rowsBetween(Window.unboundedPreceding, -1), block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = F.row_number().over(series) - 1
+    power = lambda n: F.pow(F.lit(q), n)
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    j = F.col("__j")  # place in the block, from 0: so many observations of the block are history
+    df = df.withColumn("__n", past).withColumns({"__block": F.floor(F.col("__n") / size), "__j": F.col("__n") % size})
+    df = df.withColumn("__r", F.first("observed").over(upto))
+    df = df.withColumn("__y", F.col("observed") - F.col("__r"))
+    df = df.withColumn("__p", a * power(j) * none(F.sum(F.col("__y") * power(-(j + 1))).over(before)))  # the block's own mean before the row, less r
+    df = df.withColumn("__d", F.col("__y") - F.col("__p"))
+    scaled = F.col("__d") * F.col("__d") * power(-(j + 1))
+    df = df.withColumns({"__a": none(F.sum(scaled).over(before)), "__b": none(F.sum("__d").over(before))})
+    own = a * q * q * power(j) * F.col("__a")
+    last = F.struct(
+        (F.col("__r") + q * F.col("__p") + a * F.col("__y")).alias("m"),
+        (q * own + a * q * q * F.col("__d") * F.col("__d")).alias("v"),
+    )
+    carried = F.last(F.when(j == size - 1, last), ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("__c", carried)
+    far = F.coalesce(F.col("__c.m") - F.col("__r"), F.lit(0.0))
+    mean = F.col("__r") + F.col("__p") + power(j) * far
+    cross = a * q * q * power(j - 1) * F.col("__b")
+    square = power(j + 1) * (1 - power(j))
+    variance = power(j) * none(F.col("__c.v")) + own - 2 * cross * far + square * far * far
+    std = F.greatest(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(config.std_floor))
+    stats = _stats(mean, std, F.col("__n"), "ewma", F.col("__n") >= config.min_points)
+    return df.withColumn("__ewma", stats).drop("__n", "__block", "__j", "__r", "__y", "__p", "__d", "__a", "__b", "__c")
 
 
 def _hybrid(rolling: Column, ewma: Column) -> Column:

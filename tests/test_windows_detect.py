@@ -112,6 +112,28 @@ def test_rolling_and_ewma(spark):
     assert math.isclose(last.mean, 22.5) and math.isclose(last.std, math.sqrt(34.375)) and last["count"] == 3
 
 
+@pytest.mark.parametrize("alpha", [0.001, 0.05, 0.2, 0.5, 0.9, 0.999, 1 - 1e-12])
+@pytest.mark.parametrize("level", [0.0, 1e6])
+def test_ewma_equals_the_recursion(spark, alpha, level):
+    """To 1e-12 over many blocks, whatever the weight; a far level doesn't cost digits of the variance."""
+    r = random.Random(5)
+    values = [level + r.gauss(0, 3) + (500 if i % 997 == 0 else 0) for i in range(4000)]
+    rows = baselines.with_baselines(long_rows(spark, values), BaselineConfig(min_points=3, ewma_alpha=alpha, strategy="ewma", std_floor=1e-9))
+    got = [x.baseline for x in rows.orderBy("window_start").collect()]
+    m, v = values[0], 0.0
+    for i, x in enumerate(values):
+        if i:
+            if i >= 3:
+                assert math.isclose(got[i].mean, m, rel_tol=1e-12, abs_tol=1e-12)
+                # The recursion itself loses digits where the level is far from zero.
+                assert math.isclose(got[i].std, max(math.sqrt(v), 1e-9), rel_tol=1e-12 if level == 0 and alpha < 0.99 else 1e-7, abs_tol=1e-12)
+            before = m
+            m = alpha * x + (1 - alpha) * m
+            v = alpha * ((1 - alpha) * (x - before)) ** 2 + (1 - alpha) * v
+    assert got[2] is None and got[3]["count"] == 3
+    assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_warm_up_and_spike(spark):
     rows = [vector("s", 300 * i) for i in range(10)]
     assert detect.detect(make_vectors(spark, rows)).count() == 0
