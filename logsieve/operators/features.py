@@ -7,7 +7,7 @@ count of values; families alone (also in streams) are single aggregations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES
@@ -76,26 +76,62 @@ def _counted(rows: DataFrame) -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n"), (F.grouping("level") == 0).alias("of_level"))
 
 
+#: Leading binary digits of a duration that name its bucket.
+DIGITS = 12
+
+
+def bucket_of(value: Column) -> Column:
+    """``value`` without all but its leading digits: what is no larger falls into no later bucket. Up to 4,095 a bucket is one value."""
+    shift = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+
+
 def _from_counts(counted: DataFrame) -> DataFrame:
+    """Features of counted values.
+
+    Median and 95th percentile are selected in two steps: counts by bucket say which bucket has the wanted place,
+    counts inside that bucket which value. Nothing holds a window's values together: a window has no more than some thousand
+    buckets, and a bucket's values are a sorted run.
+    """
+    keys = ["service", "window_start"]
     of = lambda *levels: F.coalesce(F.sum(F.when(F.col("level").isin(*levels), F.col("n"))), F.lit(0).cast("bigint"))
-    timed = F.when(F.col("duration_ms").isNotNull(), F.struct("duration_ms", "n"))
-    df = counted.groupBy("service", "window_start").agg(
+    counted = counted.withColumn("bucket", bucket_of(F.col("duration_ms")))
+    buckets = counted.groupBy(*keys, "bucket").agg(
         F.sum(F.when(F.col("of_level"), F.col("n"))).alias("total_events"),
         of("ERROR", "CRITICAL").alias("error_count"),
         of("WARNING").alias("warning_count"),
         of("INFO").alias("info_count"),
-        F.percentile("duration_ms", 0.5, F.col("n")).alias("median_duration_ms"),
-        F.array_sort(F.collect_list(timed)).alias("__timed"),
-        F.max("duration_ms").cast("double").alias("max_duration_ms"),
+        F.sum(F.when(F.col("duration_ms").isNotNull(), F.col("n"))).alias("timed"),
+        F.max("duration_ms").alias("max_duration_ms"),
         F.count("message_hash").alias("unique_messages"),
         F.count("error_code").alias("unique_error_codes"),
     )
-    values = {
-        "error_rate": F.col("error_count") / F.col("total_events"),
-        "warning_rate": F.col("warning_count") / F.col("total_events"),
-        "p95_duration_ms": at_share(F.col("__timed"), 0.95).cast("double"),
+    window = Window.partitionBy(*keys)
+    first = F.coalesce(F.sum("timed").over(window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.withColumns({"first": first, "all": F.sum("timed").over(window)})
+    places = {
+        "low": F.floor((F.col("all") - 1) / 2),
+        "high": F.floor(F.col("all") / 2),
+        "p95": F.least(F.floor(F.col("all") * 0.95), F.col("all") - 1),
     }
-    return df.select("service", "window_start", *(values.get(f, F.col(f)).alias(f) for f in all_features()))
+    here = lambda c: (F.col("first") <= c) & (c < F.col("first") + F.col("timed"))
+    target = lambda c: F.max(F.when(here(c), F.struct("bucket", (c - F.col("first")).alias("place"))))
+    wide = buckets.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in ("total_events", "error_count", "warning_count", "info_count", "unique_messages", "unique_error_codes")),
+        F.max("max_duration_ms").cast("double").alias("max_duration_ms"),
+        *(target(c).alias(name) for name, c in places.items()),
+    )
+    asked = wide.select(*keys, F.inline(F.array(*(F.struct(F.lit(name).alias("name"), f"{name}.bucket", f"{name}.place") for name in places))))
+    # Unfolded, not filtered: the counts below stay one plan, which both steps share.
+    timed = counted.select(F.inline(F.when(F.col("duration_ms").isNotNull(), F.array(F.struct(*keys, "bucket", "duration_ms", "n")))))
+    inside = Window.partitionBy(*keys, "bucket", "name").orderBy("duration_ms", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = timed.join(asked, [*keys, "bucket"]).withColumn("upto", F.sum("n").over(inside))
+    chosen = found.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("duration_ms"))).cast("double")
+    chosen = chosen.groupBy(*keys).agg(((value("low") + value("high")) / 2).alias("median_duration_ms"), value("p95").alias("p95_duration_ms"))
+    df = wide.join(chosen, keys, "left")
+    rates = {"error_rate": F.col("error_count") / F.col("total_events"), "warning_rate": F.col("warning_count") / F.col("total_events")}
+    return df.select(*keys, *(rates.get(f, F.col(f)).alias(f) for f in all_features()))
 
 
 def at_share(timed: Column, share: float) -> Column:

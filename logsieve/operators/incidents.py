@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..config import IncidentConfig
 from ..functions.scoring import severity_name
 from ..schemas import FAMILY_NAMES, SEVERITIES
-from ..workers import importable
+from ..workers import importable, kept
 from .detect import family, stable_id, time_text
 
 
@@ -122,25 +122,31 @@ def _slotted(rows: DataFrame, slot_seconds: int) -> DataFrame:
     return rows.withColumn("slot", F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / slot_seconds))
 
 
+#: Time slots of incidents up to which they are broadcast to the logs: some 20 MB.
+PRUNED_SLOTS = 200_000
+
+
 def log_patterns(
-    incidents: DataFrame, logs: DataFrame, config: IncidentConfig = IncidentConfig(), slot_seconds: int = 300
+    incidents: DataFrame, logs: DataFrame, config: IncidentConfig = IncidentConfig(), slot_seconds: int = 300, most_slots: int = PRUNED_SLOTS
 ) -> DataFrame:
     """incident_id, key, count, sample_message, place: the most frequent messages around each incident.
 
-    Messages are counted by service, time slot and key before they meet incidents; only the slots at the two
-    ends of an incident's range meet single logs. Equi-joins, so that no side has to be broadcast. Ties go to
-    the pattern seen first.
+    The slots that incidents touch are worked out first. Unless there are over ``most_slots``, they are broadcast: logs outside of
+    them are dropped where they are read, those at the two ends of an incident's range are compared with its bounds there, and both are
+    counted before anything is shuffled. Beyond that the joins are shuffled ones. Ties go to the pattern seen first.
     """
-    near = _near(incidents, config, ["service"], slot_seconds)
+    near = kept(_near(incidents, config, ["service"], slot_seconds))
+    few = F.broadcast if near.count() <= most_slots else (lambda rows: rows)
     key = F.coalesce(F.nullif(F.col("message_hash"), F.lit("")), F.col("message"))
     lines = _slotted(logs.select("service", "timestamp", key.alias("key"), "message", "request_id"), slot_seconds)
     seen = F.struct("timestamp", "request_id", "message").alias("seen")
-    counted = lines.groupBy("service", "slot", "key").agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"))
-    found = ["incident_id", "key", "n", "seen"]
-    inside = near.where("inner").join(counted, ["service", "slot"]).select(*found)
-    at_ends = near.where("NOT inner").join(lines, ["service", "slot"]).where(F.col("timestamp").between(F.col("lo"), F.col("hi")))
-    both = inside.unionByName(at_ends.select("incident_id", "key", F.lit(1).cast("bigint").alias("n"), seen))
-    totals = both.groupBy("incident_id", "key").agg(F.sum("n").alias("count"), F.min("seen").alias("seen"))
+    whole, ends, slot = near.where("inner"), near.where("NOT inner"), ["service", "slot"]
+    counted = lines.join(few(whole.select(*slot).distinct()), slot, "left_semi")
+    counted = counted.groupBy(*slot, "key").agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"))
+    inside = whole.join(counted, slot).select("incident_id", "key", "n", "seen")
+    at_ends = lines.join(few(ends), slot).where(F.col("timestamp").between(F.col("lo"), F.col("hi")))
+    at_ends = at_ends.groupBy("incident_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"))
+    totals = inside.unionByName(at_ends).groupBy("incident_id", "key").agg(F.sum("n").alias("count"), F.min("seen").alias("seen"))
     best = Window.partitionBy("incident_id").orderBy(F.desc("count"), "seen", "key")
     ranked = totals.withColumn("place", F.row_number().over(best)).where(F.col("place") <= config.max_log_patterns)
     return ranked.select("incident_id", "key", "count", F.col("seen.message").alias("sample_message"), "place")
@@ -173,8 +179,13 @@ def build_incidents(
     operations: DataFrame | None = None,
     config: IncidentConfig = IncidentConfig(),
 ) -> DataFrame:
-    """Incidents with log_patterns and operational_context (empty arrays where nothing is given or found)."""
+    """Incidents with log_patterns and operational_context (empty arrays where nothing is given or found).
+
+    With logs or operations the incidents, which are few, are worked out at once and kept in a checkpoint: every join needs them.
+    """
     incidents = incident_metrics(assign_incidents(events, config), config)
+    if logs is not None or operations is not None:
+        incidents = kept(incidents)
     none_p = F.array().cast("array<struct<key:string,count:bigint,sample_message:string>>")
     none_o = F.array().cast("array<struct<event_type:string,timestamp:timestamp_ntz,description:string,metadata:map<string,string>>>")
     out = incidents

@@ -1,4 +1,4 @@
-"""Source to features, anomalies, incidents and explanations; every step stays a lazy plan."""
+"""Source to features, anomalies, incidents and explanations; lazy plans, but for incidents, which are worked out when asked for."""
 
 from __future__ import annotations
 

@@ -16,6 +16,7 @@ from .functions import normal, scoring
 from .operators import baselines, detect, explain, features, incidents, normalize, parse, stats, windows
 from .oracles import ORACLES
 from .sources import LogfmtSource, from_dataframe, read_json_logs, read_logs, register_source, spread
+from .workers import kept
 
 SECONDS = 21600
 INCIDENTS = IncidentConfig(max_gap_seconds=43200, window_size_seconds=SECONDS, context_window_seconds=21600)
@@ -144,7 +145,7 @@ def csv_fields(spark, sf_dir) -> DataFrame:
 
 def json_array_items(spark, sf_dir):
     """Events in files that are JSON arrays of 500 objects, read by ranges that cut every file."""
-    from .streaming.run import kept, scratch
+    from .streaming.run import scratch
 
     fields = F.struct("event_id", F.col("ts").cast("string").alias("time"), F.col("event_type").alias("msg"), F.col("props").alias("context"))
     rows = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("batch"))
@@ -159,7 +160,7 @@ def json_array_items(spark, sf_dir):
 
 def logfmt_source_logs(spark, sf_dir):
     """Events as logfmt lines, read back through a registered source."""
-    from .streaming.run import kept, scratch
+    from .streaming.run import scratch
 
     quoted = F.concat(F.lit('"'), F.regexp_replace("props", r'(["\\])', r"\\$1"), F.lit('"'))
     line = F.concat_ws(
@@ -434,8 +435,6 @@ SLICE_DAYS, DISORDER = 6, "13 days"
 def _feed(rows: DataFrame, path: str) -> None:
     """``rows`` as one file a trigger: slices of days, of which every other window comes a slice late; at last a window
     without features, a year on, that lets the watermark pass all others."""
-    from .streaming.run import kept
-
     rows = kept(rows)
     day = F.unix_date(F.to_date("window_start"))
     late = F.pmod(F.xxhash64("service", "window_start"), F.lit(2))
@@ -461,7 +460,7 @@ def _streamed_anomalies(spark, sf_dir, path: str) -> DataFrame:
 
 def streaming_detect(spark, sf_dir):
     """The same anomalies from a stream of feature vectors whose windows come out of order over several triggers."""
-    from .streaming.run import kept, scratch
+    from .streaming.run import scratch
 
     with scratch(spark, "features") as path:
         found = _streamed_anomalies(spark, sf_dir, path)
@@ -471,7 +470,7 @@ def streaming_detect(spark, sf_dir):
 def streaming_incidents(spark, sf_dir):
     """The same incidents from the streamed anomalies, which come out of order too; the last row is a suppressed one."""
     from .streaming.incidents import stream_incidents
-    from .streaming.run import drain, kept, scratch
+    from .streaming.run import drain, scratch
 
     with scratch(spark, "incidents") as path:
         found = _streamed_anomalies(spark, sf_dir, path)

@@ -84,14 +84,6 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` in a checkpoint, so that what they were read from may go."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def late_rows(progress: Iterable) -> int:
     """Rows that came behind the watermark and were dropped, by the progress reports of a query."""
     return sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators)

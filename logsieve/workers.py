@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 ROOT = str(PACKAGE.parent)
@@ -47,3 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return os.path.join(tempfile.gettempdir(), "logsieve-shared")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` in a checkpoint of the shared folder: worked out once, whatever becomes of what they were read from."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -13,7 +13,8 @@ from logsieve.operators import detect, features, incidents
 from logsieve.schemas import CANONICAL, FEATURE_VECTOR, FEATURES
 from logsieve.streaming.detect import stream_anomalies, stream_features
 from logsieve.streaming.incidents import stream_events, stream_incidents, stream_members
-from logsieve.streaming.run import drain, kept, late_rows, scratch
+from logsieve.streaming.run import drain, late_rows, scratch
+from logsieve.workers import kept
 
 from .test_windows_detect import at, make_logs, make_vectors, random_vectors, vector
 

@@ -237,11 +237,51 @@ def test_log_patterns_count_inner_slots(spark):
     r = random.Random(32)
     logs = make_logs(spark, [(r.randint(-700, 2500), "INFO", r.choice("st"), f"h{r.choice([1, 1, 1, 2, 2, 3, 4])}", 1, None) for _ in range(4000)])
     inside = [x for x in logs.collect() if x.service == "s" and at(-300) <= x.timestamp <= at(1800)]
-    for slot in (60, 300, 7000):
-        got = {x.key: x["count"] for x in incidents.log_patterns(found, logs, slot_seconds=slot).collect()}
+    for slot, most in ((60, 0), (300, 0), (7000, 0), (60, 10**6), (300, 10**6), (7000, 10**6)):
+        got = {x.key: x["count"] for x in incidents.log_patterns(found, logs, slot_seconds=slot, most_slots=most).collect()}
         assert got == {h: sum(x.message_hash == h for x in inside) for h in ("h1", "h2", "h3", "h4")}
 
 
+def test_log_patterns_shuffle_what_incidents_touch(spark):
+    """The semi-join stands below the aggregation, and what is shuffled falls with the incidents."""
+    logs = make_logs(spark, [(300 * i + j, "INFO", s, f"h{j % 20}", 1, None) for i in range(200) for j in range(40) for s in "st"])
+    written = []
+    for n in (1, 50):
+        found = incidents.incident_metrics(incidents.assign_incidents(make_events(spark, [("s", 300 * i, "error_rate") for i in range(n)])))
+        rows = incidents.log_patterns(found, logs)
+        rows.collect()
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate [service") < plan.index("Join LeftSemi, ")
+        counted = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [service" in counted and "LeftSemi, BuildRight" in counted
+        keys = rows.groupBy("incident_id").count().count()
+        written.append((keys, sum(r["count"] for r in rows.collect())))
+    assert written[0][1] < written[1][1] / 10
+
+
+def test_a_window_of_a_million_durations(spark):
+    """Exact order statistics, with no array in the plan."""
+    values = spark.range(1_000_000).select((F.pmod(F.col("id") * 7919, F.lit(1_000_003)) * 1_000_003 + 5).alias("duration_ms"))
+    logs = values.select(
+        F.lit(at(0)).cast("timestamp_ntz").alias("timestamp"), F.lit("INFO").alias("level"), F.lit("s").alias("service"), F.lit("m").alias("message"),
+        F.lit("h").alias("message_hash"), "duration_ms", F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("request_id"),
+    )
+    rows = features.window_features(logs)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "percentile" not in plan
+    r = rows.first()
+    want = sorted(i * 7919 % 1_000_003 * 1_000_003 + 5 for i in range(1_000_000))
+    assert (r.median_duration_ms, r.p95_duration_ms) == ((want[499_999] + want[500_000]) / 2, want[950_000])
+    assert (r.max_duration_ms, r.total_events) == (want[-1], 1_000_000)
+
+
+@pytest.mark.parametrize("value", [0, 1, 4095, 4096, 4097, 2**31 - 1, 2**31, 2**53 + 1, 2**62, 2**63 - 1, -1, -4097])
+def test_buckets_keep_the_order(spark, value):
+    near = sorted({max(-(2**63), min(2**63 - 1, value + d)) for d in (-3, -1, 0, 1, 3)})
+    got = [r.b for r in spark.createDataFrame([(v,) for v in near], "v bigint").select("v", features.bucket_of(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert got == sorted(got) and all(b <= v for b, v in zip(got, near, strict=True))
+
+
 def test_incident_context(spark):
     ev = make_events(spark, [("s", 600, "error_rate")])
     logs = make_logs(spark, [(300, "INFO", "s", "in", 1, None), (1200, "INFO", "s", "in", 1, None), (299, "INFO", "s", "out", 1, None), (1201, "INFO", "s", "out", 1, None), (600, "INFO", "t", "other", 1, None), (700, "INFO", "s", "b", 1, None)])
