@@ -4,7 +4,9 @@ Inline elements don't make nodes (their text belongs to the block around them,
 link text is counted). Implied end tags are honoured; unknown end tags are
 ignored. Scripts, styles, templates, drawings, media and the document head
 have no text; formulas and the fallback of objects have. Hidden is what the
-``hidden`` attribute, ``aria-hidden`` or its own style says, not a class or a label.
+``hidden`` attribute, ``aria-hidden`` or its own style says, not a class or a label; of inline elements too, whose text is
+left out up to their end tag or the next block, whichever comes first. Options are form controls: their text is left out even
+where their list isn't closed.
 
 The reader only moves forward, so broken markup takes time in proportion to its length: a
 quote that is never closed ends nothing, a tag that is never closed is text, and an unclosed script or style takes
@@ -136,7 +138,12 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     link = 0
     at = 0
 
+    veil, under = "", 0  # an inline element that isn't shown, and how many of its name are open in it
+    choosing = False  # inside an option
+
     def text(piece: str) -> None:
+        if veil or choosing:
+            return
         k = stack[-1]
         runs.append((k, piece))
         if link:
@@ -162,12 +169,19 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         at = end
         if tag is None:
             continue
+        choosing = tag in ("option", "optgroup") and not closing
         if tag == "a":
             link = 0 if closing else 1
         if tag in INLINE:
+            if veil == tag:
+                under += -1 if closing else 1
+                veil = veil if under else ""
+            elif not veil and not closing and tag not in VOID and is_hidden(attrs):
+                veil, under = tag, 1
             if tag == "br":
                 text(" ")
             continue
+        veil = ""
         if tag in ("html", "body"):
             continue
         if tag == "head":
