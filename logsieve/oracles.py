@@ -259,6 +259,11 @@ def _levels() -> str:
     return f"SELECT event_id, {_case([(repr(k).join(['= ', '']), repr(v)) for k, v in LEVEL_ALIASES.items()], 'upper(trim(x))', 'NULL')} AS level FROM (SELECT event_id, {form} AS x FROM events)"
 
 
+def _top(order: str) -> str:
+    return f"""SELECT id, {NAME('severity_rank')} AS severity FROM (SELECT {ID("service", "window_start")} || ':' || feature AS id, service, window_start, severity_rank,
+        greatest(least(round(coalesce(nullif(z_score, 0), nullif(rate_change, 0), 0), 6), 1000.0), -1000.0) AS deviation FROM active) ORDER BY {order}, id LIMIT 20"""
+
+
 KEYS = "service, window_start, feature"
 WITH = f"WITH RECURSIVE {LOGS} "
 CHAINED = {
@@ -293,8 +298,10 @@ CHAINED = {
     "anomaly_rows": f"""SELECT {ID("service", "window_start")} || ':' || feature AS id, service, window_start AS timestamp, feature, round(observed, 6) AS observed,
         round(d, 6) AS deviation, round(score, 6) AS score, {NAME('severity_rank')} AS severity, CASE WHEN d > 5 THEN 'critical' WHEN d > 1 THEN 'high' ELSE 'medium' END AS class
         FROM (SELECT *, greatest(least(coalesce(nullif(z_score, 0), nullif(rate_change, 0), 0), 1000.0), -1000.0) AS d FROM active)""",
-    "top_anomalies": f"""SELECT id, {NAME('severity_rank')} AS severity FROM (SELECT {ID("service", "window_start")} || ':' || feature AS id, severity_rank FROM active)
-        ORDER BY severity_rank DESC, id LIMIT 20""",
+    "top_anomalies": _top("severity_rank DESC"),
+    "latest_anomalies": _top("window_start DESC"),
+    "anomalies_by_service": _top("service ASC"),
+    "most_deviant_anomalies": _top("deviation DESC"),
     "incidents_gap": f"""SELECT {ID("service", "min(window_start)")} AS incident_id, service, min(window_start) AS start_time, max(window_start) + INTERVAL '{SECONDS} seconds' AS end_time,
         count(*) AS anomaly_count FROM sessions GROUP BY service, session""",
     "incidents_overlap": "SELECT incident_id, service, start_time, end_time, anomaly_count FROM incidents",

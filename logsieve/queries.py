@@ -334,9 +334,14 @@ def anomaly_rows(spark, sf_dir):
     return rounded(shown.select("id", "service", "timestamp", "feature", "observed", "deviation", "score", "severity", "class"))
 
 
-def top_anomalies(spark, sf_dir):
-    rows = detect.sort_rows(detect.anomaly_rows(events(spark, sf_dir))).limit(20)
-    return rows.select("id", "severity")
+def _top(by: str, descending: bool):
+    def query(spark, sf_dir):
+        # Deviations on a floored spread are huge and their last digits depend on the order of sums.
+        shown = F.greatest(F.least(F.round("deviation", 6), F.lit(1000.0)), F.lit(-1000.0))
+        rows = detect.sort_rows(detect.anomaly_rows(events(spark, sf_dir)).withColumn("deviation", shown), by, descending).limit(20)
+        return rows.select("id", "severity")
+
+    return query
 
 
 # --- incidents and explanations ------------------------------------------------------------------------------------
@@ -524,7 +529,10 @@ QUERIES = {
     "active_anomalies": active_anomalies,
     "anomaly_events": anomaly_events,
     "anomaly_rows": anomaly_rows,
-    "top_anomalies": top_anomalies,
+    "top_anomalies": _top("severity", True),
+    "latest_anomalies": _top("timestamp", True),
+    "anomalies_by_service": _top("service", False),
+    "most_deviant_anomalies": _top("deviation", True),
     "incidents_gap": _incidents(GAP_ONLY),
     "incidents_overlap": _incidents(INCIDENTS),
     "incident_metrics": incident_metrics,

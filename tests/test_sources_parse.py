@@ -38,7 +38,7 @@ def test_text_variants(spark, line, expected):
 
 
 def test_text_rejects(spark):
-    rows = texts(spark, "garbage", "", "2025-02-07T10:30:46Z nothing here", "2025-02-07T10:30:46Z INFO !!")
+    rows = texts(spark, "garbage", "", "2031-06-19T23:05:02Z nothing here", "2031-06-19T23:05:02Z INFO !!")
     assert [r.reject_reason for r in rows.collect()] == ["no timestamp", "empty line", "no level", "no service"]
     assert parse.quality_report(rows).first().asDict() == {"total": 4, "accepted": 0, "skipped": 4}
 
@@ -51,38 +51,38 @@ def test_json_aliases_and_nulls(spark):
     rows = parse.parse_json(
         fields(
             spark,
-            {"ts": "2025-02-07T10:30:45Z", "level_name": "info", "app": "a", "msg": "m", "duration": "1500"},
+            {"ts": "2031-06-19T23:05:09Z", "level_name": "info", "app": "a", "msg": "m", "duration": "730"},
             {"timestamp": "x", "level": None, "service": None, "message": None, "duration_ms": "bad", "duration": "7"},
             {"timestamp": None, "time": "t", "message": "m"},
             {"timestamp": "t"},
         )
     ).collect()
-    assert (rows[0].level, rows[0].service, rows[0].message, rows[0].duration_ms) == ("INFO", "a", "m", 1500)
+    assert (rows[0].level, rows[0].service, rows[0].message, rows[0].duration_ms) == ("INFO", "a", "m", 730)
     assert (rows[1].level, rows[1].service, rows[1].message, rows[1].duration_ms) == ("NONE", "None", "None", None)
     assert rows[2].reject_reason == "no timestamp" and rows[3].reject_reason == "no message"
 
 
 def test_csv_first_filled_wins(spark):
-    row = parse.parse_csv(fields(spark, {"timestamp": "", "time": "t", "message": "", "msg": "m", "duration": "2500"})).first()
-    assert (row.timestamp, row.message, row.duration_ms) == ("t", "m", 2500)
+    row = parse.parse_csv(fields(spark, {"timestamp": "", "time": "t", "message": "", "msg": "m", "duration": "41"})).first()
+    assert (row.timestamp, row.message, row.duration_ms) == ("t", "m", 41)
 
 
 def test_files(spark, tmp_path):
     text = tmp_path / "a.log"
-    text.write_text("﻿2025-02-07T10:30:00Z INFO api-server a (150ms)\n\n  garbage \n2025-02-07T10:30:45Z ERROR database b (5000ms)\n")
+    text.write_text("﻿2031-06-19T23:07:00Z INFO mailer queue drained (12ms)\n\n  garbage \n2031-06-19T23:07:41Z ERROR ledger-7 quorum lost (873ms)\n")
     assert read_logs(spark, str(text)).count() == 3
     numbered = read_text_logs(spark, str(text), line_numbers=True).orderBy("source_meta.line_number").collect()
     assert [r.source_meta.line_number for r in numbered] == [1, 3, 4]
     assert canonical_logs(read_logs(spark, str(text))).count() == 2
     array = tmp_path / "a.json"
-    array.write_text(json.dumps([{"timestamp": "2025-02-07T10:30:00Z", "level": "INFO", "service": "s", "message": "m"}, 3, "x"]))
+    array.write_text(json.dumps([{"timestamp": "2031-06-19T23:07:00Z", "level": "INFO", "service": "s", "message": "m"}, 3, "x"]))
     assert read_logs(spark, str(array)).count() == 1
     lines = tmp_path / "b.json"
-    lines.write_text('{"ts": 1707315045, "msg": "m", "app": "s", "level": "error"}\nnot json\n[1]\n{"a": 1}\n')
+    lines.write_text('{"ts": 1951689547, "msg": "m", "app": "s", "level": "error"}\nnot json\n[1]\n{"a": 1}\n')
     assert read_logs(spark, str(lines)).count() == 2
     assert canonical_logs(read_json_logs(spark, str(lines), line_numbers=True)).first().level == "ERROR"
     csv = tmp_path / "a.csv"
-    csv.write_text('﻿timestamp,level,service,message,duration_ms\n2025-02-07T10:30:00Z,INFO,cache-layer,"a ""b"", c",25\n,,,,\n')
+    csv.write_text('﻿timestamp,level,service,message,duration_ms\n2031-06-19T23:07:00Z,INFO,ledger-7,"a ""b"", c",25\n,,,,\n')
     rows = canonical_logs(read_logs(spark, str(csv))).collect()
     assert len(rows) == 1 and rows[0].message == 'a "b", c' and rows[0].duration_ms == 25
 
@@ -160,8 +160,8 @@ def test_file_errors(spark, tmp_path):
 
 def test_engine(spark, tmp_path):
     path = tmp_path / "a.log"
-    rows = [f"2025-02-07T{10 + i // 12:02d}:{i % 12 * 5:02d}:10Z INFO api m{k} (100ms)" for i in range(13) for k in range(3)]
-    rows += ["2025-02-07T11:05:20Z ERROR api boom (9000ms)"] * 30
+    rows = [f"2031-06-19T{10 + i // 12:02d}:{i % 12 * 5:02d}:10Z INFO shop m{k} (100ms)" for i in range(13) for k in range(3)]
+    rows += ["2031-06-19T11:05:20Z ERROR shop boom (9000ms)"] * 30
     path.write_text("\n".join(rows))
     engine = Engine(spark)
     file_id = engine.upload(str(path))
@@ -169,9 +169,9 @@ def test_engine(spark, tmp_path):
     found = engine.detect(file_id)
     assert found["anomalies"].where("severity = 'critical'").count() > 0
     incident = engine.incidents().first()
-    assert incident.status == "open" and incident.description.startswith("api incident with ")
+    assert incident.status == "open" and incident.description.startswith("shop incident with ")
     shown = engine.explain(incident.id).first()
-    assert shown.likely_cause == "unknown" and shown.affected_services == ["api"] and shown.confidence == 0.1
+    assert shown.likely_cause == "unknown" and shown.affected_services == ["shop"] and shown.confidence == 0.1
     assert engine.compare_to_baseline(file_id, "error_count").count() == 1
     with pytest.raises(KeyError):
         engine.uploads.get("none")
@@ -179,9 +179,9 @@ def test_engine(spark, tmp_path):
 
 def test_normalize_rejects(spark):
     rows = spark.createDataFrame(
-        [("2025-02-07T10:30:45Z", "odd", "API-Server", "a   b", 5), ("bad", "INFO", "s", "m", None), ("2025-02-07 10:30:45", "INFO", "@@", "m", None), ("2025-02-07T10:30:45", "INFO", "s", " \t ", None)],
+        [("2031-06-19T23:09:12Z", "odd", "Ledger-7", "a   b", 5), ("bad", "INFO", "s", "m", None), ("2031-06-19 23:09:12", "INFO", "@@", "m", None), ("2031-06-19T23:09:12", "INFO", "s", " \t ", None)],
         "timestamp string, level string, service string, message string, duration_ms bigint",
     ).withColumns({"error_code": F.lit(" E1 "), "request_id": F.lit(None).cast("string")})
     got = normalize.normalize_logs(rows).collect()
-    assert (got[0].level, got[0].service, got[0].message, got[0].error_code) == ("INFO", "api-server", "a b", "E1")
+    assert (got[0].level, got[0].service, got[0].message, got[0].error_code) == ("INFO", "ledger-7", "a b", "E1")
     assert [r.reject_reason for r in got] == [None, "bad timestamp", "bad service", "bad message"]
