@@ -12,7 +12,8 @@ pre-aggregated before their shuffle and joined back as a table of bounded size.
 The sample only steers where rows go; every row is sorted and compared.
 
 Defined results: null text counts as empty, empty texts form one group; very long texts are compared whole. Of
-rows that repeat both text and id exactly one is kept. Columns are those of
+rows that repeat both text and id exactly one is kept. A row without an id stays only if no row of its text has one, and then
+one of them does, with a null ``keep_id``. Columns are those of
 the input plus ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``
 (which replace columns of those names); an empty table gives an empty result.
 DataFrame functions only: no Python on the executors.

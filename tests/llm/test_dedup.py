@@ -254,3 +254,26 @@ def test_near_empty(empty):
     assert near_dup.link_documents(empty).count() == 0
     assert near_dup.drop_near_copies(empty).count() == 0
     assert Join().recall(2) > 0.9999 and Join(percent=85).recall(6) > 0.98
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("partitions", [2, 200])
+def test_exact_null_ids(spark, keep, partitions):
+    """Hot or not: one row of a text stays, with an id if any row has one."""
+    rows = [(None, "Same")] * 40 + [(7, "same"), (9, "SAME"), (7, "same")] + [(None, "lone")] * 30 + [(None, None), (3, ""), (None, "once")]
+    got = content_sort.sort_content(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), keep=keep, partitions=partitions).collect()
+    assert len(got) == len(rows)
+    kept = sorted(((r.text or "").lower(), r.doc_id, r.keep_id, r.group_size) for r in got if r.kept)
+    assert kept == [("", 3, 3, 2), ("lone", None, None, 30), ("once", None, None, 1), ("same", 7 if keep == "smallest" else 9, 7 if keep == "smallest" else 9, 43)]
+
+
+def test_near_null_ids(spark):
+    """Rows without an id follow an equal set, or stay; they never link others."""
+    base = prose(41, 120)
+    near = base.replace(base.split(" ")[60], "other", 1)
+    rows = [(None, base), (5, near), (None, near), (None, prose(42, 50)), (None, None), (8, base), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.link_documents(df, Join(k=3, percent=80)).collect()), key=str)
+    assert got == sorted([(None, 5, False), (5, 5, True), (None, 5, False), (None, None, True), (None, None, True), (8, 5, False), (None, None, True)], key=str)
+    stay = near_dup.drop_near_copies(df, Join(k=3, percent=80)).collect()
+    assert (5, near) in [(r.doc_id, r.text) for r in stay] and (8, base) not in [(r.doc_id, r.text) for r in stay]

@@ -464,3 +464,13 @@ def test_html_repeated_rows_and_clashing_columns(spark):
     got = html_extract.extract_pages(rows).orderBy("page_id").collect()
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and got[0] == got[1] and got[0].text == "\n".join(SAID)
     assert got[2].text == "\n".join(SAID * 200)
+
+
+def test_line_rules_of_very_long_texts(spark):
+    """Two megabytes of many lines, and of one line: counted whole."""
+    lines = [f"This is line number {i} of a long text, and it ends well." for i in range(30_000)]
+    rows = [(1, "\n".join(lines)), (2, " ".join(lines)), (3, "\n".join(["Again and again this line is said."] * 30_000))]
+    got = {r.doc_id: r for r in line_rules.judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_words == got[2].n_words == 13 * 30_000 and got[1].n_dup_lines == 0
+    assert got[3].n_dup_lines == 29_999 and got[3].n_repeat_words == 7 * 30_000 and not got[3].kept
+    assert got[1].word_chars == sum(len(w) for line in lines for w in line.split())

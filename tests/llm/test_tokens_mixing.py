@@ -273,6 +273,27 @@ def test_mixing_cases(docs, empty):
     assert len(first) == docs.count()
 
 
+def test_mixing_long_texts_and_equal_ids_at_a_cut(spark):
+    """A text as long as all others is one row; rows of equal ids are taken or left together where a block is cut."""
+    rows = [(i // 2, "word " * 5, "small") for i in range(40)] + [(100, "word " * 200_000, "long"), (101, "x", "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix_sources(docs, Mix(entropy=None, repeats=2.5))
+    draws = {(r.source, r.doc_id, r.block): r["count"] for r in got.groupBy("source", "doc_id", "block").count().collect()}
+    assert {n for (s, _, _), n in draws.items() if s == "small"} == {2}  # both rows of an id, or none
+    assert sum(1 for s, _, b in draws if s == "small" and b == 0) == 20 and any(b for s, _, b in draws if s == "small")
+    (long,) = [r for r in got.where("doc_id = 100").collect()]
+    assert long.n_tokens == 200_000 and long.block == 0
+
+
+def test_separator_scan_of_a_document_over_several_blocks(spark, tmp_path, encoder):
+    """A document of more ids than two blocks of the query have."""
+    texts = {1: "short one", 2: " ".join(f"w{i % 977}x" for i in range(60_000)), 3: None, 4: "tail"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_tokens for r in token_scan.op5_separator_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: len(encoder.ordinary.encode(t or "", add_special_tokens=False).ids) for i, t in texts.items()}
+    assert got[2] > 2 * token_scan.BLOCK_TOKENS
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
