@@ -7,6 +7,8 @@ count of values; families alone (also in streams) are single aggregations.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +95,8 @@ def _from_counts(counted: DataFrame) -> DataFrame:
     counts inside that bucket which value. Nothing holds a window's values together: a window has no more than some thousand
     buckets, and a bucket's values are a sorted run.
     """
-    keys = ["service", "window_start"]
-    of = lambda *levels: F.coalesce(F.sum(F.when(F.col("level").isin(*levels), F.col("n"))), F.lit(0).cast("bigint"))
+    keys, zero = ["service", "window_start"], F.lit(0).cast("bigint")
+    of = lambda *levels: F.coalesce(F.sum(F.when(F.col("level").isin(*levels), F.col("n"))), zero)
     counted = counted.withColumn("bucket", bucket_of(F.col("duration_ms")))
     buckets = counted.groupBy(*keys, "bucket").agg(
         F.sum(F.when(F.col("of_level"), F.col("n"))).alias("total_events"),
@@ -121,15 +123,27 @@ def _from_counts(counted: DataFrame) -> DataFrame:
         F.max("max_duration_ms").cast("double").alias("max_duration_ms"),
         *(target(c).alias(name) for name, c in places.items()),
     )
-    asked = wide.select(*keys, F.inline(F.array(*(F.struct(F.lit(name).alias("name"), f"{name}.bucket", f"{name}.place") for name in places))))
+    kept = [c for c in wide.columns if c not in (*keys, *places)]
+    # A window without durations asks for the first of its rows that have none.
+    ask = lambda name: F.struct(
+        F.lit(name).alias("name"), F.col(name).isNotNull().alias("has"), F.coalesce(f"{name}.bucket", zero).alias("bucket"), F.coalesce(f"{name}.place", zero).alias("place")
+    )
+    asked = wide.select(*keys, F.struct(*kept).alias("rest"), F.inline(F.array(*map(ask, places))))
     # Unfolded, not filtered: the counts below stay one plan, which both steps share.
-    timed = counted.select(F.inline(F.when(F.col("duration_ms").isNotNull(), F.array(F.struct(*keys, "bucket", "duration_ms", "n")))))
+    row = F.struct(*keys, F.col("duration_ms").isNotNull().alias("has"), F.coalesce("bucket", zero).alias("bucket"), "duration_ms", "n")
+    values = counted.select(F.inline(F.when(F.col("of_level"), F.array(row))))
     inside = Window.partitionBy(*keys, "bucket", "name").orderBy("duration_ms", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = timed.join(asked, [*keys, "bucket"]).withColumn("upto", F.sum("n").over(inside))
+    # Null-safe, so that no filter on the keys goes below one side's counts only.
+    on = [*keys, "has", "bucket"]
+    asked = asked.withColumnsRenamed({c: f"__{c}" for c in on})
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on))
+    found = values.join(asked, same).withColumn("upto", F.sum("n").over(inside))
     chosen = found.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
     value = lambda name: F.max(F.when(F.col("name") == name, F.col("duration_ms"))).cast("double")
-    chosen = chosen.groupBy(*keys).agg(((value("low") + value("high")) / 2).alias("median_duration_ms"), value("p95").alias("p95_duration_ms"))
-    df = wide.join(chosen, keys, "left")
+    df = chosen.groupBy(*keys).agg(
+        F.max("rest").alias("rest"), ((value("low") + value("high")) / 2).alias("median_duration_ms"), value("p95").alias("p95_duration_ms")
+    )
+    df = df.select(*keys, "rest.*", "median_duration_ms", "p95_duration_ms")
     rates = {"error_rate": F.col("error_count") / F.col("total_events"), "warning_rate": F.col("warning_count") / F.col("total_events")}
     return df.select(*keys, *(rates.get(f, F.col(f)).alias(f) for f in all_features()))
 
