@@ -12,9 +12,9 @@ nothing is lost. A budget is spent in blocks: every block is a pseudo-random
 permutation of the whole source, the last one is cut where the budget ends.
 
 No document is shuffled to make the choice. The cut of a last block is found from
-token sums by leading digits of the permutation key, then inside one digit bucket
-for each source; both are pre-aggregated and hold no more than a bounded share of a
-hot source. DataFrame functions only: no Python on the executors.
+token sums by leading digits of the permutation key (half of the digits, then the other
+half), then inside one digit bucket for each source; all are pre-aggregated and hold no
+more than a bounded share of a hot source. DataFrame functions only: no Python on the executors.
 
 Defined results: a null source counts as the source of the empty name. Texts
 without words have 0 tokens and follow their block. Repeated rows are drawn
@@ -110,6 +110,26 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
 
 
+def _edge(sums: DataFrame, digits: int, sources: int) -> DataFrame:
+    """src, edge, before: each source's first bucket that doesn't fit whole into ``rest``, and the tokens of all earlier ones.
+
+    Found by prefix sums in two levels: over the first half of a bucket's digits, then over the second half inside the one
+    group that the first step found. A source has at most 16 ** 3 rows in either window, however large it is.
+    """
+    half = (digits + 1) // 2
+    levels = sums.withColumns({"group": F.substring("bucket", 1, half), "before": F.lit(0).cast("long")})
+    ordered = lambda place: Window.partitionBy("src").orderBy(place)
+
+    def first_over(rows: DataFrame, place: str) -> DataFrame:
+        upto = rows.withColumn("upto", F.col("before") + F.sum("t").over(ordered(place)))
+        over = upto.where(F.col("upto") > F.col("rest")).groupBy("src")
+        return over.agg(F.min_by(F.struct(F.col(place).alias("edge"), (F.col("upto") - F.col("t")).alias("before")), place).alias("e")).select("src", "e.*")
+
+    groups = levels.groupBy("src", "group").agg(F.sum("t").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    found = _small(first_over(groups, "group").withColumnRenamed("edge", "group"), sources)
+    return first_over(levels.drop("before").join(found, ["src", "group"]), "bucket")
+
+
 def _key(mix: Mix, source: Column, block: Column, id_: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(mix.seed)), source, block.cast("string"), id_.cast("string")))
 
@@ -153,14 +173,8 @@ def mix_sources(
     drawn = light.join(_small(plan.where("rest > 0"), whole["rows"]), "src")
     drawn = drawn.withColumn("key", _key(mix, F.col("src"), F.col("full"), F.col("id")))
     drawn = drawn.withColumn("bucket", F.substring("key", 1, digits))
-    sums = drawn.groupBy("src", "bucket").agg(F.sum("t").alias("t"), F.first("rest").alias("rest"))
-    ordered = Window.partitionBy("src").orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("t").over(ordered))
-    # The first bucket that doesn't fit whole.
-    edge = sums.where(F.col("upto") > F.col("rest")).groupBy("src").agg(
-        F.min_by(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before")), "bucket").alias("e")
-    )
-    edge = durable(edge.select("src", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
+    sums = durable(drawn.groupBy("src", "bucket").agg(F.sum("t").alias("t"), F.first("rest").alias("rest")))
+    edge = durable(_edge(sums, digits, whole["rows"]))
     near = drawn.join(_small(edge, whole["rows"]), "src").where(F.col("bucket") == F.col("edge"))
     inside = Window.partitionBy("src").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     near = near.withColumn("upto", F.col("before") + F.sum("t").over(inside))

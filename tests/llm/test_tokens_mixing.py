@@ -285,6 +285,29 @@ def test_mixing_long_texts_and_equal_ids_at_a_cut(spark):
     assert long.n_tokens == 200_000 and long.block == 0
 
 
+@pytest.mark.parametrize("digits", [1, 2, 3, 5, 6])
+def test_mixing_edge_in_two_levels(spark, digits):
+    """The first bucket that doesn't fit, against a plain running sum: budgets at bucket ends, of nothing, of all and beyond."""
+    r = random.Random(digits)
+    names = sorted({"".join(r.choices("0123456789abcdef", k=digits)) for _ in range(400)})
+    sums, want = [], {}
+    for s in range(12):
+        held = [(b, r.choice([0, 1, 7, 400])) for b in names if r.random() < 0.7]
+        total = sum(t for _, t in held)
+        rest = [1, total, total + 5, sum(t for _, t in held[: len(held) // 2])][s % 4] if s < 8 else r.randint(1, total)
+        sums += [(f"s{s}", b, t, rest) for b, t in held]
+        before = 0
+        for b, t in held:
+            if before + t > rest:
+                want[f"s{s}"] = (b, before)
+                break
+            before += t
+    table = spark.createDataFrame(sums, "src string, bucket string, t long, rest long").repartition(5)
+    for sources in (12, mixing.BROADCAST_SOURCES + 1):
+        got = mixing._edge(table, digits, sources)
+        assert {x.src: (x.edge, x.before) for x in got.select("src", "edge", "before").collect()} == want
+
+
 def test_separator_scan_of_a_document_over_several_blocks(spark, tmp_path, encoder):
     """A document of more ids than two blocks of the query have."""
     texts = {1: "short one", 2: " ".join(f"w{i % 977}x" for i in range(60_000)), 3: None, 4: "tail"}
