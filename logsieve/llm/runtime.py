@@ -49,7 +49,7 @@ def words_of(c):
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory of this worker to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -62,10 +62,10 @@ def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
-        _give_back()
+        give_back()
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            give_back()
 
     return run

@@ -8,7 +8,8 @@ classes change between Unicode versions, go through the tokenizer as a whole; so
 string of a special token, which is one id unless the caller asks for ``ordinary`` text.
 
 Bounded memory: buffers of at most ``BLOCK_BYTES`` (or one text), and a memo of
-at most ``MEMO_ENTRIES`` pieces.
+at most ``MEMO_ENTRIES`` pieces and those of one buffer. A full memo keeps the pieces that more
+than one buffer held, at most half of its entries; what it forgets is tokenised again.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .runtime import give_back
+
 BLOCK_BYTES = 1 << 20
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 #: Longer pieces aren't kept in the memo.
 MEMO_BYTES = 48
 _TABLE = 0x3000
@@ -150,8 +153,32 @@ class Encoder:
         self.pool = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int32)  # buffers that held the piece
         self.n = self.used = 0
 
+    def _forget(self) -> None:
+        """Keeps the pieces of several buffers, the most used ones first, and counts their uses as half as many."""
+        held = np.fromiter(self.slots.values(), np.int64, len(self.slots))
+        held = held[self.uses[held] > 1]
+        if len(held) > MEMO_ENTRIES // 2:
+            held = held[np.argsort(-self.uses[held], kind="stable")[: MEMO_ENTRIES // 2]]
+        place = np.full(self.n, -1, np.int64)
+        place[held] = np.arange(len(held))
+        slots = {piece: int(place[slot]) for piece, slot in self.slots.items() if place[slot] >= 0}
+        size, uses, begin, pool = self.size[held], self.uses[held] >> 1, self.begin[held], self.pool
+        ends = np.cumsum(size)
+        ids = pool[np.repeat(begin - ends + size, size) + np.arange(size.sum())]
+        self._reset()
+        self.slots, self.n, self.used = slots, len(held), len(ids)
+        self._grow(self.n, self.used)
+        self.pool[: self.used], self.begin[: self.n], self.size[: self.n], self.uses[: self.n] = ids, ends - size, size, uses
+
+    def _grow(self, n: int, used: int) -> None:
+        while used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n > len(self.begin):
+            self.begin, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.uses))
+
     @staticmethod
     def _plain(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -159,11 +186,7 @@ class Encoder:
     def _add(self, pieces: list[bytes]) -> list[int]:
         slots = []
         for piece, ids in zip(pieces, self._plain(self.merger, [p.decode() for p in pieces]), strict=True):
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if self.n == len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+            self._grow(self.n + 1, self.used + len(ids))
             self.pool[self.used : self.used + len(ids)] = ids
             self.begin[self.n], self.size[self.n] = self.used, len(ids)
             if len(piece) <= MEMO_BYTES:
@@ -179,7 +202,7 @@ class Encoder:
         if not len(b):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         if self.n > MEMO_ENTRIES:
-            self._reset()
+            self._forget()
         start, odd = split_points(b, offsets)
         for mark in self.whole:
             held = pa.compute.match_substring(texts, mark).to_numpy(zero_copy_only=False)
@@ -193,6 +216,7 @@ class Encoder:
         missing = np.flatnonzero(slots < 0)
         if len(missing):
             slots[missing] = self._add([distinct[i] for i in missing])
+        self.uses[slots] += 1
         slots = slots[coded.indices.to_numpy()]
         sizes = self.size[slots]
         ends = np.cumsum(sizes)
@@ -202,8 +226,8 @@ class Encoder:
         bounds = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
         if len(odd):
             parts = [ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-            for i, whole in zip(odd, self._plain(self.tokenizer, [texts[int(i)].as_py() for i in odd]), strict=True):
-                parts[i] = np.array(whole, np.int32)
+            for i in odd:  # one at a time: a whole text's encoding is many times its size
+                parts[i] = np.array(self._plain(self.tokenizer, [texts[int(i)].as_py()])[0], np.int32)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             ids = np.concatenate(parts)
         return ids, bounds
@@ -216,4 +240,5 @@ def encoder(path: str, ordinary: bool = False) -> Encoder:
     """This worker's encoder for a tokenizer file."""
     if (path, ordinary) not in _ENCODERS:
         _ENCODERS[path, ordinary] = Encoder(path, ordinary)
+        give_back()  # what parsing the file took
     return _ENCODERS[path, ordinary]

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logsieve.llm import mixing, packing, token_scan
+from logsieve.llm import mixing, packing, token_scan, tokens
 from logsieve.llm.mixing import Mix
 from logsieve.llm.packing import Capacity
 from logsieve.llm.tokens import Encoder, blocks, tokenizer_path
@@ -237,6 +237,21 @@ def test_token_counts_of_documents(spark, docs, encoder, tmp_path):
     assert token_scan.count_tokens(token_scan.token_shards(docs.where("false"))).count() == 0
 
 
+def test_memo_forgets_rare_pieces_only(encoder, monkeypatch):
+    """A memo that overflows at every few texts gives the same ids, stays within its bound and keeps what texts share."""
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 200)
+    small = tokens.Encoder(tokenizer_path())
+    texts = [f"{prose(i, 40)} zq{i * 7919} {'long' * 20}{i} 漢字{i}" * (1 + i % 2) for i in range(120)] + [""]
+    most = 0
+    for text in texts:
+        ids, _ = small.encode(pa.array([text]))
+        assert list(ids) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        most = max(most, small.n)
+    distinct = 150  # pieces of a text, at most
+    assert most <= 200 + distinct and len(small.slots) <= small.n
+    assert max(small.uses[: small.n]) > 1 and any(p.startswith(b" ka") for p in small.slots)
+
+
 def mixed(spark, sizes, mix):
     rows = [(f"{s}-{i}", s, prose(i, 5 + i % 7)) for s, n in sizes.items() for i in range(n)]
     return rows, mixing.mix_sources(spark.createDataFrame(rows, "doc_id string, source string, text string"), mix)
