@@ -13,11 +13,13 @@ Files are listed by Spark (names and lengths) and read through the file systems
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,8 @@ from ..workers import importable
 SCHEMES = ("file", "hdfs", "s3", "s3a", "gs")
 RANGE_BYTES = 16 << 20
 GROUP = 1024
+#: Bytes of the files to a task, if that gives every core one.
+TASK_BYTES = 16 << 20
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 _BLANK = b" \t\r\n"
 _BOM = b"\xef\xbb\xbf"
@@ -122,14 +126,36 @@ def _summary_of(text: str) -> list:
     return [(end, change, marks, dict(commas)) for end, change, marks, commas in json.loads(text)]
 
 
-def _begins(rows: pd.DataFrame, state: int, depth: int, marks: int, item: int) -> Iterator[tuple[int, int, int, int]]:
-    """(state, depth, marks before, item) at the beginning of each of some neighbouring ranges, and at the end."""
-    for row in rows.itertuples():
-        yield state, depth, marks, item
-        end, change, more, commas = _summary_of(row.summary)[state]
+def _begins(rows: Iterable[dict], state: int, depth: int, marks: int, item: int) -> Iterator[tuple[dict, int, int, int, int]]:
+    """Each of some neighbouring ranges with (state, depth, marks before, item) at its beginning."""
+    for row in rows:
+        yield row, state, depth, marks, item
+        end, change, more, commas = _summary_of(row["summary"])[state]
         item += commas.get(1 - depth, 0)
         state, depth, marks = end, depth + change, marks + more
-    yield state, depth, marks, item
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    return (row for batch in batches for row in batch.to_pylist())
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _tasks(files: DataFrame, range_bytes: int) -> int:
+    """How many tasks share the files. Ranges are light rows of heavy work: by their own size Spark would give all of them to one task."""
+    size = F.greatest(F.col("length"), F.lit(0))
+    total, ranges = files.agg(F.sum(size), F.sum(F.ceil(size / range_bytes))).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return max(min(max(2 * cores, math.ceil((total or 0) / TASK_BYTES)), ranges or 0), 1)
 
 
 def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
@@ -138,9 +164,10 @@ def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     return rows.withColumns({"block": F.floor(F.col("at") / range_bytes), "size": F.least(F.lit(range_bytes), F.col("length") - F.col("at"))})
 
 
-def range_states(files: DataFrame, range_bytes: int = RANGE_BYTES, group: int = GROUP) -> DataFrame:
+def range_states(files: DataFrame, range_bytes: int = RANGE_BYTES, group: int = GROUP, tasks: int | None = None) -> DataFrame:
     """name, path, length, at, size and (state, depth, marks, item) at the beginning of every range of ``files``."""
-    ranges = _ranges(files, range_bytes).repartition("name", "block")
+    tasks = tasks or _tasks(files, range_bytes)
+    ranges = _ranges(files, range_bytes).repartition(tasks, "name", "block")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,31 +180,44 @@ def range_states(files: DataFrame, range_bytes: int = RANGE_BYTES, group: int =
     light = ranges.select("name", "path", "length", "at", "size", "block")
     kinds = ", ".join(f"{c} {t}" for c, t in light.dtypes)
     light = light.mapInArrow(scan, f"{kinds}, summary string").withColumn("part", F.floor(F.col("block") / group))
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, whole = rows.sort_values("block"), None
-        for row in rows.itertuples():
-            own = _summary_of(row.summary)
-            whole = own if whole is None else compose(whole, own)
-        return pd.DataFrame([{"name": rows["name"].iloc[0], "part": rows["part"].iloc[0], "summary": _text_of(whole)}])
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        begun = [*_begins(rows, OUTSIDE, 0, 0, 0)][:-1]
-        return pd.DataFrame([(n, p, *b) for n, p, b in zip(rows["name"], rows["part"], begun, strict=True)])
-
-    def spread_out(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        first = rows.iloc[0]
-        begun = [*_begins(rows, *(int(first[c]) for c in ("g_state", "g_depth", "g_marks", "g_item")))][:-1]
-        out = rows[["name", "path", "length", "at", "size"]].reset_index(drop=True)
-        return pd.concat([out, pd.DataFrame(begun)], axis=1).set_axis([*out.columns, "state", "depth", "marks", "item"], axis=1)
-
-    groups = light.groupBy("name", "part").applyInPandas(merge, "name string, part bigint, summary string")
-    placed = groups.groupBy("name").applyInPandas(place, "name string, part bigint, g_state int, g_depth bigint, g_marks bigint, g_item bigint")
-    states = light.drop("block").withColumn("block", F.col("at")).join(placed, ["name", "part"]).groupBy("name", "part")
-    return states.applyInPandas(
-        spread_out, "name string, path string, length bigint, at bigint, size bigint, state int, depth bigint, marks bigint, item bigint"
+    text, whole = pa.string(), pa.int64()
+
+    # Each step streams sorted rows: neighbouring ranges of a group, then the groups of a file, then the ranges again.
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged():
+            for (name, part), rows in groupby(_rows(batches), itemgetter("name", "part")):
+                found = None
+                for row in rows:
+                    own = _summary_of(row["summary"])
+                    found = own if found is None else compose(found, own)
+                yield name, part, _text_of(found)
+
+        return _batches(merged(), pa.schema([("name", text), ("part", whole), ("summary", text)]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = groupby(_rows(batches), itemgetter("name"))
+        placed = ((row["name"], row["part"], *begun) for _, rows in files for row, *begun in _begins(rows, OUTSIDE, 0, 0, 0))
+        names = ("g_state", "g_depth", "g_marks", "g_item")
+        return _batches(placed, pa.schema([("name", text), ("part", whole), *((n, whole) for n in names)]))
+
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def begun():
+            for _, rows in groupby(_rows(batches), itemgetter("name", "part", "g_state", "g_depth", "g_marks", "g_item")):
+                first = next(rows)
+                start = [first[c] for c in ("g_state", "g_depth", "g_marks", "g_item")]
+                for row, *at in _begins(chain((first,), rows), *start):
+                    yield (*(row[c] for c in ("name", "path", "length", "at", "size")), *at)
+
+        ours = [("name", text), ("path", text), *((n, whole) for n in ("length", "at", "size", "state", "depth", "marks", "item"))]
+        return _batches(begun(), pa.schema(ours))
+
+    groups = light.select("name", "part", "block", "summary").repartition("name", "part").sortWithinPartitions("name", "part", "block")
+    groups = groups.mapInArrow(merge, "name string, part bigint, summary string")
+    placed = groups.repartition("name").sortWithinPartitions("name", "part")
+    placed = placed.mapInArrow(place, "name string, part bigint, g_state bigint, g_depth bigint, g_marks bigint, g_item bigint")
+    states = light.join(placed, ["name", "part"]).repartition("name", "part").sortWithinPartitions("name", "part", "block")
+    return states.mapInArrow(
+        spread_out, "name string, path string, length bigint, at bigint, size bigint, state bigint, depth bigint, marks bigint, item bigint"
     )
 
 
@@ -253,7 +293,8 @@ def _item(name: str, index: int, text: bytes, last: bool) -> Iterator[tuple[int,
 def read_items(files: DataFrame, range_bytes: int = RANGE_BYTES, group: int = GROUP) -> DataFrame:
     """name, idx (from 0) and value of every item of the array files ``files`` (name, path, length)."""
     importable(files.sparkSession)
-    states = range_states(files, range_bytes, group).repartition("name", "at")
+    tasks = _tasks(files, range_bytes)
+    states = range_states(files, range_bytes, group, tasks).repartition(tasks, "name", "at")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

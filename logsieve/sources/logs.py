@@ -126,14 +126,14 @@ def read_json_logs(
     """
     if shape not in ("auto", "lines", "array"):
         raise LogIngestionError(f"unknown JSON shape: {shape}")
-    lines, number = _lines(spark, path, line_numbers)
-    meta = _meta("ndjson", F.col("__file"), line=number)
     arrays = None if shape == "lines" else _shapes(spark, path, shape).where("is_array")
-    mixed = shape == "auto" and bool(arrays.take(1))
-    if mixed:
-        lines = lines.join(arrays.select(F.col("name").alias("__file")), "__file", "left_anti")
-    lines = lines.select(_bare(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(True).alias("line"))
-    parts = [lines] if shape != "array" else []
+    mixed, parts = shape == "auto" and bool(arrays.take(1)), []
+    if shape != "array":
+        lines, number = _lines(spark, path, line_numbers)
+        meta = _meta("ndjson", F.col("__file"), line=number)
+        if mixed:
+            lines = lines.join(arrays.select(F.col("name").alias("__file")), "__file", "left_anti")
+        parts.append(lines.select(_bare(F.col("value")).alias("value"), meta.alias("source_meta"), F.lit(True).alias("line")))
     if mixed or shape == "array":
         items = _array_items(spark, arrays, path, range_bytes)
         meta = _meta("json_array", F.col("name"), idx=F.col("idx"))

@@ -7,6 +7,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logsieve.sources import arrays
 from logsieve.sources.logs import read_json_logs
@@ -86,3 +87,34 @@ def test_one_file_in_many_tasks(spark, tmp_path):
     again = arrays.read_items(files, 4096, group=5)
     assert again.count() == 3000 and again.agg({"idx": "max"}).first()[0] == 2999
     assert again.rdd.getNumPartitions() > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_light_rows_of_ranges_keep_their_tasks(spark, tmp_path):
+    """Names and places of ranges are few bytes, by which adaptive execution would give all of the reading to one task."""
+    for i in range(30):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"n": j, "msg": "x" * 50} for j in range(40)]))
+    files = arrays.list_files(spark, str(tmp_path))
+    rows = arrays.read_items(files, 256, group=3)
+    assert rows.count() == 1200
+    assert rows.select(F.spark_partition_id()).distinct().count() > 4
+    assert arrays._tasks(files, 1 << 20) <= 30 and arrays._tasks(files.where("false"), 256) == 1
+
+
+def test_batches_share_files(spark, tmp_path):
+    """Array files hold many batches, with ids left out; places count inside a batch."""
+    from logsieve import queries
+
+    ids = [i for i in range(0, 70_000, 7) if i // 500 not in (3, 64)] + [31_999, 32_001]
+    rows = spark.createDataFrame([(i,) for i in ids], "event_id bigint").selectExpr(
+        "event_id", "timestamp_ntz '2024-01-01 00:00:00' AS ts", "'click' AS event_type", "'{\"k\": 1}' AS props"
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    queries._array_files(spark, str(tmp_path), str(tmp_path / "files"))
+    names = sorted((tmp_path / "files").glob("file=*/*.txt"))
+    assert len(names) == 3 and sum(len(json.loads(n.read_text())) for n in names) == len(ids)
+    seen, want = {}, []
+    for i in sorted(ids):
+        want.append((i // 500, seen.setdefault(i // 500, 0), i))
+        seen[i // 500] += 1
+    got = queries.json_array_items(spark, str(tmp_path)).select("batch", "idx", "event_id").collect()
+    assert sorted(map(tuple, got)) == want
