@@ -31,6 +31,12 @@ from ..schemas import RAW_FIELDS
 from ..workers import importable
 
 
+#: Bytes that are read at first beyond the end of a range, for the rest of its last line.
+BEYOND = 1 << 12
+#: A batch read has about this many partitions, or more, if they would hold more than ``PACK_BYTES`` each. A range is never cut.
+PACKS, PACK_BYTES = 256, 16 << 20
+
+
 @dataclass
 class FileRange(InputPartition):
     """The rows of a file that begin in some of its bytes."""
@@ -45,30 +51,36 @@ class FileRange(InputPartition):
         return system.open_input_file(inner)
 
     def lines(self, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
-        """(offset, line) of the lines that begin in the range; the last one is read to its end."""
+        """(offset, line) of the lines that begin in the range; the last one is read to its end. A byte is copied once or twice."""
         with self.open() as file:
             at = self.first
             if at:  # a line that began before belongs to the range before
                 file.seek(at - 1)
-                at += len(_to_end(file, chunk)) - 1
+                at += len(_to_end(file, min(chunk, BEYOND))) - 1
             file.seek(at)
-            held = b""
+            held, read = [], at  # parts of a line whose end hasn't been read, and the place up to which has been
             while at < self.last:
-                data = held if b"\n" in held else held + file.read(chunk)
+                data = file.read(min(chunk, self.last - read if read < self.last else max(BEYOND, read - at)))
+                read += len(data)
+                *ended, rest = data.split(b"\n")
+                for line in ended:
+                    line = b"".join([*held, line])
+                    yield at, line
+                    held, at = [], at + len(line) + 1
+                    if at >= self.last:
+                        return
+                held.append(rest)
                 if not data:
+                    if line := b"".join(held):
+                        yield at, line
                     return
-                if b"\n" not in data and len(data) > len(held):
-                    held = data
-                    continue
-                line, mark, held = data.partition(b"\n")
-                yield at, line
-                at += len(line) + len(mark)
 
 
 def _to_end(file, chunk: int) -> bytes:
     """From where the file stands to the next end of line, that included."""
     parts = []
     while data := file.read(chunk):
+        chunk = min(2 * chunk, 1 << 20)
         line, mark, _ = data.partition(b"\n")
         parts.append(line + mark)
         if mark:
@@ -139,16 +151,38 @@ class LogSource(DataSource):
             yield dict(fields), (part.path, None, index, self.format)
 
 
+@dataclass
+class _Pack(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    ranges: list[FileRange]
+
+
+def pack(ranges: list[FileRange], packs: int = PACKS, most: int = PACK_BYTES) -> list[list[FileRange]]:
+    """Neighbouring ranges together, all of them: a task for each would cost more than to read it, if they are small and many."""
+    size = min(most, sum(r.last - r.first for r in ranges) // packs)
+    found, room = [], 0
+    for r in ranges:
+        if not found or r.last - r.first > room:
+            found.append([])
+            room = size
+        found[-1].append(r)
+        room -= r.last - r.first
+    return found
+
+
 class _BatchReader(DataSourceReader):
     def __init__(self, source: LogSource):
         self.source = source
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[_Pack]:
         files = list_lengths(self.source.path)
-        return [r for path, n in files.items() for r in self.source.ranges(path, 0, n, n)] or [FileRange("", 0, 0, 0)]
+        ranges = [r for path, n in files.items() for r in self.source.ranges(path, 0, n, n)]
+        return [_Pack(p) for p in pack(ranges)] or [_Pack([])]
 
-    def read(self, partition: FileRange) -> Iterator[tuple]:
-        return self.source._records(partition) if partition.path else iter(())
+    def read(self, partition: _Pack) -> Iterator[tuple]:
+        for part in partition.ranges:
+            yield from self.source._records(part)
 
 
 class _StreamReader(DataSourceStreamReader):

@@ -9,6 +9,7 @@ import pytest
 from logsieve.operators import parse
 from logsieve.plans import canonical_logs
 from logsieve.sources import FileRange, LogfmtSource, LogIngestionError, LogSource, read_logs, register_source, spread
+from logsieve.sources.custom import pack
 from logsieve.streaming.run import drain
 
 
@@ -115,3 +116,43 @@ def test_spread_leaves_large_scans_alone(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t"))
     assert spread(rows).rdd.getNumPartitions() > rows.rdd.getNumPartitions()
     assert spread(rows, most=100).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+def test_small_ranges_share_tasks(spark, sources, tmp_path):
+    """Many small ranges are dealt to some hundred tasks; every line comes once."""
+    write_lines(tmp_path / "a.log", [f"ts=1 msg=a{i}" for i in range(4000)])
+    raw = read_logs(spark, str(tmp_path / "a.log"), "logfmt", rangeBytes=16)
+    assert raw.rdd.getNumPartitions() <= 400
+    assert sorted(r.m for r in raw.selectExpr("fields['msg'] AS m").collect()) == sorted(f"a{i}" for i in range(4000))
+    parts = [FileRange("f", a, a + 10, 1000) for a in range(0, 1000, 10)]
+    assert pack(parts) == [[p] for p in parts]
+    packed = pack(parts, packs=10)
+    assert len(packed) == 10 and [p for q in packed for p in q] == parts
+    assert len(pack(parts, packs=1, most=50)) == 20 and len(pack(parts, packs=1, most=5)) == 100 and pack([]) == []
+
+
+def test_a_range_reads_little_more_than_itself(tmp_path, monkeypatch):
+    write_lines(tmp_path / "f", ["x" * 99] * 30_000)
+    read, opened = [], FileRange.open
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            data = self.file.read(n)
+            read.append(len(data))
+            return data
+
+    monkeypatch.setattr(FileRange, "open", lambda self: Counted(opened(self)))
+    got = list(FileRange(str(tmp_path / "f"), 200_050, 260_050, 3_000_000).lines())
+    assert len(got) == 600 and got[0][0] == 200_100 and sum(read) < 80_000
