@@ -97,6 +97,20 @@ def test_statistics(spark):
         stats.statistics(df.where("false"), "x").collect()
 
 
+def test_median_of_statistics_is_selected_from_counts(spark):
+    """Exact for signs, ties, tiny, huge and infinite values, and no task gets all values."""
+    r = random.Random(3)
+    some = [r.choice([-1, 1]) * 10.0 ** r.uniform(-320, 300) for _ in range(301)]
+    for values in ([2.0], [1.0, 2.0], [-3.0, -1.0, 0.0, -0.0], [5.0] * 9 + [7.0], some, some[:300], [float("-inf"), 1.0, 4.0, float("inf")], [1.0, float("nan"), float("nan")]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        got, want = stats.statistics(df, "x").first().median, df.agg(F.median("x")).first()[0]
+        assert got == want or (math.isnan(got) and math.isnan(want)), values
+    rows = stats.statistics(spark.range(4000).selectExpr("id * 0.37 AS x"), "x")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median(" not in plan and "collect_" not in plan
+    assert rows.first().median == (1999 * 0.37 + 2000 * 0.37) / 2
+
+
 def long_rows(spark, values):
     rows = [("s", at(300 * i), "error_rate", float(v), 4) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "service string, window_start timestamp_ntz, feature string, observed double, ordinal int")
